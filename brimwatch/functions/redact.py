@@ -61,40 +61,74 @@ def redacted(text: Column) -> Column:
     )
 
 
-def _maybe(text: Column, category: str) -> Column | None:
+def _replaced(text: Column, category: str, pattern: str) -> Column:
+    out = F.regexp_replace(text, _UNICODE + pattern, placeholder(category))
     needles = _NEEDLES.get(category)
     if not needles:
-        return None
-    return reduce(lambda a, b: a | b, [F.contains(text, F.lit(needle)) for needle in needles])
+        return out
+    present = reduce(lambda a, b: a | b, [F.contains(text, F.lit(needle)) for needle in needles])
+    return F.when(present, out).otherwise(text)
 
 
-def redact_column(
-    df: DataFrame, column: str, count: Callable[[str], str] | None = None
-) -> DataFrame:
-    """Redact one text column; with ``count``, add one match counter per category.
+def _bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Evaluate ``value`` once and use it several times in ``body``.
+
+    Written as plain nested columns the text would appear several times per
+    category, and the expression would grow by that factor with each of them.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def redaction(text: Column) -> Column:
+    """Struct of the redacted ``text`` and the match ``counts`` in category order.
 
-    Each category works on the text the earlier ones left behind. A counter is
-    only computed where the replacement changed the text.
+    Each category works on the text the earlier ones left behind. Matches are
+    only counted where the replacement changed the text.
     """
+    state = F.struct(text.alias("text"), F.array().cast("array<int>").alias("counts"))
     for category, pattern in PATTERNS:
-        regex, text = _UNICODE + pattern, F.col(column)
-        replaced = F.regexp_replace(text, regex, placeholder(category))
-        maybe = _maybe(text, category)
-        if maybe is not None:
-            replaced = F.when(maybe, replaced).otherwise(text)
-        if count is None:
-            df = df.withColumn(column, replaced)
-            continue
-        hits = F.when(
-            F.col("_after") != text, F.regexp_count(text, F.lit(regex))
-        ).otherwise(0)
-        df = (
-            df.withColumn("_after", replaced)
-            .withColumn(count(category), hits)
-            .withColumn(column, F.col("_after"))
-            .drop("_after")
+        regex = F.lit(_UNICODE + pattern)
+        state = _bind(
+            state,
+            lambda s: F.struct(
+                s["text"].alias("old"),
+                _replaced(s["text"], category, pattern).alias("text"),
+                s["counts"].alias("counts"),
+            ),
+        )
+        state = _bind(
+            state,
+            lambda s: F.struct(
+                s["text"].alias("text"),
+                F.concat(
+                    s["counts"],
+                    F.array(
+                        F.when(s["text"] != s["old"], F.regexp_count(s["old"], regex)).otherwise(0)
+                    ),
+                ).alias("counts"),
+            ),
+        )
+    return state
+
+
+def _string_columns(df: DataFrame, columns: Sequence[str] | None) -> list[str]:
+    texts = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
+    return [name for name in texts if columns is None or name in columns]
+
+
+def _with_parts(df: DataFrame, texts: Sequence[str]) -> tuple[DataFrame, list[Column]]:
+    """(rows with one redaction struct per text column, summed counter per category)."""
+    parts = {f"_r{number}": redaction(F.col(name)) for number, name in enumerate(texts)}
+    rows = df.withColumns(parts) if parts else df
+    totals = [
+        reduce(
+            lambda a, b: a + b,
+            [F.coalesce(F.get(F.col(part)["counts"], F.lit(place)), F.lit(0)) for part in parts],
+            F.lit(0),
         )
-    return df
+        for place in range(len(CATEGORIES))
+    ]
+    return rows, totals
 
 
 def redact(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
@@ -103,26 +137,44 @@ def redact(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     ``redactions`` maps each category with hits to its count over those columns.
     Other columns stay untouched.
     """
-    texts = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
-    if columns is not None:
-        texts = [name for name in texts if name in columns]
-    kept = list(df.columns)
-    for number, name in enumerate(texts):
-        df = redact_column(df, name, lambda category, n=number: f"_{category}_{n}")
-    pairs = []
-    for category in CATEGORIES:
-        counters = [F.coalesce(F.col(f"_{category}_{n}"), F.lit(0)) for n in range(len(texts))]
-        hits = reduce(lambda a, b: a + b, counters, F.lit(0))
-        pairs.append(F.struct(F.lit(category).alias("key"), hits.alias("value")))
-    found = F.filter(F.array(*pairs), lambda pair: pair["value"] > 0)
-    return df.select(*kept, F.map_from_entries(found).alias("redactions"))
+    texts = _string_columns(df, columns)
+    rows, totals = _with_parts(df, texts)
+    pairs = F.array(
+        *[F.struct(F.lit(c).alias("key"), n.alias("value")) for c, n in zip(CATEGORIES, totals)]
+    )
+    found = F.map_from_entries(F.filter(pairs, lambda pair: pair["value"] > 0))
+    place = {name: number for number, name in enumerate(texts)}
+    kept = [
+        F.col(f"_r{place[name]}")["text"].alias(name) if name in place else F.col(name)
+        for name in df.columns
+    ]
+    return rows.select(*kept, found.alias("redactions"))
 
 
-def total_redactions(counts: Column) -> Column:
-    return F.aggregate(F.map_values(counts), F.lit(0), lambda total, n: total + n)
+def redaction_totals(
+    df: DataFrame, keys: Sequence[str] = (), columns: Sequence[str] | None = None
+) -> DataFrame:
+    """AG18. Redactions per category over all rows, or per key, of raw text columns.
+
+    Rows shrink to one set of counters per key before the categories become rows.
+    """
+    texts = [name for name in _string_columns(df, columns) if name not in keys]
+    rows, totals = _with_parts(df, texts)
+    sums = rows.groupBy(*keys).agg(*[F.sum(n).alias(c) for c, n in zip(CATEGORIES, totals)])
+    return sums.unpivot(list(keys), list(CATEGORIES), "category", "hits").where("hits > 0")
+
+
+def merged_counts(redactions: Column) -> Column:
+    """Aggregate: the per-category counts of a group of rows as one map."""
+    sums = [
+        F.struct(
+            F.lit(c).alias("key"),
+            F.sum(F.coalesce(F.try_element_at(redactions, F.lit(c)), F.lit(0))).alias("value"),
+        )
+        for c in CATEGORIES
+    ]
+    return F.map_from_entries(F.filter(F.array(*sums), lambda pair: pair["value"] > 0))
 
 
-def redaction_totals(df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """AG18. Redactions per category over all rows, or per key."""
-    pairs = df.select(*keys, F.explode("redactions").alias("category", "hits"))
-    return pairs.groupBy(*keys, "category").agg(F.sum("hits").alias("hits"))
+def total_redactions(counts: Column) -> Column:
+    return F.aggregate(F.map_values(counts), F.lit(0), lambda total, n: total + n)

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 GIB = 1024**3
 DAY_SECONDS = 86400.0
-_FRACTION_BITS = 30
 
 
 def as_column(value) -> Column:
@@ -24,22 +23,22 @@ def clip(value: Column, low: float, high: float) -> Column:
 def _scaled_half_even(value: Column, digits: int) -> Column:
     """``round(|value| * 10^digits)`` decided on the exact binary value.
 
-    The double is split at 2^-30: the kept part is an exact long, whatever lies
-    below only matters to break an apparent tie upwards.
+    The double is split into a high part whose product with the power of ten is
+    exact and a short rest, so the sign of the distance to the half-way point
+    is never lost to rounding.
     """
-    shifted = F.abs(value) * F.lit(float(1 << _FRACTION_BITS))
-    kept = F.floor(shifted).cast("long")
-    wide = kept * F.lit(10**digits).cast("long")
-    whole = F.shiftright(wide, _FRACTION_BITS)
-    rest = wide.bitwiseAND(F.lit((1 << _FRACTION_BITS) - 1).cast("long"))
-    half = F.lit(1 << (_FRACTION_BITS - 1)).cast("long")
-    lost = shifted != kept.cast("double")
-    up = (rest > half) | ((rest == half) & (lost | (whole % 2 == 1)))
+    size = F.abs(value)
+    power = F.lit(float(10**digits))
+    whole = F.floor(size * power).cast("long")
+    spread = size * F.lit(2049.0)
+    high = spread - (spread - size)
+    past_half = (high * power - (whole.cast("double") + 0.5)) + (size - high) * power
+    up = (past_half > 0) | ((past_half == 0) & (whole % 2 == 1))
     return whole + F.when(up, 1).otherwise(0).cast("long")
 
 
 def _fits(value: Column) -> Column:
-    return F.abs(value) < F.lit(4.0e6)
+    return F.abs(value) < F.lit(1.0e9)
 
 
 def round_exact(value: Column, digits: int = 3) -> Column:
@@ -53,14 +52,15 @@ def fixed(value: Column, digits: int) -> Column:
     """SC18. Text with a fixed number of decimals, rounded like ``round_exact``."""
     scaled = _scaled_half_even(value, digits)
     base = F.lit(10**digits).cast("long")
-    whole = F.expr("1L") * F.floor(scaled / base).cast("long")
+    whole = F.floor(scaled / base).cast("long")
     text = F.concat(
         F.when(value < 0, F.lit("-")).otherwise(F.lit("")),
         whole.cast("string"),
         F.lit("."),
         F.lpad((scaled % base).cast("string"), digits, "0"),
     )
-    return F.when(_fits(value), text).otherwise(F.format_string(f"%.{digits}f", value))
+    wide = F.when(value.isNotNull(), F.format_string(f"%.{digits}f", value))
+    return F.when(_fits(value), text).otherwise(wide)
 
 
 def micros(ts: Column) -> Column:

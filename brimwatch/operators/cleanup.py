@@ -226,7 +226,7 @@ def cleanup_plan(
         "host_id",
         F.col("bytes_freed").alias("_freed"),
         F.col("files_deleted").alias("_taken"),
-        F.element_at("picks", -1).alias("_last"),
+        F.try_element_at("picks", F.lit(-1)).alias("_last"),
     )
     marked = salted_join(
         rows.join(chosen, ["host_id", "path"], "left"), ends, ["host_id"], "left", spread=["path"]

@@ -1,0 +1,323 @@
+"""The sample views in plain SQL, for the independent check of every query."""
+
+from __future__ import annotations
+
+from brimwatch.functions.redact import PATTERNS
+from brimwatch.sources.sample import PLANTED
+
+
+def hid(key: str) -> str:
+    return (
+        f"(CASE WHEN {key} % 25 = 0 THEN 'demo-' ELSE 'host-' END || "
+        f"lpad(CAST({key} AS VARCHAR), 7, '0'))"
+    )
+
+
+def stamp(ts: str) -> str:
+    return f"strftime({ts}, '%Y-%m-%d %H:%M:%S.%f')"
+
+
+def r6(value: str) -> str:
+    return f"(round({value}, 6) + 0.0)"
+
+
+def r9(value: str) -> str:
+    return f"(round({value}, 9) + 0.0)"
+
+
+def exact(value: str, digits: int) -> str:
+    """Half-even rounding of the binary double."""
+    return f"CAST(format('{{:.{digits}f}}', {value}) AS DOUBLE)"
+
+
+def under(path: str, root: str) -> str:
+    return f"({path} = rtrim({root}, '/') OR starts_with({path}, rtrim({root}, '/') || '/'))"
+
+
+def _path(key: str) -> str:
+    return f"CASE WHEN {key} % 7 = 3 THEN 'C:/data' ELSE '/var/log' END"
+
+
+def _gb(key: str) -> str:
+    return (
+        f"CASE {key} % 4 WHEN 0 THEN 100.0::DOUBLE WHEN 1 THEN 250.0::DOUBLE "
+        f"WHEN 2 THEN 500.0::DOUBLE ELSE 1000.0::DOUBLE END"
+    )
+
+
+def _telemetry(device: str) -> str:
+    return f"""
+      SELECT ts, {hid('user_id')} AS host_id, {device} AS device, total_bytes, used_bytes,
+             total_bytes - used_bytes AS free_bytes, {exact('pct', 3)} AS in_use_pct
+      FROM (
+        SELECT *, CAST(floor(total_bytes * (pct / 100.0::DOUBLE)) AS BIGINT) AS used_bytes
+        FROM (
+          SELECT *, CAST(floor(({_gb('user_id')}) * 1073741824.0::DOUBLE) AS BIGINT) AS total_bytes,
+            least(99.9::DOUBLE, (user_id % 50 + 20.0::DOUBLE) + value * 0.05::DOUBLE
+              + ((epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01')) / 8.64e10::DOUBLE)
+                * ((user_id % 9) * 0.35::DOUBLE)) AS pct
+          FROM events)) e"""
+
+
+_ORDER_TIME = "o_orderdate + to_minutes(CAST(o_orderkey % 1440 AS INTEGER))"
+
+
+def _planted() -> str:
+    cases = " ".join(
+        f"WHEN {n} THEN " + " || chr(10) || ".join("'" + part + "'" for part in text.split("\n"))
+        for n, text in enumerate(PLANTED[:-1])
+    )
+    return f"CASE doc_id % {len(PLANTED)} {cases} ELSE '{PLANTED[-1]}' END"
+
+
+_TRIGGER = (
+    "(coalesce(forecast_7d_pct >= 90, false) OR coalesce(hours_to_90pct <= 168, false) "
+    "OR coalesce(anomaly_score >= 0.6::DOUBLE, false))"
+)
+
+VIEWS: dict[str, str] = {
+    "hosts": f"""
+      SELECT {hid('c_custkey')} AS host_id, role || '-' || environment || '-' || c_custkey AS hostname,
+             os, environment, region, role, total_disk_gb, monitored_path, created_at
+      FROM (
+        SELECT c_custkey,
+          CASE WHEN c_custkey % 7 = 3 THEN 'windows' ELSE 'linux' END AS os,
+          CASE c_mktsegment WHEN 'MACHINERY' THEN 'staging' WHEN 'FURNITURE' THEN 'dev' ELSE 'prod' END AS environment,
+          lower(r_name) AS region,
+          CASE c_custkey % 8 WHEN 0 THEN 'web' WHEN 1 THEN 'app' WHEN 2 THEN 'db' WHEN 3 THEN 'cache'
+            WHEN 4 THEN 'batch' WHEN 5 THEN 'ml-worker' WHEN 6 THEN 'web' ELSE 'app' END AS role,
+          {_gb('c_custkey')} AS total_disk_gb, {_path('c_custkey')} AS monitored_path,
+          TIMESTAMP '2023-01-01' + to_hours(CAST(c_custkey AS INTEGER)) AS created_at
+        FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)""",
+    "telemetry": _telemetry("'/' || event_type"),
+    "host_telemetry": _telemetry(_path("user_id")),
+    "predictions": f"""
+      SELECT *, {_TRIGGER} AS triggered_agent, 'sample' AS model_version FROM (
+        SELECT 'pred-' || lpad(CAST(o_orderkey AS VARCHAR), 10, '0') AS prediction_id, ts, host_id, device,
+          least(100.0::DOUBLE, level * 0.7::DOUBLE) AS forecast_1d_pct,
+          least(100.0::DOUBLE, level * 0.85::DOUBLE) AS forecast_3d_pct,
+          CASE WHEN o_orderkey % 11 = 0 THEN NULL ELSE least(100.0::DOUBLE, level * 1.1::DOUBLE) END AS forecast_7d_pct,
+          CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE least(100.0::DOUBLE, level * 1.3::DOUBLE) END AS forecast_14d_pct,
+          CASE WHEN level >= 70 THEN CAST((o_orderkey * 13) % 336 AS DOUBLE) + 0.25::DOUBLE END AS hours_to_90pct,
+          anomaly_score
+        FROM (SELECT o_orderkey, {_ORDER_TIME} AS ts, {hid('o_custkey')} AS host_id, {_path('o_custkey')} AS device,
+                CAST((o_orderkey * 37) % 1000 AS DOUBLE) / 10.0::DOUBLE AS level,
+                CAST((o_orderkey * 53) % 1000 AS DOUBLE) / 1000.0::DOUBLE AS anomaly_score
+              FROM orders))""",
+    "runs": f"""
+      SELECT 'run-' || lpad(CAST(o_orderkey AS VARCHAR), 10, '0') AS run_id,
+        {_ORDER_TIME} + INTERVAL 5 MINUTE AS started_at, {_ORDER_TIME} + INTERVAL 6 MINUTE AS finished_at,
+        {hid('o_custkey')} AS host_id, 'pred-' || lpad(CAST(o_orderkey AS VARCHAR), 10, '0') AS prediction_id,
+        CAST((o_orderkey * 29) % 1000 AS DOUBLE) / 1000.0::DOUBLE AS confidence_score,
+        CASE o_orderkey % 3 WHEN 0 THEN 'auto_remediate' WHEN 1 THEN 'chat_approval' ELSE 'ticket_only' END AS decision,
+        CASE o_orderkey % 4 WHEN 0 THEN 'cleaned' WHEN 1 THEN 'escalated_anomaly' ELSE 'no_action_needed' END AS verdict,
+        CAST(floor(o_totalprice * 100000) AS BIGINT) AS bytes_freed, CAST(o_orderkey % 200 AS INTEGER) AS files_deleted,
+        CAST(NULL AS VARCHAR) AS ticket_id, 'status ' || o_orderstatus || ' priority ' || o_orderpriority AS reasoning
+      FROM orders""",
+    "tickets": f"""
+      SELECT strftime(o_orderdate, 'INC-%Y-%m-')
+          || CASE WHEN o_orderkey < 1000 THEN lpad(CAST(o_orderkey AS VARCHAR), 4, '0') ELSE CAST(o_orderkey AS VARCHAR) END AS ticket_id,
+        {_ORDER_TIME} AS created_at, {_ORDER_TIME} AS updated_at,
+        CASE o_orderstatus WHEN 'F' THEN CASE WHEN o_orderkey % 2 = 0 THEN 'resolved' ELSE 'closed' END
+          WHEN 'P' THEN 'in_progress' ELSE CASE WHEN o_orderkey % 2 = 0 THEN 'new' ELSE 'assigned' END END AS status,
+        'P' || least(4, CAST(substr(o_orderpriority, 1, 1) AS INTEGER)) AS severity,
+        {hid('o_custkey')} AS host_id, 'run-' || lpad(CAST(o_orderkey AS VARCHAR), 10, '0') AS agent_run_id
+      FROM orders""",
+    "files": f"""
+      SELECT {hid('l_suppkey')} AS host_id,
+        CASE WHEN l_orderkey % 13 = 5 THEN '/opt/other' ELSE {_path('l_suppkey')} END
+          || '/' || l_orderkey || '-' || l_linenumber || '-' || l_partkey || '/' ||
+        CASE l_orderkey % 10 WHEN 0 THEN 'access.log.' || l_linenumber WHEN 1 THEN 'svc-archive-' || l_partkey || '.log'
+          WHEN 2 THEN 'svc-' || l_partkey || '.log.gz' WHEN 3 THEN 'junk-' || l_partkey || '.bin'
+          WHEN 4 THEN 'postgresql-' || l_partkey || '.log' WHEN 5 THEN 'postgresql-' || l_partkey || '.log.gz'
+          WHEN 6 THEN 'service.log' WHEN 7 THEN '_seed_baseline.bin' WHEN 8 THEN 'data-' || l_partkey || '.db'
+          ELSE 'error.log.' || l_partkey END AS path,
+        CAST(floor(l_extendedprice * CASE WHEN l_suppkey % 3 = 0 THEN 400.0::DOUBLE ELSE 20000.0::DOUBLE END) AS BIGINT) AS size_bytes,
+        l_shipdate AS mtime
+      FROM lineitem""",
+    "files_now": "SELECT max(l_shipdate) + INTERVAL 1 DAY AS now FROM lineitem",
+    "now": "SELECT max(ts) AS as_of FROM events",
+    "corpus": """
+      SELECT 'doc-' || lpad(CAST(vec_id AS VARCHAR), 7, '0') AS doc_id,
+        CASE label % 3 WHEN 0 THEN 'runbook' WHEN 1 THEN 'incident' ELSE 'policy' END AS source,
+        'Note ' || vec_id || ' on topic ' || label AS title, coalesce(text, '') AS content,
+        CAST(embedding AS DOUBLE[]) AS embedding
+      FROM embeddings LEFT JOIN documents ON vec_id = doc_id""",
+    "series_labels": f"""
+      SELECT DISTINCT {hid('user_id')} AS host_id,
+        CASE WHEN user_id % 9 >= 7 THEN 'anomalous' WHEN user_id % 9 = 0 THEN 'stable' ELSE 'declining' END AS label
+      FROM events""",
+    "answers": f"""
+      SELECT 'pred-' || lpad(CAST(o_orderkey AS VARCHAR), 10, '0') AS prediction_id, {hid('o_custkey')} AS host_id,
+        CASE o_orderkey % 12
+          WHEN 0 THEN '{{"recommendation":"clean","self_confidence":0.' || (o_orderkey % 90 + 10) || ',"rationale":"rotated logs ' || o_orderpriority || '","key_evidence":["a","b ' || o_orderkey || '"]}}'
+          WHEN 1 THEN 'Answer follows. {{"recommendation":"escalate_anomaly","self_confidence":0.' || (o_orderkey % 90 + 10) || ',"rationale":"burst","key_evidence":[]}} Done.'
+          WHEN 2 THEN '```json {{"recommendation":"no_action","self_confidence":0.' || (o_orderkey % 90 + 10) || ',"rationale":"quiet"}} ```'
+          WHEN 3 THEN '{{"recommendation":"clean","rationale":"no confidence given"}}'
+          WHEN 4 THEN '{{"recommendation":"reboot","self_confidence":0.7,"rationale":"not a known action"}}'
+          WHEN 5 THEN '{{"recommendation":"clean","self_confidence":7.5,"rationale":"too sure"}}'
+          WHEN 6 THEN '{{"recommendation":"clean","self_confidence":-0.5}}'
+          WHEN 7 THEN 'no structured answer for ' || o_orderkey
+          WHEN 8 THEN '{{"recommendation":"clean","self_confidence":0.9'
+          WHEN 9 THEN '{{"recommendation":"clean","self_confidence":0.8}} and {{"recommendation":"no_action"}}'
+          WHEN 10 THEN '{{"recommendation":"clean","self_confidence":"high"}}'
+          ELSE '{{"self_confidence":"0.' || (o_orderkey % 90 + 10) || '","rationale":"text number","key_evidence":null}}'
+        END AS raw
+      FROM orders""",
+    "parsed": """
+      SELECT prediction_id, host_id, raw,
+        CASE WHEN ok AND rec IN ('clean', 'escalate_anomaly', 'no_action') THEN rec ELSE 'no_action' END AS recommendation,
+        CASE WHEN ok THEN greatest(0.0::DOUBLE, least(1.0::DOUBLE, conf)) ELSE 0.0::DOUBLE END AS self_confidence,
+        CASE WHEN ok THEN coalesce(rationale, '') ELSE 'answer could not be parsed' END AS reasoning,
+        CASE WHEN ok THEN coalesce(evidence, '') ELSE '' END AS evidence, ok AS parsed
+      FROM (
+        SELECT *, coalesce(valid AND conf IS NOT NULL, false) AS ok FROM (
+          SELECT prediction_id, host_id, raw, json_valid(block) AS valid,
+            CASE WHEN json_valid(block) THEN json_extract_string(block, '$.recommendation') END AS rec,
+            CASE WHEN json_valid(block) THEN
+              CASE WHEN json_exists(block, '$.self_confidence')
+                THEN TRY_CAST(json_extract_string(block, '$.self_confidence') AS DOUBLE) ELSE 0.5::DOUBLE END END AS conf,
+            CASE WHEN json_valid(block) THEN json_extract_string(block, '$.rationale') END AS rationale,
+            CASE WHEN json_valid(block) AND json_type(block, '$.key_evidence') = 'ARRAY'
+              THEN array_to_string(from_json(json_extract(block, '$.key_evidence'), '["VARCHAR"]'), '|') END AS evidence
+          FROM (SELECT *, nullif(regexp_extract(raw, '(?s)\\{.*\\}'), '') AS block FROM answers)))""",
+    "decision_input": """
+      SELECT p.prediction_id, p.host_id, p.anomaly_score, p.forecast_1d_pct, p.forecast_3d_pct, p.forecast_7d_pct,
+        p.forecast_14d_pct, p.hours_to_90pct, p.ts, a.recommendation, a.self_confidence, a.reasoning,
+        CAST(split_part(p.prediction_id, '-', 2) AS BIGINT) % 6 AS doc_count, h.environment, h.role, h.monitored_path
+      FROM predictions p JOIN parsed a USING (prediction_id) JOIN hosts h ON p.host_id = h.host_id""",
+    "decided": f"""
+      SELECT *, CASE WHEN score >= 0.85::DOUBLE THEN 'auto_remediate' WHEN score >= 0.75::DOUBLE THEN 'chat_approval' ELSE 'ticket_only' END AS decision,
+        {exact('score', 3)} AS confidence_score
+      FROM (
+        SELECT *, least(1.0::DOUBLE, greatest(0.0::DOUBLE,
+          CASE WHEN recommendation = 'escalate_anomaly' THEN greatest(total, 0.75::DOUBLE)
+               WHEN recommendation = 'clean' AND anomaly_score > 0.6::DOUBLE THEN least(total, 0.75::DOUBLE - 0.01::DOUBLE)
+               ELSE total END)) AS score
+        FROM (
+          SELECT *, c_self + c_ml + c_docs + c_env AS total FROM (
+            SELECT *, c_signal2 * 0.30::DOUBLE AS c_ml FROM (
+              SELECT *, CASE WHEN recommendation = 'no_action' THEN greatest(0.0::DOUBLE, least(1.0::DOUBLE, c_signal))
+                             WHEN recommendation = 'escalate_anomaly' THEN least(1.0::DOUBLE, c_signal) ELSE c_signal END AS c_signal2
+              FROM (
+                SELECT *, self_confidence * 0.40::DOUBLE AS c_self,
+                  CASE recommendation
+                    WHEN 'clean' THEN greatest(
+                      CASE WHEN forecast_7d_pct IS NULL THEN 0.0::DOUBLE
+                           ELSE least(1.0::DOUBLE, greatest(0.0::DOUBLE, (forecast_7d_pct - 70) / 30)) END,
+                      CASE WHEN coalesce(hours_to_90pct < 24, false) THEN 0.9::DOUBLE ELSE 0.0::DOUBLE END)
+                    WHEN 'escalate_anomaly' THEN anomaly_score
+                    ELSE 1.0::DOUBLE - greatest(anomaly_score, coalesce(forecast_7d_pct, 0.0::DOUBLE) / 100) END AS c_signal,
+                  least(1.0::DOUBLE, doc_count / 4.0::DOUBLE) * 0.15::DOUBLE AS c_docs,
+                  CASE environment WHEN 'prod' THEN 0.05::DOUBLE WHEN 'staging' THEN 0.10::DOUBLE WHEN 'dev' THEN 0.15::DOUBLE ELSE 0.05::DOUBLE END AS c_env
+                FROM decision_input)))))""",
+    "cleanup_candidates": f"""
+      SELECT * FROM (
+        SELECT *, CASE playbook
+            WHEN 'web' THEN CASE
+              WHEN regexp_matches(name, '^.*\\.log\\.[0-9].*$') AND days >= 14 THEN 1
+              WHEN regexp_matches(name, '^.*\\.log\\.gz$') AND days >= 21 THEN 2
+              WHEN regexp_matches(name, '^.*-archive-.*\\.log.*$') AND days >= 14 THEN 3 END
+            WHEN 'db' THEN CASE
+              WHEN regexp_matches(name, '^postgresql-.*\\.log$') AND days >= 30 THEN 1
+              WHEN regexp_matches(name, '^postgresql-.*\\.log\\.gz$') AND days >= 30 THEN 2
+              WHEN regexp_matches(name, '^junk-.*\\.bin$') AND days >= 1 THEN 3 END
+            ELSE CASE
+              WHEN regexp_matches(name, '^.*-archive-.*\\.log.*$') AND days >= 30 THEN 1
+              WHEN regexp_matches(name, '^.*\\.log\\.gz$') AND days >= 21 THEN 2
+              WHEN regexp_matches(name, '^.*\\.log\\.[0-9].*$') AND days >= 14 THEN 3
+              WHEN regexp_matches(name, '^junk-.*\\.bin$') AND days >= 1 THEN 4 END END AS rule_no
+        FROM (
+          SELECT f.*, h.monitored_path, split_part(f.path, '/', -1) AS name,
+            CASE WHEN h.role IN ('web', 'app', 'db') THEN h.role ELSE 'app' END AS playbook,
+            greatest(0.0::DOUBLE, (epoch_us(n.now) - epoch_us(f.mtime)) / 8.64e10::DOUBLE) AS age_days,
+            floor(greatest(0.0::DOUBLE, (epoch_us(n.now) - epoch_us(f.mtime)) / 8.64e10::DOUBLE)) AS days
+          FROM files f JOIN hosts h USING (host_id), files_now n))
+      WHERE rule_no IS NOT NULL""",
+    "cleanup_plan": f"""
+      WITH ok AS (SELECT * FROM cleanup_candidates WHERE {under('path', 'monitored_path')} AND age_days * 24 >= 24),
+      walk AS (
+        SELECT host_id, list_reduce(
+            list({{'freed': 0::BIGINT, 'taken': 0, 'log': []::STRUCT(path VARCHAR, action VARCHAR)[], 'path': path, 'size': size_bytes}}
+              ORDER BY mtime, rule_no, path),
+            lambda acc, x: CASE
+              WHEN acc.freed + x.size > 80::BIGINT * 1073741824 THEN
+                {{'freed': acc.freed, 'taken': acc.taken, 'log': list_append(acc.log, {{'path': x.path, 'action': 'skip_bytes_cap'}}), 'path': '', 'size': 0::BIGINT}}
+              WHEN acc.taken >= 200 THEN
+                {{'freed': acc.freed, 'taken': acc.taken, 'log': list_append(acc.log, {{'path': x.path, 'action': 'skip_file_cap'}}), 'path': '', 'size': 0::BIGINT}}
+              ELSE
+                {{'freed': acc.freed + x.size, 'taken': acc.taken + 1, 'log': list_append(acc.log, {{'path': x.path, 'action': 'delete'}}), 'path': '', 'size': 0::BIGINT}} END,
+            {{'freed': 0::BIGINT, 'taken': 0, 'log': []::STRUCT(path VARCHAR, action VARCHAR)[], 'path': '', 'size': 0::BIGINT}}) AS state
+        FROM ok GROUP BY host_id),
+      steps AS (SELECT host_id, unnest(state.log) AS step FROM walk)
+      SELECT c.host_id, c.path, c.size_bytes, c.age_days, c.rule_no,
+        coalesce(s.step.action, CASE WHEN NOT {under('c.path', 'c.monitored_path')} THEN 'skip_outside' ELSE 'skip_age' END) AS action
+      FROM cleanup_candidates c LEFT JOIN steps s ON c.host_id = s.host_id AND c.path = s.step.path""",
+    "planted": f"SELECT doc_id, text || chr(10) || {_planted()} AS text FROM documents",
+    "latest_sample": """
+      SELECT * FROM telemetry QUALIFY row_number() OVER (PARTITION BY host_id ORDER BY ts DESC, device DESC) = 1""",
+    "latest_prediction": """
+      SELECT * FROM predictions QUALIFY row_number() OVER (PARTITION BY host_id ORDER BY ts DESC, prediction_id DESC) = 1""",
+    "fleet": """
+      SELECT h.*, starts_with(h.host_id, 'demo-') AS is_demo_host, t.ts, t.in_use_pct, t.used_bytes, t.total_bytes,
+        p.anomaly_score, p.forecast_7d_pct, p.hours_to_90pct, p.triggered_agent,
+        CASE WHEN p.anomaly_score IS NULL THEN 'no_prediction' WHEN p.anomaly_score >= 0.6::DOUBLE THEN 'anomalous'
+          WHEN p.triggered_agent THEN 'predictive' WHEN t.in_use_pct > 90 THEN 'critical' ELSE 'healthy' END AS status
+      FROM hosts h LEFT JOIN latest_sample t ON h.host_id = t.host_id LEFT JOIN latest_prediction p ON h.host_id = p.host_id""",
+}
+
+# Which views a view reads, so a query only carries what it needs.
+_NEEDS: dict[str, tuple[str, ...]] = {
+    "parsed": ("answers",),
+    "decision_input": ("predictions", "parsed", "hosts"),
+    "decided": ("decision_input",),
+    "cleanup_candidates": ("files", "hosts", "files_now"),
+    "cleanup_plan": ("cleanup_candidates",),
+    "latest_sample": ("telemetry",),
+    "latest_prediction": ("predictions",),
+    "fleet": ("hosts", "latest_sample", "latest_prediction"),
+}
+
+
+def q_redaction(source: str, key: str = "doc_id") -> str:
+    """Named parts ``s0`` .. and ``redacted``, ``totals``: the patterns in order.
+
+    The engine has no look-ahead, so the 40-character secret consumes and puts
+    back the character behind it.
+    """
+    rules = []
+    for name, pattern in PATTERNS:
+        put = f"[REDACTED:{name}]"
+        if name == "AWS_SECRET":
+            pattern, put = r"\b([A-Za-z0-9/+=]{40})\b([^A-Za-z0-9/+=]|$)", put + r"\2"
+        rules.append((name, pattern, put))
+    parts = [f"s0 AS (SELECT {key}, text FROM {source})"]
+    for number, (name, pattern, put) in enumerate(rules, start=1):
+        parts.append(
+            f"s{number} AS (SELECT * REPLACE (regexp_replace(text, '{pattern}', '{put}', 'g') AS text), "
+            f"len(regexp_extract_all(text, '{pattern}')) AS n_{name} FROM s{number - 1})"
+        )
+    parts.append(f"redacted AS (SELECT * FROM s{len(rules)})")
+    sums = " UNION ALL ".join(
+        f"SELECT '{name}' AS category, CAST(sum(n_{name}) AS BIGINT) AS hits FROM redacted" for name, *_ in rules
+    )
+    parts.append(f"totals AS ({sums})")
+    return ", ".join(parts)
+
+
+def with_views(names: str, body: str, extra: str = "") -> str:
+    """A statement over the named views (space separated) and further named parts."""
+    ordered: list[str] = []
+
+    def add(name: str) -> None:
+        for needed in _NEEDS.get(name, ()):
+            add(needed)
+        if name not in ordered:
+            ordered.append(name)
+
+    for name in names.split():
+        add(name)
+    parts = [f"{name} AS ({VIEWS[name]})" for name in ordered]
+    if extra:
+        parts.append(extra)
+    return (f"WITH {', '.join(parts)} " if parts else "") + body

@@ -100,6 +100,10 @@ def telemetry(
     events = read(spark, folder, "events")
     if since is not None:
         events = events.where(F.col("ts") >= F.lit(since).cast("timestamp_ntz"))
+    return shape_events(events, one_device)
+
+
+def shape_events(events: DataFrame, one_device: bool = False) -> DataFrame:
     device = monitored_path("user_id") if one_device else F.concat(F.lit("/"), F.col("event_type"))
     return events.select(
         F.col("ts").cast("timestamp").alias("ts"),
@@ -109,6 +113,16 @@ def telemetry(
     )
 
 
+def stream(spark: SparkSession, folder: str, table: str) -> DataFrame:
+    """One sample table as a file stream."""
+    schema = read(spark, folder, table).schema
+    return (
+        spark.readStream.schema(schema)
+        .option("pathGlobFilter", f"{table}.parquet")
+        .parquet(folder)
+    )
+
+
 def as_of(spark: SparkSession, folder: str) -> datetime:
     """Newest sample time: the reference point of every trailing window."""
     return read(spark, folder, "events").agg(F.max("ts").cast("timestamp_ntz")).first()[0]
