@@ -97,9 +97,10 @@ def rule_matches(
     second shuffle or cross product is needed.
     """
     rows = with_host_rules(files, hosts, as_of, playbooks)
-    return rows.withColumn(
-        "_hit", F.explode(F.array_compact(F.array(*_rule_structs(playbooks))))
-    ).select(*rows.columns, "_hit.rule_no", "_hit.matched_rule")
+    tested = rows.withColumn("_hit", F.explode(F.array(*_rule_structs(playbooks))))
+    return tested.where(F.col("_hit").isNotNull()).select(
+        *rows.columns, "_hit.rule_no", "_hit.matched_rule"
+    )
 
 
 def candidates(
@@ -175,6 +176,7 @@ def capped_picks(candidate_rows: DataFrame, settings: Settings = DEFAULTS) -> Da
     than what is left can never be picked and is filtered out first. Every
     round with a full block picks at least one file, so the file cap also
     bounds the rounds. Results are whole for any number of files per host.
+    Rows are read once per round, so pass a stored or checkpointed table.
     """
     cap = int(settings.max_gb_per_run * S.GIB)
     most = settings.max_files_per_run
@@ -184,10 +186,7 @@ def capped_picks(candidate_rows: DataFrame, settings: Settings = DEFAULTS) -> Da
 
     state = cut_lineage(_fold(top_per_key(pool, ["host_id"], order, ROUND_FILES), None, cap, most))
     rounds = [state]
-    staged = False
     while not state.where("open").isEmpty():
-        if not staged:
-            pool, staged = cut_lineage(pool), True
         left = state.where("open").select("host_id", "freed", "taken", "last_seen")
         ahead = salted_join(pool, left, ["host_id"], spread=["path"]).where(
             (F.struct(*_ORDER) > F.struct(*[F.col(f"last_seen.{name}") for name in _ORDER]))
@@ -215,9 +214,10 @@ def cleanup_plan(
 ) -> DataFrame:
     """CLN4. One row per candidate with its action.
 
-    delete, skip_outside, skip_age, skip_bytes_cap or skip_file_cap.
+    delete, skip_outside, skip_age, skip_bytes_cap or skip_file_cap. The
+    inventory is read and matched once; the matches are fixed for the rounds.
     """
-    rows = candidates(files, hosts, as_of, playbooks)
+    rows = cut_lineage(candidates(files, hosts, as_of, playbooks))
     picks = capped_picks(rows, settings)
     chosen = picks.select("host_id", F.explode("picks").alias("_pick")).select(
         "host_id", F.col("_pick.path").alias("path"), F.lit(True).alias("_chosen")

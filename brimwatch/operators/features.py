@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from brimwatch.config import DEFAULTS, Settings
@@ -21,20 +21,27 @@ FEATURES = (
 def series_features(
     telemetry: DataFrame, keys=SERIES_KEY, settings: Settings = DEFAULTS
 ) -> DataFrame:
-    """AG10. One pass of mergeable aggregates over the samples in their series order.
+    """AG10. The twelve features of every series."""
+    summary = series_summary(series_context(telemetry, keys), keys, settings)
+    return summary.select(*keys, *FEATURES)
 
-    Samples are shuffled once on (key, time slice); the final aggregate combines
-    partial states per key. The exact percentile keeps a count per distinct
-    value: stored percentages have three decimals in 0..100, which bounds that
-    map at 100,001 entries whatever the length of the series.
+
+def series_summary(rows: DataFrame, keys=SERIES_KEY, settings: Settings = DEFAULTS) -> DataFrame:
+    """AG1-AG10, AG17 of samples in their series order: features and ``step_minutes``.
+
+    One pass of mergeable aggregates: samples were shuffled once on (key, time
+    slice), and partial states per key are combined. The exact percentile keeps
+    a count per distinct value: stored percentages have three decimals in
+    0..100, which bounds that map at 100,001 entries whatever the length of the
+    series.
     """
-    rows = series_context(telemetry, keys)
     t = hours_between(F.col("ts"), F.col("first_ts"))
     t_last = hours_between(F.col("last_ts"), F.col("first_ts"))
     y = F.col("value")
     rows = rows.select(
         *keys,
         "ts",
+        "prev_ts",
         y.alias("y"),
         t.alias("t"),
         (t >= t_last - 24.0).alias("recent"),
@@ -57,6 +64,7 @@ def series_features(
         F.max("jump").alias("jump"),
         F.percentile("y", F.array(F.lit(0.1), F.lit(0.9))).alias("tails"),
         F.max_by("y", "ts").alias("current"),
+        _step_minutes().alias("step_minutes"),
     )
     slope = F.coalesce(F.col("fit"), F.lit(0.0))
     recent = F.when(F.col("n_recent") >= 2, F.coalesce(F.col("fit_recent"), F.lit(0.0))).otherwise(
@@ -79,22 +87,28 @@ def series_features(
     }
     enough = F.col("n") >= settings.min_feature_rows
     return totals.select(
-        *keys, *[F.when(enough, values[name]).otherwise(0.0).alias(name) for name in FEATURES]
+        *keys,
+        *[F.when(enough, values[name]).otherwise(0.0).alias(name) for name in FEATURES],
+        "step_minutes",
     )
 
 
-def sample_period(telemetry: DataFrame, keys=SERIES_KEY) -> DataFrame:
-    """AG17. Median distance of consecutive samples in whole minutes, at least 1.
+def _step_minutes() -> Column:
+    """AG17 as an aggregate over rows with ``prev_ts``.
 
     Distinct distances of one series add up to at most its time span, so the
     value map of the exact median grows with the square root of the span.
     """
-    rows = series_context(telemetry, keys)
-    return period_of(rows, keys)
+    gap = F.unix_micros("ts") - F.unix_micros("prev_ts")
+    minutes = F.greatest(F.lit(1), F.bround(F.percentile(gap, 0.5) / 6.0e7).cast("int"))
+    return F.coalesce(F.when(F.count(gap) > 0, minutes), F.lit(5))
+
+
+def sample_period(telemetry: DataFrame, keys=SERIES_KEY) -> DataFrame:
+    """AG17. Median distance of consecutive samples in whole minutes, at least 1."""
+    return period_of(series_context(telemetry, keys), keys)
 
 
 def period_of(rows: DataFrame, keys=SERIES_KEY) -> DataFrame:
-    """AG17 over rows that already carry ``prev_ts``."""
-    gap = F.unix_micros("ts") - F.unix_micros("prev_ts")
-    minutes = F.greatest(F.lit(1), F.bround(F.percentile(gap, 0.5) / 6.0e7).cast("int"))
-    return rows.groupBy(*keys).agg(F.coalesce(minutes, F.lit(5)).alias("step_minutes"))
+    """AG17 over rows that already carry ``prev_ts``; 5 for a single sample."""
+    return rows.groupBy(*keys).agg(_step_minutes().alias("step_minutes"))

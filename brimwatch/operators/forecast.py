@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from brimwatch.config import DEFAULTS, Settings
 from brimwatch.functions.scalar import clip, hours_between, plus_minutes
@@ -25,6 +28,9 @@ SEASON_PRIOR = 10.0
 TREND_PRIOR = 5.0
 NOISE_PRIOR = 0.5
 
+# Series solved together; bounds the memory of one batch.
+BATCH_SERIES = 256
+
 
 def horizon_column(days: int) -> str:
     return f"forecast_{days}d_pct"
@@ -33,13 +39,13 @@ def horizon_column(days: int) -> str:
 FORECAST_COLUMNS = [horizon_column(days) for days in SUPPORTED_HORIZONS] + ["hours_to_90pct"]
 
 
-def seasonal_model(telemetry: DataFrame, keys=SERIES_KEY, settings: Settings = DEFAULTS) -> DataFrame:
+def seasonal_model(rows: DataFrame, steps: DataFrame, keys=SERIES_KEY) -> DataFrame:
     """FC1b. Straight line plus the mean residual of each hour of day, per series.
 
     Both parts follow from sums per (series, hour of day), so the samples are
     reduced before any shuffle on the series key and never joined back.
+    ``rows`` are samples in series order, ``steps`` their period per series.
     """
-    rows = series_context(telemetry, keys)
     t = hours_between(F.col("ts"), F.col("first_ts"))
     y = F.col("value")
     hourly = (
@@ -72,7 +78,6 @@ def seasonal_model(telemetry: DataFrame, keys=SERIES_KEY, settings: Settings = D
     slope = F.when(
         spread > 0, (F.col("n") * F.col("sty") - F.col("st") * F.col("sy")) / spread
     ).otherwise(0.0)
-    steps = period_of(rows, keys)
     return (
         totals.withColumn("slope", slope)
         .withColumn("intercept", (F.col("sy") - F.col("slope") * F.col("st")) / F.col("n"))
@@ -129,7 +134,8 @@ def read_horizons(grid: DataFrame, keys=SERIES_KEY, settings: Settings = DEFAULT
 
 def seasonal_forecast(telemetry: DataFrame, keys=SERIES_KEY, settings: Settings = DEFAULTS) -> DataFrame:
     """FC1b with FC2-FC5: one row per series, all built-in expressions."""
-    model = seasonal_model(telemetry, keys, settings)
+    rows = series_context(telemetry, keys)
+    model = seasonal_model(rows, period_of(rows, keys), keys)
     return read_horizons(forecast_grid(model, keys, settings), keys, settings)
 
 
@@ -184,13 +190,13 @@ def _segment(position: Column, n_rows: Column) -> Column:
     return F.least(exact.cast("int"), knots)
 
 
-def trend_sums(telemetry: DataFrame, keys=SERIES_KEY, settings: Settings = DEFAULTS) -> DataFrame:
-    """Product sums per (series, trend segment): all the least-squares fit needs.
+def trend_sums(rows: DataFrame, keys=SERIES_KEY, settings: Settings = DEFAULTS) -> DataFrame:
+    """Product sums of every trend segment, one row per series with enough samples.
 
-    At most 26 rows per series leave the shuffle, whatever the number of samples.
+    They are all the least-squares fit needs: at most 26 segments per series
+    leave the shuffle, whatever the number of samples.
     """
-    rows = series_context(telemetry, keys)
-    steps = period_of(rows, keys)
+    keys = list(keys)
     enough = rows.where(F.col("n_rows") >= settings.min_forecast_rows)
     span = hours_between(F.col("last_ts"), F.col("first_ts"))
     micros = F.unix_micros("ts")
@@ -200,123 +206,188 @@ def trend_sums(telemetry: DataFrame, keys=SERIES_KEY, settings: Settings = DEFAU
         "first_ts",
         "last_ts",
         "peak",
-        "n_rows",
         _segment(F.col("position"), F.col("n_rows")).alias("segment"),
         F.lit(1.0).alias("one"),
         (hours_between(F.col("ts"), F.col("first_ts")) / span).alias("t"),
         *[term.alias(f"f{i}") for i, term in enumerate(_season_terms(day))],
         F.col("value").alias("y"),
     )
-    sums = shaped.groupBy(*keys, "segment").agg(
+    segments = shaped.groupBy(*keys, "segment").agg(
         F.min("t").alias("starts_at"),
         F.min("first_ts").alias("first_ts"),
         F.max("last_ts").alias("last_ts"),
         F.max("peak").alias("peak"),
         F.array(*[F.sum(F.col(_TERMS[i]) * F.col(_TERMS[j])) for i, j in _PAIRS]).alias("products"),
     )
-    return sums.join(steps, list(keys))
+    series = segments.groupBy(*keys).agg(
+        F.sort_array(F.collect_list(F.struct("segment", "starts_at", "products"))).alias("_parts"),
+        F.unix_micros(F.min("first_ts")).alias("first_us"),
+        F.unix_micros(F.max("last_ts")).alias("last_us"),
+        F.max("peak").alias("peak"),
+    )
+    return series.select(
+        *keys,
+        "first_us",
+        "last_us",
+        "peak",
+        F.transform("_parts", lambda part: part["starts_at"]).alias("starts"),
+        F.flatten(F.transform("_parts", lambda part: part["products"])).alias("products"),
+    )
 
 
-def _fit(products: np.ndarray, starts: np.ndarray, segments: np.ndarray) -> np.ndarray:
-    """Most probable parameters under normal noise and a double-exponential knot prior.
+def _gram(products: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Inner products of the model's basis from the per-segment sums of many series.
 
-    The knot prior is handled by repeated reweighted ridge solves; the noise
-    level has a closed form between them. Returns [growth, offset, knots, season].
+    ``products`` is (series, segments, pairs), ``starts`` (series, knots). A knot
+    acts on its own and all later segments, so suffix sums give its products.
     """
-    size = len(_TERMS)
-    n_knots = len(starts)
-    n_season = 2 * SEASON_ORDER
-    total = 2 + n_knots + n_season
-    gram = np.zeros((total + 1, total + 1))
+    size, n_knots = len(_TERMS), starts.shape[1]
+    blocks = np.zeros(products.shape[:2] + (size, size))
     upper = tuple(np.array(_PAIRS).T)
-    for number, flat in zip(segments, products):
-        block = np.zeros((size, size))
-        block[upper] = flat
-        block = block + block.T - np.diag(np.diag(block))
-        # Rows of the model's basis in terms of the summed columns of this segment.
-        basis = np.zeros((total + 1, size))
-        basis[0, 1] = 1.0
-        basis[1, 0] = 1.0
-        passed = int(number)
-        basis[2 : 2 + passed, 1] = 1.0
-        basis[2 : 2 + passed, 0] = -starts[:passed]
-        for i in range(n_season):
-            basis[2 + n_knots + i, 2 + i] = 1.0
-        basis[total, size - 1] = 1.0
-        gram += basis @ block @ basis.T
-    xx, xy, yy = gram[:total, :total], gram[:total, total], gram[total, total]
-    rows = gram[1, 1]
-    weights = np.empty(total)
-    weights[:2] = 1.0 / TREND_PRIOR**2
-    weights[2 + n_knots :] = 1.0 / SEASON_PRIOR**2
-    noise = 0.01
-    knots = np.full(n_knots, KNOT_PRIOR)
-    theta = np.zeros(total)
+    blocks[:, :, upper[0], upper[1]] = products
+    blocks[:, :, upper[1], upper[0]] = products
+    after = np.cumsum(blocks[:, ::-1], axis=1)[:, ::-1]  # sums of this and later segments
+    whole, later = after[:, 0], after[:, 1:]
+    order = [1, 0] + list(range(2, size))  # t, one, season, y
+    total = size + n_knots
+    gram = np.zeros((len(products), total, total))
+    plain = np.r_[0:2, 2 + n_knots : total]
+    gram[:, plain[:, None], plain] = whole[:, order][:, :, order]
+    # Knot against the plain terms.
+    cross = later[:, :, 1, :] - starts[:, :, None] * later[:, :, 0, :]
+    gram[:, 2 : 2 + n_knots, plain] = cross[:, :, order]
+    gram[:, plain, 2 : 2 + n_knots] = cross[:, :, order].transpose(0, 2, 1)
+    # Knot against knot, over the segments behind both.
+    last = np.maximum.outer(np.arange(n_knots), np.arange(n_knots))
+    first, second = starts[:, :, None], starts[:, None, :]
+    gram[:, 2 : 2 + n_knots, 2 : 2 + n_knots] = (
+        later[:, :, 1, 1][:, last]
+        - (first + second) * later[:, :, 0, 1][:, last]
+        + first * second * later[:, :, 0, 0][:, last]
+    )
+    return gram
+
+
+def _fit(gram: np.ndarray, knots_used: np.ndarray) -> np.ndarray:
+    """Most probable parameters of many series at once.
+
+    Normal noise, a double-exponential prior on the knots. The prior is handled
+    by repeated reweighted ridge solves, the noise level has a closed form
+    between them. Returns [growth, offset, knots, season] per series.
+    """
+    total = gram.shape[1] - 1
+    n_knots = knots_used.shape[1]
+    xx, xy, yy = gram[:, :total, :total], gram[:, :total, total], gram[:, total, total]
+    rows = xx[:, 1, 1]
+    weights = np.empty((len(gram), total))
+    weights[:, :2] = 1.0 / TREND_PRIOR**2
+    weights[:, 2 + n_knots :] = 1.0 / SEASON_PRIOR**2
+    noise = np.full(len(gram), 0.01)
+    theta = np.zeros((len(gram), total))
+    theta[:, 2 : 2 + n_knots] = KNOT_PRIOR
+    diagonal = np.arange(total)
+    inverse = 1.0 / NOISE_PRIOR**2
+    live = np.arange(len(gram))
     for _ in range(100):
-        weights[2 : 2 + n_knots] = 1.0 / (KNOT_PRIOR * np.maximum(np.abs(knots), 1e-7))
-        updated = np.linalg.solve(xx / noise + np.diag(weights), xy / noise)
-        moved = np.max(np.abs(updated - theta))
-        theta, knots = updated, updated[2 : 2 + n_knots]
-        rest = max(0.0, yy - 2.0 * theta @ xy + theta @ xx @ theta)
-        inverse = 1.0 / NOISE_PRIOR**2
-        noise = max(1e-9, 2.0 * rest / (rows + np.sqrt(rows * rows + 4.0 * inverse * rest)))
-        if moved < 1e-9:
+        size = np.maximum(np.abs(theta[live, 2 : 2 + n_knots]), 1e-7)
+        weights[live, 2 : 2 + n_knots] = np.where(knots_used[live], 1.0 / (KNOT_PRIOR * size), 1.0)
+        system = xx[live] / noise[live, None, None]
+        system[:, diagonal, diagonal] += weights[live]
+        updated = np.linalg.solve(system, (xy[live] / noise[live, None])[..., None])[..., 0]
+        moved = np.max(np.abs(updated - theta[live]), axis=1)
+        theta[live] = updated
+        fitted = np.einsum("si,sij,sj->s", updated, xx[live], updated)
+        rest = np.maximum(0.0, yy[live] - 2.0 * np.einsum("si,si->s", updated, xy[live]) + fitted)
+        n = rows[live]
+        noise[live] = np.maximum(1e-9, 2.0 * rest / (n + np.sqrt(n * n + 4.0 * inverse * rest)))
+        live = live[moved >= 1e-7]
+        if live.size == 0:
             break
     return theta
 
 
-def _predict_series(pdf: pd.DataFrame, settings: Settings) -> dict[str, float | None]:
-    pdf = pdf.sort_values("segment")
+def _read_series(
+    theta: np.ndarray, starts: np.ndarray, scale: float, first: int, last: int, step: int,
+    settings: Settings,
+) -> dict[str, float | None]:
+    """FC2-FC4 of one fitted series; times in microseconds."""
     out: dict[str, float | None] = dict.fromkeys(FORECAST_COLUMNS)
-    scale = float(pdf["peak"].iloc[0]) or 1.0
-    products = np.stack(pdf["products"].to_numpy())
-    factors = np.ones(len(_TERMS))
-    factors[-1] = 1.0 / scale
-    products = products * np.array([factors[i] * factors[j] for i, j in _PAIRS])
-    segments = pdf["segment"].to_numpy()
-    starts = pdf.loc[pdf["segment"] >= 1, "starts_at"].to_numpy(dtype=float)
-    try:
-        theta = _fit(products, starts, segments)
-    except np.linalg.LinAlgError:
-        return out
-    step = int(pdf["step_minutes"].iloc[0])
     longest = max(settings.horizons_days) if settings.horizons_days else 7
     ahead = np.arange(1, longest * DAY_MINUTES // step + 1, dtype=np.int64) * step
     if ahead.size == 0:
         return out
-    first = pd.Timestamp(pdf["first_ts"].iloc[0]).value
-    last = pd.Timestamp(pdf["last_ts"].iloc[0]).value
-    when = last + ahead * 60_000_000_000
+    when = last + ahead * 60_000_000
     t = (when - first) / (last - first)
-    day = (when % 86_400_000_000_000) / 8.64e13
-    columns = [t, np.ones_like(t)] + [np.maximum(t - start, 0.0) for start in starts]
-    for order in range(1, SEASON_ORDER + 1):
-        columns += [np.cos(2.0 * np.pi * order * day), np.sin(2.0 * np.pi * order * day)]
-    yhat = np.clip(np.stack(columns, axis=1) @ theta * scale, 0.0, 100.0)
+    # All knots lie in the past, so the trend ahead is one line.
+    n_knots = len(starts)
+    knots = theta[2 : 2 + n_knots]
+    trend = (theta[0] + knots.sum()) * t + theta[1] - knots @ starts
+    angle = 2.0 * np.pi * ((when % 86_400_000_000) / 8.64e10)[:, None] * np.arange(1, SEASON_ORDER + 1)
+    season = theta[2 + n_knots :]
+    daily = np.cos(angle) @ season[0::2] + np.sin(angle) @ season[1::2]
+    yhat = np.clip((trend + daily) * scale, 0.0, 100.0)
     for days in settings.horizons_days:
-        reached = np.flatnonzero(ahead >= days * DAY_MINUTES)
-        if days in SUPPORTED_HORIZONS and reached.size:
-            out[horizon_column(days)] = float(yhat[reached[0]])
+        place = np.searchsorted(ahead, days * DAY_MINUTES)
+        if days in SUPPORTED_HORIZONS and place < ahead.size:
+            out[horizon_column(days)] = float(yhat[place])
     crossed = np.flatnonzero(yhat >= settings.fill_pct)
     if crossed.size:
         out["hours_to_90pct"] = float(ahead[crossed[0]]) / 60.0
     return out
 
 
-def piecewise_forecast(telemetry: DataFrame, keys=SERIES_KEY, settings: Settings = DEFAULTS) -> DataFrame:
-    """FC1 with FC2-FC5. Piecewise-linear trend, daily seasonality, point estimates.
-
-    Spark reduces the samples to product sums; Python only solves one small
-    system per series. Series below the row minimum come back with nulls.
+def _solve_batch(pdf: pd.DataFrame, settings: Settings) -> pd.DataFrame:
+    """Forecast columns of a batch of series, in its order; null without sums."""
+    values = pd.DataFrame(np.nan, index=range(len(pdf)), columns=FORECAST_COLUMNS)
+    fitted = np.flatnonzero(pdf["starts"].notna().to_numpy())
+    if fitted.size == 0:
+        return values
+    pdf = pdf.iloc[fitted]
+    counts = np.array([len(starts) for starts in pdf["starts"]])
+    products = np.zeros((len(pdf), N_KNOTS + 1, len(_PAIRS)))
+    starts = np.ones((len(pdf), N_KNOTS))
+    scale = pdf["peak"].to_numpy(dtype=float)
+    scale = np.where(scale == 0.0, 1.0, scale)
+    for row, (begin, flat) in enumerate(zip(pdf["starts"], pdf["products"])):
+        products[row, : counts[row]] = np.asarray(flat, dtype=float).reshape(counts[row], -1)
+        starts[row, : counts[row] - 1] = begin[1:]
+    powers = np.array([(i == len(_TERMS) - 1) + (j == len(_TERMS) - 1) for i, j in _PAIRS])
+    products /= scale[:, None, None] ** powers
+    used = np.arange(N_KNOTS) < (counts - 1)[:, None]
+    theta = _fit(_gram(products, starts), used)
+    theta[:, 2 : 2 + N_KNOTS] *= used
+    times = zip(pdf["first_us"], pdf["last_us"], pdf["step_minutes"])
+    solved = [
+        _read_series(theta[row], starts[row], scale[row], int(first), int(last), int(step), settings)
+        for row, (first, last, step) in enumerate(times)
+    ]
+    values.iloc[fitted] = pd.DataFrame(solved, columns=FORECAST_COLUMNS, dtype=float).to_numpy()
+    return values
+
+
+def solve_trends(
+    base: DataFrame, sums: DataFrame, keys=SERIES_KEY, settings: Settings = DEFAULTS
+) -> DataFrame:
+    """FC1. ``base`` (one row per series, with step_minutes) plus its forecast columns.
+
+    Spark reduced the samples to product sums; Python only solves a batch of
+    small systems, many series at a time. Series without sums keep nulls (FC5).
     """
     keys = list(keys)
-    sums = trend_sums(telemetry, keys, settings)
+    kept = [name for name in base.columns if name != "step_minutes"]
+
+    def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for begin in range(0, len(batch), BATCH_SERIES):
+                part = batch.iloc[begin : begin + BATCH_SERIES].reset_index(drop=True)
+                yield pd.concat([part[kept], _solve_batch(part, settings)], axis=1)
 
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        head = {name: pdf[name].iloc[0] for name in keys}
-        return pd.DataFrame([head | _predict_series(pdf, settings)])
+    fields = [T.StructField(name, base.schema[name].dataType) for name in kept]
+    fields += [T.StructField(name, T.DoubleType()) for name in FORECAST_COLUMNS]
+    return base.join(sums, keys, "left").mapInPandas(solve, T.StructType(fields))
 
-    fields = [f"{name} string" for name in keys] + [f"{name} double" for name in FORECAST_COLUMNS]
-    fitted = sums.groupBy(*keys).applyInPandas(solve, ", ".join(fields))
-    every = telemetry.groupBy(*keys).agg(F.count("*").alias("n")).drop("n")
-    return every.join(fitted, keys, "left")
+
+def piecewise_forecast(telemetry: DataFrame, keys=SERIES_KEY, settings: Settings = DEFAULTS) -> DataFrame:
+    """FC1 with FC2-FC5. Piecewise-linear trend, daily seasonality, point estimates."""
+    rows = series_context(telemetry, keys)
+    return solve_trends(period_of(rows, keys), trend_sums(rows, keys, settings), keys, settings)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
+from pyspark import StorageLevel
 from pyspark.ml.classification import GBTClassificationModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -11,41 +12,52 @@ from pyspark.sql import functions as F
 from brimwatch.config import DEFAULTS, Settings
 from brimwatch.functions.scalar import short_id
 from brimwatch.operators import anomaly
-from brimwatch.operators.features import series_features
+from brimwatch.operators.features import period_of, series_features, series_summary
 from brimwatch.operators.fleet import cycle_stats
-from brimwatch.operators.forecast import FORECAST_COLUMNS, piecewise_forecast, seasonal_forecast
+from brimwatch.operators.forecast import (
+    FORECAST_COLUMNS,
+    forecast_grid,
+    read_horizons,
+    seasonal_model,
+    solve_trends,
+    straight_line,
+    trend_sums,
+)
+from brimwatch.operators.skew import series_context
 from brimwatch.operators.trigger import with_trigger
 from brimwatch.schemas import PREDICTIONS, SERIES_KEY
 from brimwatch.sources.scans import trailing
 from brimwatch.sources.sinks import append_partitioned
 
-FORECASTERS = {"piecewise": piecewise_forecast, "seasonal": seasonal_forecast}
 
-
-def score_fleet(
-    telemetry: DataFrame,
+def score_series(
+    rows: DataFrame,
     as_of: datetime,
     model: GBTClassificationModel | None,
     settings: Settings = DEFAULTS,
     forecaster: str = "piecewise",
     keys=SERIES_KEY,
 ) -> DataFrame:
-    """CYC1 up to the write: one prediction per series of the trailing window.
+    """Predictions from samples in series order, one per series.
 
-    Features and forecast start from the same shuffle of the samples. Scores
-    are kept per (host, device), so every device gets its own. Without a model
-    the anomaly score is 0.
+    Features, period and forecast are aggregates of the same rows; scores are
+    kept per (host, device), so every device gets its own. Without a model the
+    anomaly score is 0.
     """
     keys = list(keys)
-    window = trailing(telemetry, as_of, settings.history_days)
-    features = series_features(window, keys, settings)
+    base = series_summary(rows, keys, settings)
+    if forecaster == "piecewise":
+        forecasts = solve_trends(base, trend_sums(rows, keys, settings), keys, settings)
+    elif forecaster == "seasonal":
+        grid = forecast_grid(seasonal_model(rows, period_of(rows, keys), keys), keys, settings)
+        forecasts = base.join(read_horizons(grid, keys, settings), keys)
+    else:
+        raise ValueError(f"unknown forecaster {forecaster!r}")
     if model is None:
-        scores = features.withColumn("anomaly_score", F.lit(0.0))
+        scored = forecasts.withColumn("anomaly_score", F.lit(0.0))
     else:
-        scores = anomaly.score(model, features)
-    forecasts = FORECASTERS[forecaster](window, keys, settings)
-    joined = scores.select(*keys, "anomaly_score").join(forecasts, keys)
-    stamped = joined.select(
+        scored = anomaly.score(model, forecasts)
+    stamped = scored.select(
         short_id("pred-", *[F.col(name) for name in keys], F.lit(as_of.isoformat())).alias(
             "prediction_id"
         ),
@@ -58,17 +70,40 @@ def score_fleet(
     return with_trigger(stamped, settings).select(*[field.name for field in PREDICTIONS])
 
 
+def score_fleet(
+    telemetry: DataFrame,
+    as_of: datetime,
+    model: GBTClassificationModel | None,
+    settings: Settings = DEFAULTS,
+    forecaster: str = "piecewise",
+    keys=SERIES_KEY,
+) -> DataFrame:
+    """CYC1 up to the write: one prediction per series of the trailing window."""
+    rows = series_context(trailing(telemetry, as_of, settings.history_days), keys)
+    return score_series(rows, as_of, model, settings, forecaster, keys)
+
+
 def run_cycle(
     telemetry: DataFrame,
     as_of: datetime,
-    model: GBTClassificationModel,
+    model: GBTClassificationModel | None,
     path: str,
     settings: Settings = DEFAULTS,
     forecaster: str = "piecewise",
 ) -> dict:
-    """CYC1, AG15. Score, append and return the counts of this cycle."""
+    """CYC1, SNK4, AG15. Score, append and return the counts of this cycle.
+
+    The window in series order is kept for the time of the cycle, so the samples
+    are read and shuffled once for all aggregates; lost blocks are recomputed.
+    """
     spark = telemetry.sparkSession
-    append_partitioned(score_fleet(telemetry, as_of, model, settings, forecaster), path)
+    rows = series_context(
+        trailing(telemetry, as_of, settings.history_days), SERIES_KEY
+    ).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        append_partitioned(score_series(rows, as_of, model, settings, forecaster), path)
+    finally:
+        rows.unpersist()
     written = spark.read.parquet(path).where(F.col("ts") == F.lit(as_of))
     return cycle_stats(written).first().asDict()
 
@@ -90,8 +125,6 @@ def score_host(
 
 def at_risk(telemetry: DataFrame, settings: Settings = DEFAULTS, keys=SERIES_KEY) -> DataFrame:
     """Series features, straight-line value in seven days, and the trigger on it."""
-    from brimwatch.operators.forecast import straight_line
-
     features = series_features(telemetry, keys, settings)
     line = straight_line(telemetry, keys).select(*keys, F.col("line_pct").alias("forecast_7d_pct"))
     joined = features.join(line, list(keys)).withColumns(

@@ -3,11 +3,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from brimwatch.operators import forecast, trigger
-from brimwatch.operators.features import FEATURES
+from brimwatch.operators.features import FEATURES, period_of
+from brimwatch.operators.skew import series_context
 from brimwatch.plans.cycle import at_risk
 from brimwatch.plans.registered.aggregates import PERIOD_SQL, feature_columns, features_sql
 from brimwatch.plans.registered.base import r6, register, stamp
 from brimwatch.plans.sqlviews import r6 as q6, r9 as q9, stamp as qstamp, with_views
+from brimwatch.schemas import SERIES_KEY
 from brimwatch.sources import sample as V
 
 SEASONAL_SQL = f"""{PERIOD_SQL.strip()},
@@ -61,7 +63,8 @@ def seasonal(spark, d):
 )
 def grid(spark, d):
     """FC2."""
-    model = forecast.seasonal_model(V.telemetry(spark, d, one_device=True))
+    rows = series_context(V.telemetry(spark, d, one_device=True), SERIES_KEY)
+    model = forecast.seasonal_model(rows, period_of(rows))
     points = forecast.forecast_grid(model).where(F.col("ahead_minutes").isNotNull())
     return points.select("host_id", stamp("ts").alias("ts"), r6("yhat").alias("yhat"))
 

@@ -2,9 +2,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from brimwatch.config import Settings
 from brimwatch.operators import anomaly
 from brimwatch.operators.features import series_features
-from brimwatch.plans.cycle import score_fleet
+from brimwatch.plans.cycle import run_cycle
 from brimwatch.plans.registered.base import r6, register
 from brimwatch.plans.sqlviews import with_views
 from brimwatch.session import fresh_dir
@@ -51,11 +52,10 @@ def score(spark, d):
 
 @register("cycle_fleet")
 def cycle(spark, d):
-    """CYC1, SNK4: features, score, piecewise forecast and trigger over the full history."""
-    from brimwatch.config import Settings
-
+    """CYC1, SNK4: features, score, piecewise forecast and trigger, appended and read back."""
     model = anomaly.train(labelled(spark, d), trees=TREES).model
-    rows = score_fleet(
-        V.telemetry(spark, d, one_device=True), V.as_of(spark, d), model, Settings(history_days=30)
+    path = fresh_dir(spark, "predictions")
+    run_cycle(
+        V.telemetry(spark, d, one_device=True), V.as_of(spark, d), model, path, Settings(history_days=30)
     )
-    return rows.drop("ts")
+    return spark.read.parquet(path).drop("ts", "run_date")

@@ -50,7 +50,7 @@ def redact_documents(spark, d):
 )
 def redact_records(spark, d):
     """RED15: all string columns of a record, other columns untouched."""
-    rows = R.redact(V.read(spark, d, "conversations"))
+    rows = R.redact(V.wide(V.read(spark, d, "conversations")))
     return rows.select(
         "conv_id", "turn", "role", "text", R.total_redactions(F.col("redactions")).cast("long").alias("hits")
     )
@@ -66,7 +66,7 @@ def redact_records(spark, d):
 )
 def redact_pages(spark, d):
     """RED1-RED14 over whole raw pages, as one expression without counters for the text."""
-    rows = V.read(spark, d, "pages").select("page_id", F.col("html").alias("text"))
+    rows = V.wide(V.read(spark, d, "pages").select("page_id", F.col("html").alias("text")))
     counted = R.redact(rows, ["text"]).select("page_id", counts_text().alias("counts"))
     return rows.select("page_id", R.redacted(F.col("text")).alias("text")).join(counted, "page_id")
 

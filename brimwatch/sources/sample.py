@@ -20,6 +20,17 @@ def read(spark: SparkSession, folder: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{table}.parquet")
 
 
+def wide(df: DataFrame) -> DataFrame:
+    """Rows spread over all task slots when the table has fewer files than slots.
+
+    A sample table is one file with one row group, which a single task reads;
+    work that is heavy per row would then run on one core. A table of many
+    files is left as it is, without a shuffle.
+    """
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    return df if len(df.inputFiles()) >= slots else df.repartition(slots)
+
+
 def host_id(key: str) -> Column:
     return F.concat(
         F.when(F.col(key) % 25 == 0, F.lit("demo-")).otherwise(F.lit("host-")),
@@ -240,7 +251,10 @@ def files(spark: SparkSession, folder: str) -> DataFrame:
     root = F.when(F.col("l_orderkey") % 13 == 5, "/opt/other").otherwise(monitored_path("l_suppkey"))
     folder_name = F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey")
     scale = F.expr("if(l_suppkey % 3 = 0, 400.0D, 20000.0D)")
-    return read(spark, folder, "lineitem").select(
+    used = read(spark, folder, "lineitem").select(
+        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate"
+    )
+    return wide(used).select(
         host_id("l_suppkey").alias("host_id"),
         F.concat_ws("/", root, folder_name, name).alias("path"),
         F.floor(F.col("l_extendedprice") * scale).cast("long").alias("size_bytes"),
@@ -291,7 +305,7 @@ def series_labels(spark: SparkSession, folder: str) -> DataFrame:
 
 def model_outputs(spark: SparkSession, folder: str) -> DataFrame:
     """Raw model answers, one per order: clean JSON, prose around it, and every defect."""
-    return read(spark, folder, "orders").select(
+    return wide(read(spark, folder, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")).select(
         F.concat(F.lit("pred-"), F.lpad(F.col("o_orderkey").cast("string"), 10, "0")).alias(
             "prediction_id"
         ),
@@ -321,7 +335,7 @@ def redaction_corpus(spark: SparkSession, folder: str) -> DataFrame:
     The documents hold real e-mail, IPv4 and 40-character hits; the added line
     exercises the other categories.
     """
-    return read(spark, folder, "documents").select(
+    return wide(read(spark, folder, "documents").select("doc_id", "text")).select(
         "doc_id", F.concat(F.col("text"), F.lit("\n"), planted_line("doc_id")).alias("text")
     )
 
