@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from brimwatch.operators.skew import top_per_key
@@ -142,6 +142,10 @@ def _few_docs(queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
     return queries.mapInPandas(scan, _schema(queries, corpus))
 
 
+def _numbers(count: int) -> Column:
+    return F.sequence(F.lit(0).cast("long"), F.lit(count - 1).cast("long"))
+
+
 def _in_blocks(queries: DataFrame, corpus: DataFrame, k: int, n_queries: int, n_docs: int) -> DataFrame:
     """Both sides in hashed blocks of bounded size; each block pair is one group."""
     q_blocks = max(1, -(-n_queries // BLOCK_ROWS))
@@ -149,12 +153,12 @@ def _in_blocks(queries: DataFrame, corpus: DataFrame, k: int, n_queries: int, n_
     left = queries.select(
         "*",
         F.pmod(F.xxhash64("query_id"), F.lit(q_blocks)).alias("qb"),
-        F.explode(F.sequence(F.lit(0), F.lit(d_blocks - 1))).cast("long").alias("db"),
+        F.explode(_numbers(d_blocks)).alias("db"),
     )
     right = corpus.select(
         "*",
         F.pmod(F.xxhash64("doc_id"), F.lit(d_blocks)).alias("db"),
-        F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))).cast("long").alias("qb"),
+        F.explode(_numbers(q_blocks)).alias("qb"),
     )
 
     def meet(q: pd.DataFrame, d: pd.DataFrame) -> pd.DataFrame:
@@ -172,7 +176,7 @@ def _in_blocks(queries: DataFrame, corpus: DataFrame, k: int, n_queries: int, n_
     )
 
 
-def similarity(a, b):
+def similarity(a: Column, b: Column) -> Column:
     """SC13. Cosine similarity of two array columns as a built-in expression."""
     dot = F.aggregate(
         F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")),
