@@ -50,8 +50,9 @@ FALLBACK_ROLE = "app"
 
 Playbooks = Mapping[str, Sequence[Rule]]
 
-# Files per host and round handed to the sequential part of the plan.
-ROUND_FILES = 200
+# Files per host and round handed to the sequential part of the plan. Up to this
+# number Spark trims a ranked key in every map task (windowGroupLimitThreshold).
+ROUND_FILES = 1000
 
 
 def playbook_role(role: Column, playbooks: Playbooks = PLAYBOOKS) -> Column:

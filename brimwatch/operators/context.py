@@ -71,13 +71,17 @@ def doc_block(found: DataFrame, key: str = "query_id") -> DataFrame:
     gathered = (
         found.select(key, "rank", "doc_id", entry.alias("entry"))
         .groupBy(key)
-        .agg(F.sort_array(F.collect_list(F.struct("rank", "doc_id", "entry"))).alias("_rows"))
+        .agg(
+            # Apart, so that a plan without the text does not gather it.
+            F.sort_array(F.collect_list(F.struct("rank", "doc_id"))).alias("_ids"),
+            F.sort_array(F.collect_list(F.struct("rank", "entry"))).alias("_texts"),
+        )
     )
     return gathered.select(
         key,
-        F.size("_rows").alias("doc_count"),
-        F.transform("_rows", lambda row: row["doc_id"]).alias("doc_ids"),
-        F.array_join(F.transform("_rows", lambda row: row["entry"]), "\n\n").alias("doc_context"),
+        F.size("_ids").alias("doc_count"),
+        F.transform("_ids", lambda row: row["doc_id"]).alias("doc_ids"),
+        F.array_join(F.transform("_texts", lambda row: row["entry"]), "\n\n").alias("doc_context"),
     )
 
 

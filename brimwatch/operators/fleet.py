@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from brimwatch.config import DEFAULTS, Settings
 from brimwatch.functions.scalar import bytes_to_gb
-from brimwatch.operators.latest import latest_per, latest_predictions
+from brimwatch.operators.latest import latest_predictions, latest_telemetry, triggered_hosts
 from brimwatch.operators.skew import top_per_key
 from brimwatch.operators.trigger import status
 
@@ -30,9 +30,8 @@ def fleet_overview(
 
     Both facts shrink to one row per host before they meet the inventory.
     """
-    samples = latest_per(
-        telemetry.select("host_id", "ts", "device", "in_use_pct", "used_bytes", "total_bytes"),
-        ["host_id"], "ts", ["device"],
+    samples = latest_telemetry(
+        telemetry.select("host_id", "ts", "device", "in_use_pct", "used_bytes", "total_bytes")
     ).drop("device")
     newest = latest_predictions(
         predictions.select(
@@ -111,8 +110,6 @@ def table_counts(
     hosts: DataFrame, predictions: DataFrame, runs: DataFrame, tickets: DataFrame
 ) -> DataFrame:
     """AG14, SET1. One row per table, and the hosts triggered by their newest prediction."""
-    from brimwatch.operators.latest import triggered_hosts
-
     parts = {
         "hosts": hosts, "predictions": predictions, "agent_runs": runs, "tickets": tickets,
         "triggered": triggered_hosts(predictions),

@@ -9,7 +9,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from brimwatch.functions.scalar import round_exact
-from brimwatch.operators.latest import latest_per
 from brimwatch.operators.skew import carry_forward
 from brimwatch.schemas import SERIES_KEY
 
@@ -22,13 +21,13 @@ def missing_slots(
     Hosts without a sample, or with nothing elapsed, give no rows. ``as_of`` is
     cut to the minute.
     """
-    last = latest_per(telemetry.select("host_id", "ts", "device"), ["host_id"], "ts", ["device"])
+    last = telemetry.groupBy("host_id").agg(F.max("ts").alias("last_ts"))
     now = F.date_trunc("minute", F.lit(as_of))
     step = F.make_dt_interval(mins=F.lit(step_minutes))
     begin = F.col("last_ts") + step
     return (
         hosts.select("host_id", "monitored_path")
-        .join(last.select("host_id", F.col("ts").alias("last_ts")), "host_id")
+        .join(last, "host_id")
         .where(begin <= now)
         .select(
             "host_id",
@@ -71,7 +70,9 @@ def fill_forward(
     slots = regular_grid(telemetry, as_of, step_minutes, keys).select(
         *keys, "ts", F.lit(1).alias("is_slot"), F.lit(None).cast("double").alias("in_use_pct")
     )
-    filled = carry_forward(samples.unionByName(slots), keys, "ts", ["is_slot"], "in_use_pct")
+    filled = carry_forward(
+        samples.unionByName(slots), keys, "ts", ["is_slot"], "in_use_pct", unique_ts=True
+    )
     return filled.where("is_slot = 1").drop("is_slot")
 
 

@@ -7,6 +7,8 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from brimwatch.operators.skew import salted_join
+
 
 def latest_per(
     df: DataFrame,
@@ -27,8 +29,17 @@ def latest_per(
 
 
 def latest_telemetry(telemetry: DataFrame) -> DataFrame:
-    """LAT1 over telemetry; the device breaks ties."""
-    return latest_per(telemetry, ["host_id"], "ts", ["device"])
+    """LAT1 over telemetry; the device breaks ties.
+
+    A sample's time is unique within its (host, device), so the heavy first step
+    keeps plain numbers per series and runs as a hash aggregate; only the few
+    devices of a host are compared as whole rows.
+    """
+    numbers = [name for name in telemetry.columns if name not in ("host_id", "device", "ts")]
+    series = telemetry.groupBy("host_id", "device").agg(
+        F.max("ts").alias("ts"), *[F.max_by(name, "ts").alias(name) for name in numbers]
+    )
+    return latest_per(series.select(*telemetry.columns), ["host_id"], "ts", ["device"])
 
 
 def latest_predictions(
@@ -36,7 +47,9 @@ def latest_predictions(
 ) -> DataFrame:
     """LAT2. Newest prediction per (host, device), optionally for some hosts only (PRJ4)."""
     if isinstance(host_ids, DataFrame):
-        predictions = predictions.join(host_ids.select("host_id"), "host_id", "left_semi")
+        predictions = salted_join(
+            predictions, host_ids.select("host_id"), ["host_id"], "left_semi", ["prediction_id"]
+        )
     elif host_ids is not None:
         predictions = predictions.where(F.col("host_id").isin(list(host_ids)))
     keys = ["host_id", "device"] if by_device else ["host_id"]

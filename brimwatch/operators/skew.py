@@ -94,24 +94,22 @@ def carry_forward(
     order: Sequence[str],
     value: str,
     seconds: int = 24 * 3600,
+    unique_ts: bool = False,
 ) -> DataFrame:
     """Replace ``value`` by the last non-null one at or before each row of its key.
 
-    ``order`` breaks ties on equal ``ts``. Basis of gap filling and of the
-    as-of join.
+    ``order`` breaks ties on equal ``ts``. Where no two rows with a value share
+    a time, ``unique_ts`` lets the slices be reduced by hash and not by sort.
+    Basis of gap filling and of the as-of join.
     """
     keys = list(keys)
     rows = df.withColumn(SLICE, slice_of(F.col(ts), seconds))
-    by_time = F.struct(ts, *order)
-    tails = (
-        rows.where(F.col(value).isNotNull())
-        .groupBy(*keys, SLICE)
-        .agg(F.max_by(F.struct(value), by_time).alias("_tail"))
-    )
-    # Slices without a value must still receive one, so the slice list is of all rows.
-    slices = rows.groupBy(*keys, SLICE).agg(F.lit(1).alias("_one")).drop("_one")
+    present = F.col(value).isNotNull()
+    # A slice without a value keeps a null tail and still receives a carry.
+    newest = F.col(ts) if unique_ts else F.struct(ts, *order)
+    tails = rows.groupBy(*keys, SLICE).agg(F.max_by(value, F.when(present, newest)).alias("_tail"))
     earlier = W.partitionBy(*keys).orderBy(SLICE).rowsBetween(W.unboundedPreceding, -1)
-    carries = slices.join(tails, [*keys, SLICE], "left").select(
+    carries = tails.select(
         *keys, SLICE, F.last("_tail", ignorenulls=True).over(earlier).alias("_carry")
     )
     inside = (
@@ -120,7 +118,7 @@ def carry_forward(
     held = rows.withColumn("_held", F.last(value, ignorenulls=True).over(inside))
     return (
         held.join(carries, [*keys, SLICE])
-        .withColumn(value, F.coalesce("_held", F.col("_carry")[value]))
+        .withColumn(value, F.coalesce("_held", "_carry"))
         .drop("_held", "_carry", SLICE)
     )
 

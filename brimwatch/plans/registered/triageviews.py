@@ -3,11 +3,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from brimwatch.operators import cleanup, context, decision, tickets
+from brimwatch.operators.skew import salted_join
 from brimwatch.plans import triage
 from brimwatch.plans.registered.base import r6, register, stamp
 from brimwatch.plans.registered.texts import host_queries
 from brimwatch.plans.sqlviews import r6 as q6, stamp as qstamp, with_views
 from brimwatch.sources import sample as V
+from brimwatch.sources.sinks import link_tickets
 
 
 def decision_input(spark, d):
@@ -15,7 +17,9 @@ def decision_input(spark, d):
     scored = V.predictions(spark, d).drop("model_version", "device", "triggered_agent")
     answers = context.parse_answers(V.model_outputs(spark, d)).drop("raw", "host_id")
     owners = V.hosts(spark, d).select("host_id", "environment", "role", "monitored_path")
-    joined = scored.join(answers, "prediction_id").join(owners, "host_id")
+    joined = salted_join(
+        scored.join(answers, "prediction_id"), owners, ["host_id"], spread=["prediction_id"]
+    )
     return joined.withColumn(
         "doc_count", F.split_part("prediction_id", F.lit("-"), F.lit(2)).cast("long") % 6
     )
@@ -90,8 +94,6 @@ def outcome(spark, d):
 )
 def summary(spark, d):
     """DEC12, SNK6."""
-    from brimwatch.sources.sinks import link_tickets
-
     linked = link_tickets(V.runs(spark, d), V.tickets(spark, d))
     return linked.select("run_id", decision.plain_summary().alias("summary"))
 
@@ -100,7 +102,9 @@ def audit_rows(spark, d):
     """Sample runs with their host and prediction: the input of ticket creation."""
     scored = V.predictions(spark, d).drop("ts", "host_id", "device", "model_version", "triggered_agent")
     owners = V.hosts(spark, d).select("host_id", "role", "environment", "monitored_path")
-    return V.runs(spark, d).join(scored, "prediction_id").join(owners, "host_id")
+    return salted_join(
+        V.runs(spark, d).join(scored, "prediction_id"), owners, ["host_id"], spread=["run_id"]
+    )
 
 
 AUDIT_SQL = """audit AS (

@@ -14,8 +14,10 @@ from brimwatch.functions.scalar import short_id
 from brimwatch.operators import cleanup, context, decision, tickets
 from brimwatch.operators.latest import latest_predictions
 from brimwatch.operators.retrieve import cosine_top_k
+from brimwatch.operators.skew import salted_join
 from brimwatch.schemas import RUNS
 from brimwatch.session import cut_lineage
+from brimwatch.sources.sinks import link_tickets
 
 
 def triggered_context(hosts: DataFrame, predictions: DataFrame) -> DataFrame:
@@ -36,8 +38,9 @@ def redacted_listing(files: DataFrame, as_of: datetime) -> DataFrame:
 
 def redacted_docs(queries: DataFrame, corpus: DataFrame, k: int = context.CONTEXT_DOCS) -> DataFrame:
     """RET1, RED16, CTX2. Document text per query with redacted content and counts."""
-    best = cosine_top_k(queries, corpus, k)
-    clean = R.redact(corpus.select("doc_id", "source", "title", "content"), ["content"])
+    best = cut_lineage(cosine_top_k(queries, corpus, k))
+    used = corpus.join(best.select("doc_id"), "doc_id", "left_semi")
+    clean = R.redact(used.select("doc_id", "source", "title", "content"), ["content"])
     found = best.join(clean, "doc_id")
     counts = found.groupBy("query_id").agg(
         R.merged_counts(F.col("redactions")).alias("doc_redactions")
@@ -56,13 +59,19 @@ def prompts(
     """CTX3. One prompt per triggered host, ready for batch inference.
 
     ``query_vectors`` holds host_id, query_id and embedding: the vector of the
-    host's query text. Hosts with the same query share one search.
+    host's query text. Hosts with the same query share one search. Files and
+    queries of other hosts are dropped before any ranking, and only documents
+    that were found are redacted.
     """
     rows = triggered_context(hosts, predictions).withColumn("query_text", context.query_text())
-    wanted = query_vectors.select("host_id", "query_id")
-    searched = query_vectors.groupBy("query_id").agg(F.any_value("embedding").alias("embedding"))
+    rows = cut_lineage(rows)
+    asking = rows.select("host_id")
+    asked = query_vectors.join(asking, "host_id", "left_semi")
+    wanted = asked.select("host_id", "query_id")
+    searched = asked.groupBy("query_id").agg(F.any_value("embedding").alias("embedding"))
     docs = redacted_docs(searched, corpus)
-    listing = redacted_listing(files, as_of)
+    listed = salted_join(files, asking, ["host_id"], "left_semi", ["path"])
+    listing = redacted_listing(listed, as_of)
     joined = (
         rows.join(listing, "host_id", "left")
         .join(wanted, "host_id", "left")
@@ -129,7 +138,8 @@ def resolve(
     settings: Settings = DEFAULTS,
 ) -> Triage:
     """DEC9-DEC11, CLN4, TKT3, SNK5, SNK6 for all decided hosts at once."""
-    decided = cut_lineage(decided)
+    # The evidence texts have served their purpose; they are not stored again.
+    decided = cut_lineage(decided.drop("prompt", "doc_context", "file_listing", "raw"))
     acting = decided.where(decision.runs_cleanup()).select("host_id")
     plan = cleanup.cleanup_plan(
         files, hosts.join(acting, "host_id", "left_semi"), files_as_of or as_of, settings
@@ -148,7 +158,5 @@ def resolve(
         .withColumns({"ticket_id": F.lit(None).cast("string"), "error": F.lit(None).cast("string")})
     )
     filed = cut_lineage(tickets.create_tickets(audit, existing_tickets))
-    from brimwatch.sources.sinks import link_tickets
-
     runs = link_tickets(audit.select(*[field.name for field in RUNS]), filed)
     return Triage(decided, plan, runs, filed)

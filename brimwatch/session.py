@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -60,8 +61,6 @@ def shared_dir(spark: SparkSession) -> str:
 
 def fresh_dir(spark: SparkSession, name: str) -> str:
     """A new, not yet used path below the shared folder."""
-    import uuid
-
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
