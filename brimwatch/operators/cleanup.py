@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from brimwatch.config import DEFAULTS, Settings
 from brimwatch.functions import scalar as S
-from brimwatch.operators.skew import salted_join, top_per_key
+from brimwatch.operators.skew import skew_join, top_per_key
 from brimwatch.session import cut_lineage
 
 
@@ -85,7 +85,7 @@ def with_host_rules(
     owners = hosts.select(
         "host_id", "monitored_path", playbook_role(F.col("role"), playbooks).alias("playbook")
     )
-    joined = salted_join(files, owners, ["host_id"], spread=["path"])
+    joined = skew_join(files, owners, ["host_id"], spread=["path"])
     return joined.withColumn("age_days", S.age_days(F.lit(as_of), F.col("mtime")))
 
 
@@ -189,7 +189,7 @@ def capped_picks(candidate_rows: DataFrame, settings: Settings = DEFAULTS) -> Da
     rounds = [state]
     while not state.where("open").isEmpty():
         left = state.where("open").select("host_id", "freed", "taken", "last_seen")
-        ahead = salted_join(pool, left, ["host_id"], spread=["path"]).where(
+        ahead = skew_join(pool, left, ["host_id"], spread=["path"]).where(
             (F.struct(*_ORDER) > F.struct(*[F.col(f"last_seen.{name}") for name in _ORDER]))
             & (F.col("size_bytes") <= F.lit(cap) - F.col("freed"))
         )
@@ -229,7 +229,7 @@ def cleanup_plan(
         F.col("files_deleted").alias("_taken"),
         F.try_element_at("picks", F.lit(-1)).alias("_last"),
     )
-    marked = salted_join(
+    marked = skew_join(
         rows.join(chosen, ["host_id", "path"], "left"), ends, ["host_id"], "left", spread=["path"]
     )
     cap = int(settings.max_gb_per_run * S.GIB)

@@ -33,17 +33,20 @@ def query_text() -> Column:
     return F.concat_ws(" ", "os", "role", F.lit("server"), topic, "monitored_path")
 
 
-def file_listing(listed: DataFrame) -> DataFrame:
-    """CTX1. One text per host from its ranked files (at most ``LISTED_FILES``)."""
+def file_listing(listed: DataFrame, *extra: Column) -> DataFrame:
+    """CTX1. One text per host from its ranked files (at most ``LISTED_FILES``).
+
+    ``extra`` are further aggregates of the same pass.
+    """
     tab = F.lit("\t")
     line = F.concat(
         F.col("size_bytes").cast("string"), tab, S.fixed(F.col("age_days"), 1), tab,
         F.when(F.col("is_active_log"), "yes").otherwise("no"), tab, F.col("path"),
     )
     gathered = (
-        listed.select("host_id", "rank", line.alias("line"))
+        listed.withColumn("line", line)
         .groupBy("host_id")
-        .agg(F.sort_array(F.collect_list(F.struct("rank", "line"))).alias("_rows"))
+        .agg(F.sort_array(F.collect_list(F.struct("rank", "line"))).alias("_rows"), *extra)
     )
     total = F.size("_rows")
     shown = F.transform(F.slice("_rows", 1, SHOWN_FILES), lambda row: row["line"])
@@ -51,7 +54,7 @@ def file_listing(listed: DataFrame) -> DataFrame:
         F.lit("\n... and "), (total - SHOWN_FILES).cast("string"), F.lit(" more (truncated)")
     )
     return gathered.select(
-        "host_id",
+        *[name for name in gathered.columns if name != "_rows"],
         total.alias("n_files"),
         F.concat(
             F.lit("size_bytes\tage_days\tis_active\tpath\n"),
@@ -61,24 +64,28 @@ def file_listing(listed: DataFrame) -> DataFrame:
     )
 
 
-def doc_block(found: DataFrame, key: str = "query_id") -> DataFrame:
-    """CTX2. One text per query from its ranked documents (at most ``CONTEXT_DOCS``)."""
+def doc_block(found: DataFrame, *extra: Column, key: str = "query_id") -> DataFrame:
+    """CTX2. One text per query from its ranked documents (at most ``CONTEXT_DOCS``).
+
+    ``extra`` are further aggregates of the same pass.
+    """
     entry = F.concat(
         F.lit("["), F.col("rank").cast("string"), F.lit("] "), F.col("title"),
         F.lit(" (source="), F.col("source"), F.lit(", similarity="),
         S.fixed(F.col("similarity"), 2), F.lit(")\n"), F.col("content"),
     )
     gathered = (
-        found.select(key, "rank", "doc_id", entry.alias("entry"))
+        found.withColumn("entry", entry)
         .groupBy(key)
         .agg(
             # Apart, so that a plan without the text does not gather it.
             F.sort_array(F.collect_list(F.struct("rank", "doc_id"))).alias("_ids"),
             F.sort_array(F.collect_list(F.struct("rank", "entry"))).alias("_texts"),
+            *extra,
         )
     )
     return gathered.select(
-        key,
+        *[name for name in gathered.columns if name not in ("_ids", "_texts")],
         F.size("_ids").alias("doc_count"),
         F.transform("_ids", lambda row: row["doc_id"]).alias("doc_ids"),
         F.array_join(F.transform("_texts", lambda row: row["entry"]), "\n\n").alias("doc_context"),

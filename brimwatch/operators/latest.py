@@ -7,7 +7,7 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brimwatch.operators.skew import salted_join
+from brimwatch.operators.skew import skew_join
 
 
 def latest_per(
@@ -47,7 +47,7 @@ def latest_predictions(
 ) -> DataFrame:
     """LAT2. Newest prediction per (host, device), optionally for some hosts only (PRJ4)."""
     if isinstance(host_ids, DataFrame):
-        predictions = salted_join(
+        predictions = skew_join(
             predictions, host_ids.select("host_id"), ["host_id"], "left_semi", ["prediction_id"]
         )
     elif host_ids is not None:

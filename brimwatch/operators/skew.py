@@ -19,7 +19,6 @@ from brimwatch.session import cut_lineage
 
 SLICE = "_slice"
 DEFAULT_SLICE_SECONDS = 6 * 3600
-DEFAULT_SALTS = 16
 
 
 def slice_of(ts: Column, seconds: int) -> Column:
@@ -150,23 +149,28 @@ def numbered(
     )
 
 
-def salted_join(
+def skew_join(
     big: DataFrame,
     small: DataFrame,
     keys: Sequence[str],
     how: str = "inner",
     spread: Sequence[str] = (),
-    salts: int = DEFAULT_SALTS,
+    salts: int | None = None,
 ) -> DataFrame:
     """Equi-join of a fact side with possibly hot keys to a one-row-per-key side.
 
-    The fact side is spread over ``salts`` sub-keys by a hash of ``spread`` (its
-    other identifying columns); the small side is repeated once per sub-key. The
-    planner still broadcasts the small side where its size allows. ``how`` may
-    be inner, left, left_semi or left_anti.
+    By default a plain join: Spark broadcasts the small side where its size is
+    within the limit, so the facts are not shuffled at all; beyond the limit the
+    sort-merge join reads a skewed partition in slices (``configure`` turns that
+    on for every plan). With ``salts`` the fact side is instead spread over
+    sub-keys by a hash of ``spread`` (its other identifying columns) and the
+    small side repeated once per sub-key, for sessions without runtime
+    re-planning. ``how`` may be inner, left, left_semi or left_anti.
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
-        raise ValueError(f"unsupported join type for a salted join: {how}")
+        raise ValueError(f"unsupported join type for a skewed join: {how}")
+    if salts is None:
+        return big.join(small, list(keys), how)
     spread = list(spread) or [name for name in big.columns if name not in keys]
     salt = F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int")
     repeated = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from brimwatch import schemas as D
-from brimwatch.operators.skew import salted_join, series_context
+from brimwatch.operators.skew import skew_join, series_context
 
 
 def _member(name: str, allowed) -> Column:
@@ -89,4 +89,4 @@ def orphans(child: DataFrame, parent: DataFrame, child_key: str, parent_key: str
     """VAL3. Child rows whose parent is missing; rows without a reference are fine."""
     known = parent.select(F.col(parent_key).alias(child_key))
     referring = child.where(F.col(child_key).isNotNull())
-    return salted_join(referring, known, [child_key], "left_anti")
+    return skew_join(referring, known, [child_key], "left_anti")

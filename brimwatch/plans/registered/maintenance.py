@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from brimwatch.functions.scalar import round_exact
 from brimwatch.operators import gaps
 from brimwatch.operators.latest import latest_telemetry
-from brimwatch.operators.skew import salted_join
+from brimwatch.operators.skew import skew_join
 from brimwatch.plans.registered.base import r9, register, stamp
 from brimwatch.plans.sqlviews import exact, hid, r9 as q9, stamp as qstamp, with_views
 from brimwatch.session import fresh_dir
@@ -213,7 +213,7 @@ def delete(spark, d):
     """SNK9: by prefix, and by a table of ids."""
     rows = sinks.delete_prefix(V.telemetry(spark, d), "demo-")
     gone = V.hosts(spark, d).where("environment = 'dev'").select("host_id")
-    kept = salted_join(rows, gone, ["host_id"], "left_anti", spread=["ts"])
+    kept = skew_join(rows, gone, ["host_id"], "left_anti", spread=["ts"])
     return kept.select("host_id", stamp("ts").alias("ts"), "in_use_pct")
 
 

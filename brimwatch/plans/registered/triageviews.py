@@ -3,7 +3,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from brimwatch.operators import cleanup, context, decision, tickets
-from brimwatch.operators.skew import salted_join
+from brimwatch.operators.skew import skew_join
 from brimwatch.plans import triage
 from brimwatch.plans.registered.base import r6, register, stamp
 from brimwatch.plans.registered.texts import host_queries
@@ -17,7 +17,7 @@ def decision_input(spark, d):
     scored = V.predictions(spark, d).drop("model_version", "device", "triggered_agent")
     answers = context.parse_answers(V.model_outputs(spark, d)).drop("raw", "host_id")
     owners = V.hosts(spark, d).select("host_id", "environment", "role", "monitored_path")
-    joined = salted_join(
+    joined = skew_join(
         scored.join(answers, "prediction_id"), owners, ["host_id"], spread=["prediction_id"]
     )
     return joined.withColumn(
@@ -102,7 +102,7 @@ def audit_rows(spark, d):
     """Sample runs with their host and prediction: the input of ticket creation."""
     scored = V.predictions(spark, d).drop("ts", "host_id", "device", "model_version", "triggered_agent")
     owners = V.hosts(spark, d).select("host_id", "role", "environment", "monitored_path")
-    return salted_join(
+    return skew_join(
         V.runs(spark, d).join(scored, "prediction_id"), owners, ["host_id"], spread=["run_id"]
     )
 

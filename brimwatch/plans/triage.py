@@ -14,7 +14,7 @@ from brimwatch.functions.scalar import short_id
 from brimwatch.operators import cleanup, context, decision, tickets
 from brimwatch.operators.latest import latest_predictions
 from brimwatch.operators.retrieve import cosine_top_k
-from brimwatch.operators.skew import salted_join
+from brimwatch.operators.skew import skew_join
 from brimwatch.schemas import RUNS
 from brimwatch.session import cut_lineage
 from brimwatch.sources.sinks import link_tickets
@@ -29,11 +29,11 @@ def triggered_context(hosts: DataFrame, predictions: DataFrame) -> DataFrame:
 def redacted_listing(files: DataFrame, as_of: datetime) -> DataFrame:
     """SRC8, RED16, CTX1. Listing text per host with redacted paths and their counts."""
     listed = R.redact(context.largest_files(files, as_of), ["path"])
-    extra = listed.groupBy("host_id").agg(
+    return context.file_listing(
+        listed,
         R.merged_counts(F.col("redactions")).alias("file_redactions"),
         F.max("size_bytes").alias("largest"),
     )
-    return context.file_listing(listed).join(extra, "host_id")
 
 
 def redacted_docs(queries: DataFrame, corpus: DataFrame, k: int = context.CONTEXT_DOCS) -> DataFrame:
@@ -42,10 +42,7 @@ def redacted_docs(queries: DataFrame, corpus: DataFrame, k: int = context.CONTEX
     used = corpus.join(best.select("doc_id"), "doc_id", "left_semi")
     clean = R.redact(used.select("doc_id", "source", "title", "content"), ["content"])
     found = best.join(clean, "doc_id")
-    counts = found.groupBy("query_id").agg(
-        R.merged_counts(F.col("redactions")).alias("doc_redactions")
-    )
-    return context.doc_block(found).join(counts, "query_id")
+    return context.doc_block(found, R.merged_counts(F.col("redactions")).alias("doc_redactions"))
 
 
 def prompts(
@@ -70,7 +67,7 @@ def prompts(
     wanted = asked.select("host_id", "query_id")
     searched = asked.groupBy("query_id").agg(F.any_value("embedding").alias("embedding"))
     docs = redacted_docs(searched, corpus)
-    listed = salted_join(files, asking, ["host_id"], "left_semi", ["path"])
+    listed = skew_join(files, asking, ["host_id"], "left_semi", ["path"])
     listing = redacted_listing(listed, as_of)
     joined = (
         rows.join(listing, "host_id", "left")

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brimwatch import schemas as D
-from brimwatch.operators.skew import salted_join
+from brimwatch.operators.skew import skew_join
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:
@@ -44,7 +44,7 @@ def pinned_series(telemetry: DataFrame) -> DataFrame:
     first = telemetry.groupBy("host_id").agg(
         F.min_by("device", F.struct("ts", "device")).alias("device")
     )
-    return salted_join(telemetry, first, ["host_id", "device"], "left_semi", spread=["ts"])
+    return skew_join(telemetry, first, ["host_id", "device"], "left_semi", spread=["ts"])
 
 
 def as_points(telemetry: DataFrame) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from brimwatch.functions.redact import redact
 from brimwatch.operators.latest import latest_per
-from brimwatch.operators.skew import salted_join
+from brimwatch.operators.skew import skew_join
 from brimwatch.sources.sinks import TELEMETRY_KEY, insert_ignore
 
 # ST5. Rows later than this are dropped; it equals the retention of the table.
@@ -127,7 +127,7 @@ def scored(
 
     def work(batch: DataFrame, number: int) -> None:
         reported = batch.groupBy("host_id").agg(F.count("*").alias("n")).select("host_id")
-        rows = salted_join(history(), reported, ["host_id"], "left_semi", ["ts"])
+        rows = skew_join(history(), reported, ["host_id"], "left_semi", ["ts"])
         score(rows).write.mode("overwrite").parquet(f"{table}/version={number}")
 
     return _each_batch(telemetry, work, checkpoint, "append", available_now, interval)

@@ -45,16 +45,41 @@ def test_numbered_is_a_row_number(spark, rows):
         assert [r.number for r in mine] == list(range(1, len(mine) + 1))
 
 
+@pytest.mark.parametrize("salts", [None, 5])
 @pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
-def test_salted_join_equals_plain_join(spark, rows, how):
+def test_skew_join_equals_plain_join(spark, rows, how, salts):
     big = spark.createDataFrame(rows, "k string, ts timestamp, v double")
     small = spark.createDataFrame([("hot", 1), ("b", 2), ("none", 3)], "k string, w int")
-    got = skew.salted_join(big, small, ["k"], how, spread=["ts"], salts=5)
+    got = skew.skew_join(big, small, ["k"], how, spread=["ts"], salts=salts)
     want = big.join(small, "k", how)
     assert got.columns == want.columns
     assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
 
 
+def test_a_hot_key_is_read_in_slices(spark):
+    """Above the broadcast limit, also when an aggregate on the key follows."""
+    low = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "10k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "10k",
+    }
+    before = {name: spark.conf.get(name, None) for name in low}
+    for name, value in low.items():
+        spark.conf.set(name, value)
+    try:
+        big = spark.range(0, 60000, 1, 8).select(
+            F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 500).alias("k"), F.sha2(F.col("id").cast("string"), 256).alias("v"))
+        small = spark.range(500).select(F.col("id").alias("k"), F.sha2(F.col("id").cast("string"), 256).alias("w"))
+        joined = skew.skew_join(big, small, ["k"]).groupBy("k").agg(F.count("*").alias("n"), F.max("v").alias("v"), F.max("w").alias("w"))
+        assert sum(r.n for r in joined.collect()) == 60000
+        assert "skew=true" in joined._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+
+
 def test_top_per_key_trims_before_the_shuffle(spark, rows):
     df = spark.createDataFrame(rows, "k string, ts timestamp, v double")
     top = skew.top_per_key(df, ["k"], [F.col("v").desc()], 3)
