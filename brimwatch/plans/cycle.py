@@ -25,7 +25,7 @@ from brimwatch.operators.forecast import (
 )
 from brimwatch.operators.skew import series_context
 from brimwatch.operators.trigger import with_trigger
-from brimwatch.schemas import PREDICTIONS, SERIES_KEY
+from brimwatch.schemas import DAY, PREDICTIONS, SERIES_KEY
 from brimwatch.sources.scans import trailing
 from brimwatch.sources.sinks import append_partitioned
 
@@ -104,7 +104,8 @@ def run_cycle(
         append_partitioned(score_series(rows, as_of, model, settings, forecaster), path)
     finally:
         rows.unpersist()
-    written = spark.read.parquet(path).where(F.col("ts") == F.lit(as_of))
+    stored = spark.read.parquet(path).where(F.col(DAY) == F.lit(as_of.date()))
+    written = stored.where(F.col("ts") == F.lit(as_of))
     return cycle_stats(written).first().asDict()
 
 

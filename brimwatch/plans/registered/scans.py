@@ -200,6 +200,24 @@ def host_rows(spark, d):
     )
 
 
+@register(
+    "val_ticket_rows",
+    with_views(
+        "tickets",
+        """SELECT ticket_id, status NOT IN ('new', 'in_progress', 'resolved') OR severity NOT IN ('P1', 'P2', 'P3', 'P4') AS quarantined,
+             concat_ws(',', CASE WHEN status NOT IN ('new', 'in_progress', 'resolved') THEN 'status_unknown' END,
+               CASE WHEN severity NOT IN ('P1', 'P2', 'P3', 'P4') THEN 'severity_unknown' END) AS violations FROM tickets""",
+    ),
+)
+def ticket_rows(spark, d):
+    """VAL1: good and quarantined rows, with a narrower set of states so that rows do fail."""
+    rules = validate.ticket_rules() | {"status_unknown": F.col("status").isin("new", "in_progress", "resolved")}
+    good, bad = validate.split_rows(V.tickets(spark, d), rules)
+    return good.select("ticket_id", F.lit(False).alias("quarantined"), F.lit("").alias("violations")).unionByName(
+        bad.select("ticket_id", F.lit(True).alias("quarantined"), F.array_join("violations", ",").alias("violations"))
+    )
+
+
 @register(
     "val_telemetry_invariants",
     with_views(

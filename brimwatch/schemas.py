@@ -67,3 +67,6 @@ TICKET_STATUSES = ("new", "assigned", "in_progress", "resolved", "closed")
 SEVERITIES = ("P1", "P2", "P3", "P4")
 
 SERIES_KEY = ("host_id", "device")
+
+# Partition column of the stored facts: the calendar day of the row.
+DAY = "run_date"

@@ -21,9 +21,15 @@ def read_json_answers(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("host_id string, prediction_id string, raw string").json(path)
 
 
+def newer_than(df: DataFrame, cutoff: datetime, ts: str = "ts") -> DataFrame:
+    """Rows from a time on. A literal bound reaches the scan; a table by day skips old folders."""
+    rows = df.where(F.col(ts) >= F.lit(cutoff))
+    return rows.where(F.col(D.DAY) >= F.lit(cutoff.date())) if D.DAY in df.columns else rows
+
+
 def trailing(telemetry: DataFrame, as_of: datetime, days: int = 7) -> DataFrame:
-    """SRC1. Samples of the trailing window; a literal bound, so the scan is pruned."""
-    return telemetry.where(F.col("ts") >= F.lit(as_of - timedelta(days=days)))
+    """SRC1. Samples of the trailing window."""
+    return newer_than(telemetry, as_of - timedelta(days=days))
 
 
 def host_series(
@@ -56,10 +62,9 @@ def as_points(telemetry: DataFrame) -> DataFrame:
 
 def recent_samples(telemetry: DataFrame, host_id: str, as_of: datetime, hours: int = 168) -> DataFrame:
     """SRC4."""
-    cutoff = as_of - timedelta(hours=hours)
+    rows = newer_than(telemetry.where(F.col("host_id") == host_id), as_of - timedelta(hours=hours))
     return (
-        telemetry.where((F.col("host_id") == host_id) & (F.col("ts") >= F.lit(cutoff)))
-        .select("ts", "in_use_pct", "used_bytes", "free_bytes")
+        rows.select("ts", "in_use_pct", "used_bytes", "free_bytes")
         .orderBy("ts")
     )
 

@@ -14,10 +14,11 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from brimwatch.schemas import DAY
 from brimwatch.session import cut_lineage, fresh_dir
+from brimwatch.sources.scans import newer_than
 
 TELEMETRY_KEY = ("host_id", "device", "ts")
-DAY = "run_date"
 
 
 def with_day(df: DataFrame, ts: str = "ts") -> DataFrame:
@@ -136,8 +137,8 @@ def truncate(df: DataFrame) -> DataFrame:
 
 
 def retained(telemetry: DataFrame, as_of: datetime, days: int = 30) -> DataFrame:
-    """SNK10. Samples young enough to keep. On a table by day the old folders are not read."""
-    return telemetry.where(F.col("ts") >= F.lit(as_of - timedelta(days=days)))
+    """SNK10. Samples young enough to keep. Of a table by day the old folders are not read."""
+    return newer_than(telemetry, as_of - timedelta(days=days))
 
 
 def rewrite(df: DataFrame, name: str) -> DataFrame:

@@ -36,6 +36,25 @@ def test_append_partitioned_prunes_by_day(spark, tmp_path):
     assert "PartitionFilters: [isnotnull(run_date" in stored._jdf.queryExecution().executedPlan().toString()
 
 
+def test_trailing_window_skips_old_days(spark, tmp_path):
+    path = str(tmp_path / "p")
+    days = [(60 * 24 * day, "a", "/", day) for day in range(10)]
+    sinks.append_partitioned(samples(spark, days), path)
+    window = scans.trailing(spark.read.parquet(path), T0 + timedelta(days=9), days=3)
+    assert sorted(r.in_use_pct for r in window.collect()) == [6.0, 7.0, 8.0, 9.0]
+    plan = window._jdf.queryExecution().executedPlan().toString()
+    assert "run_date" in plan.split("PartitionFilters: [")[1].split("]")[0]
+    assert "GreaterThanOrEqual(ts" in plan
+    assert sinks.retained(spark.read.parquet(path), T0 + timedelta(days=31), 30).count() == 9
+
+
+def test_answers_from_json_lines(spark, tmp_path):
+    path = tmp_path / "answers.json"
+    path.write_text('{"host_id":"h","prediction_id":"p","raw":"{\\"recommendation\\":\\"clean\\"}"}\n')
+    row = scans.read_json_answers(spark, str(path)).first()
+    assert (row.host_id, row.prediction_id, row.raw) == ("h", "p", '{"recommendation":"clean"}')
+
+
 def test_upserts(spark):
     old = spark.createDataFrame([("a", "x", "web"), ("b", "y", "db")], "host_id string, hostname string, role string")
     new = spark.createDataFrame([("b", "Y", None), ("c", "z", "app")], "host_id string, hostname string, role string")
