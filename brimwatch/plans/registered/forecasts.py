@@ -44,14 +44,14 @@ SEASONAL_SQL = f"""{PERIOD_SQL.strip()},
   forecasts AS (SELECT lines.host_id, lines.device, read.* EXCLUDE (host_id, device)
                 FROM lines LEFT JOIN read USING (host_id, device))"""
 
-_COLUMNS = ", ".join(f"{q6(name)} AS {name}" for name in forecast.FORECAST_COLUMNS)
+FORECAST_SQL = ", ".join(f"{q6(name)} AS {name}" for name in forecast.FORECAST_COLUMNS)
 
 
 def _rounded(df):
     return df.select("host_id", "device", *[r6(name).alias(name) for name in forecast.FORECAST_COLUMNS])
 
 
-@register("forecast_seasonal", with_views("host_telemetry", f"SELECT host_id, device, {_COLUMNS} FROM forecasts", SEASONAL_SQL))
+@register("forecast_seasonal", with_views("host_telemetry", f"SELECT host_id, device, {FORECAST_SQL} FROM forecasts", SEASONAL_SQL))
 def seasonal(spark, d):
     """FC1b, FC2-FC5."""
     return _rounded(forecast.seasonal_forecast(V.telemetry(spark, d, one_device=True)))
@@ -79,7 +79,7 @@ def piecewise(spark, d):
     "trigger_rule",
     with_views(
         "host_telemetry",
-        f"""SELECT host_id, device, {_COLUMNS},
+        f"""SELECT host_id, device, {FORECAST_SQL},
               coalesce(forecast_7d_pct >= 90, false) OR coalesce(hours_to_90pct <= 168, false) AS triggered_agent FROM forecasts""",
         SEASONAL_SQL,
     ),

@@ -1,10 +1,10 @@
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from brimwatch.config import Settings
+from brimwatch.operators.forecast import FORECAST_COLUMNS
 from brimwatch.plans.cycle import score_fleet
 from brimwatch.plans.registered.base import r6, r9, register, stamp
+from brimwatch.plans.registered.forecasts import FORECAST_SQL, SEASONAL_SQL
 from brimwatch.plans.registered.texts import counts_sql, counts_text
 from brimwatch.plans.sqlviews import q_redaction, r6 as q6, r9 as q9, stamp as qstamp, with_views
 from brimwatch.session import fresh_dir
@@ -100,7 +100,15 @@ def redact(spark, d):
     return spark.read.parquet(table).select("doc_id", "text", counts_text().alias("counts"))
 
 
-@register("stream_scored")
+@register(
+    "stream_scored",
+    with_views(
+        "host_telemetry",
+        f"""SELECT host_id, device, {FORECAST_SQL},
+              coalesce(forecast_7d_pct >= 90, false) OR coalesce(hours_to_90pct <= 168, false) AS triggered_agent FROM forecasts""",
+        SEASONAL_SQL,
+    ),
+)
 def scored(spark, d):
     """ST3: hosts that reported are scored over the stored history."""
     table = fresh_dir(spark, "stream-scores")
@@ -115,6 +123,7 @@ def scored(spark, d):
             table, fresh_dir(spark, "state"),
         )
     )
-    return spark.read.parquet(table).drop("version", "ts").withColumn(
-        "forecast_7d_pct", r6(F.col("forecast_7d_pct"))
+    stored = spark.read.parquet(table)
+    return stored.select(
+        "host_id", "device", *[r6(name).alias(name) for name in FORECAST_COLUMNS], "triggered_agent"
     )

@@ -228,7 +228,34 @@ def plan(spark, d):
     return rows.select("host_id", "path", "rule_no", "size_bytes", "action")
 
 
-@register("triage_runs")
+TRIAGE_SQL = """acting AS (
+    SELECT p.host_id, CAST(coalesce(sum(size_bytes) FILTER (WHERE action = 'delete'), 0) AS BIGINT) AS bytes_freed,
+      CAST(count(*) FILTER (WHERE action = 'delete') AS INTEGER) AS files_deleted
+    FROM cleanup_plan p JOIN triage_decided t ON p.host_id = t.host_id AND decision = 'auto_remediate' AND recommendation = 'clean'
+    GROUP BY p.host_id),
+  judged AS (
+    SELECT 'run-' || substr(sha256(t.host_id || '|' || prediction_id), 1, 12) AS run_id, t.host_id, prediction_id, confidence_score,
+      decision, coalesce(bytes_freed, 0) AS bytes_freed, coalesce(files_deleted, 0) AS files_deleted,
+      CASE WHEN recommendation = 'escalate_anomaly' THEN 'escalated_anomaly' WHEN coalesce(files_deleted, 0) > 0 THEN 'cleaned'
+        ELSE 'no_action_needed' END AS verdict, reasoning
+    FROM triage_decided t LEFT JOIN acting a ON a.host_id = t.host_id),
+  filed AS (
+    SELECT run_id, strftime(now, 'INC-%Y-%m-') || lpad(CAST(n AS VARCHAR), CAST(greatest(4, length(CAST(n AS VARCHAR))) AS INTEGER), '0') AS ticket_id
+    FROM (SELECT run_id, now, row_number() OVER (ORDER BY run_id)
+            + coalesce((SELECT max(CAST(split_part(ticket_id, '-', 4) AS INTEGER)) FROM tickets
+                        WHERE starts_with(ticket_id, strftime(now, 'INC-%Y-%m-'))), 0) AS n
+          FROM judged, files_now WHERE verdict = 'escalated_anomaly' OR decision = 'ticket_only'))"""
+
+
+@register(
+    "triage_runs",
+    with_views(
+        "triage_decided cleanup_plan tickets files_now",
+        """SELECT run_id, host_id, prediction_id, confidence_score, decision, verdict, bytes_freed, files_deleted, ticket_id, reasoning
+           FROM judged LEFT JOIN filed USING (run_id)""",
+        TRIAGE_SQL,
+    ),
+)
 def triage_runs(spark, d):
     """The whole triage of all triggered hosts, down to audit rows linked to tickets."""
     now = V.files_as_of(spark, d)
@@ -242,6 +269,5 @@ def triage_runs(spark, d):
     )
     return result.runs.select(
         "run_id", "host_id", "prediction_id", "confidence_score", "decision", "verdict", "bytes_freed",
-        "files_deleted", "ticket_id", F.to_json("tool_calls").alias("tool_calls"),
-        F.array_join("doc_ids", ",").alias("doc_ids"),
+        "files_deleted", "ticket_id", "reasoning",
     )

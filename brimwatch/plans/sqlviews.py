@@ -75,6 +75,34 @@ _TRIGGER = (
     "OR coalesce(anomaly_score >= 0.6::DOUBLE, false))"
 )
 
+def _decided(source: str) -> str:
+    return f"""
+      SELECT *, CASE WHEN score >= 0.85::DOUBLE THEN 'auto_remediate' WHEN score >= 0.75::DOUBLE THEN 'chat_approval' ELSE 'ticket_only' END AS decision,
+        {exact('score', 3)} AS confidence_score
+      FROM (
+        SELECT *, least(1.0::DOUBLE, greatest(0.0::DOUBLE,
+          CASE WHEN recommendation = 'escalate_anomaly' THEN greatest(total, 0.75::DOUBLE)
+               WHEN recommendation = 'clean' AND anomaly_score > 0.6::DOUBLE THEN least(total, 0.75::DOUBLE - 0.01::DOUBLE)
+               ELSE total END)) AS score
+        FROM (
+          SELECT *, c_self + c_ml + c_docs + c_env AS total FROM (
+            SELECT *, c_signal2 * 0.30::DOUBLE AS c_ml FROM (
+              SELECT *, CASE WHEN recommendation = 'no_action' THEN greatest(0.0::DOUBLE, least(1.0::DOUBLE, c_signal))
+                             WHEN recommendation = 'escalate_anomaly' THEN least(1.0::DOUBLE, c_signal) ELSE c_signal END AS c_signal2
+              FROM (
+                SELECT *, self_confidence * 0.40::DOUBLE AS c_self,
+                  CASE recommendation
+                    WHEN 'clean' THEN greatest(
+                      CASE WHEN forecast_7d_pct IS NULL THEN 0.0::DOUBLE
+                           ELSE least(1.0::DOUBLE, greatest(0.0::DOUBLE, (forecast_7d_pct - 70) / 30)) END,
+                      CASE WHEN coalesce(hours_to_90pct < 24, false) THEN 0.9::DOUBLE ELSE 0.0::DOUBLE END)
+                    WHEN 'escalate_anomaly' THEN anomaly_score
+                    ELSE 1.0::DOUBLE - greatest(anomaly_score, coalesce(forecast_7d_pct, 0.0::DOUBLE) / 100) END AS c_signal,
+                  least(1.0::DOUBLE, doc_count / 4.0::DOUBLE) * 0.15::DOUBLE AS c_docs,
+                  CASE environment WHEN 'prod' THEN 0.05::DOUBLE WHEN 'staging' THEN 0.10::DOUBLE WHEN 'dev' THEN 0.15::DOUBLE ELSE 0.05::DOUBLE END AS c_env
+                FROM {source})))))"""
+
+
 VIEWS: dict[str, str] = {
     "hosts": f"""
       SELECT {hid('c_custkey')} AS host_id, role || '-' || environment || '-' || c_custkey AS hostname,
@@ -186,31 +214,13 @@ VIEWS: dict[str, str] = {
         p.forecast_14d_pct, p.hours_to_90pct, p.ts, a.recommendation, a.self_confidence, a.reasoning,
         CAST(split_part(p.prediction_id, '-', 2) AS BIGINT) % 6 AS doc_count, h.environment, h.role, h.monitored_path
       FROM predictions p JOIN parsed a USING (prediction_id) JOIN hosts h ON p.host_id = h.host_id""",
-    "decided": f"""
-      SELECT *, CASE WHEN score >= 0.85::DOUBLE THEN 'auto_remediate' WHEN score >= 0.75::DOUBLE THEN 'chat_approval' ELSE 'ticket_only' END AS decision,
-        {exact('score', 3)} AS confidence_score
-      FROM (
-        SELECT *, least(1.0::DOUBLE, greatest(0.0::DOUBLE,
-          CASE WHEN recommendation = 'escalate_anomaly' THEN greatest(total, 0.75::DOUBLE)
-               WHEN recommendation = 'clean' AND anomaly_score > 0.6::DOUBLE THEN least(total, 0.75::DOUBLE - 0.01::DOUBLE)
-               ELSE total END)) AS score
-        FROM (
-          SELECT *, c_self + c_ml + c_docs + c_env AS total FROM (
-            SELECT *, c_signal2 * 0.30::DOUBLE AS c_ml FROM (
-              SELECT *, CASE WHEN recommendation = 'no_action' THEN greatest(0.0::DOUBLE, least(1.0::DOUBLE, c_signal))
-                             WHEN recommendation = 'escalate_anomaly' THEN least(1.0::DOUBLE, c_signal) ELSE c_signal END AS c_signal2
-              FROM (
-                SELECT *, self_confidence * 0.40::DOUBLE AS c_self,
-                  CASE recommendation
-                    WHEN 'clean' THEN greatest(
-                      CASE WHEN forecast_7d_pct IS NULL THEN 0.0::DOUBLE
-                           ELSE least(1.0::DOUBLE, greatest(0.0::DOUBLE, (forecast_7d_pct - 70) / 30)) END,
-                      CASE WHEN coalesce(hours_to_90pct < 24, false) THEN 0.9::DOUBLE ELSE 0.0::DOUBLE END)
-                    WHEN 'escalate_anomaly' THEN anomaly_score
-                    ELSE 1.0::DOUBLE - greatest(anomaly_score, coalesce(forecast_7d_pct, 0.0::DOUBLE) / 100) END AS c_signal,
-                  least(1.0::DOUBLE, doc_count / 4.0::DOUBLE) * 0.15::DOUBLE AS c_docs,
-                  CASE environment WHEN 'prod' THEN 0.05::DOUBLE WHEN 'staging' THEN 0.10::DOUBLE WHEN 'dev' THEN 0.15::DOUBLE ELSE 0.05::DOUBLE END AS c_env
-                FROM decision_input)))))""",
+    "decided": _decided("decision_input"),
+    "triage_input": """
+      SELECT p.prediction_id, p.host_id, p.anomaly_score, p.forecast_1d_pct, p.forecast_3d_pct, p.forecast_7d_pct,
+        p.forecast_14d_pct, p.hours_to_90pct, p.ts, a.recommendation, a.self_confidence, a.reasoning,
+        4 AS doc_count, h.environment, h.role, h.monitored_path
+      FROM latest_prediction p JOIN parsed a USING (prediction_id) JOIN hosts h ON p.host_id = h.host_id WHERE p.triggered_agent""",
+    "triage_decided": _decided("triage_input"),
     "cleanup_candidates": f"""
       SELECT * FROM (
         SELECT *, CASE playbook
@@ -271,6 +281,8 @@ _NEEDS: dict[str, tuple[str, ...]] = {
     "parsed": ("answers",),
     "decision_input": ("predictions", "parsed", "hosts"),
     "decided": ("decision_input",),
+    "triage_input": ("latest_prediction", "parsed", "hosts"),
+    "triage_decided": ("triage_input",),
     "cleanup_candidates": ("files", "hosts", "files_now"),
     "cleanup_plan": ("cleanup_candidates",),
     "latest_sample": ("telemetry",),

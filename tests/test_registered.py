@@ -32,7 +32,7 @@ def cells(columns, rows):
 def test_names():
     assert set(contract.oracle_sql()) <= set(contract.queries())
     without = set(contract.queries()) - set(contract.oracle_sql())
-    assert without == {"forecast_piecewise", "anomaly_train", "anomaly_score", "cycle_fleet", "triage_runs", "stream_scored"}
+    assert without == {"forecast_piecewise", "anomaly_train", "anomaly_score", "cycle_fleet"}
 
 
 def test_entry(spark, data):

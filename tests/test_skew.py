@@ -8,7 +8,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from brimwatch.operators import gaps, skew
+from brimwatch.operators import cleanup, gaps, skew
 
 T0 = datetime(2026, 1, 1)
 
@@ -88,6 +88,9 @@ def test_top_per_key_trims_before_the_shuffle(spark, rows):
         assert sorted((r.v for r in top.collect() if r.k == key), reverse=True) == want
     plan = top._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan and "Partial" in plan
+    # The largest k in use is still trimmed in the map tasks.
+    many = skew.top_per_key(df, ["k"], [F.col("v").desc()], cleanup.ROUND_FILES)
+    assert "WindowGroupLimit" in many._jdf.queryExecution().executedPlan().toString()
 
 
 def test_as_of_join_against_brute_force(spark, rows):
