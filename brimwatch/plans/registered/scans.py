@@ -158,7 +158,7 @@ def hosts_by_id(spark, d):
     with_views(
         "host_telemetry",
         f"""SELECT host_id, {qstamp('ts')} AS ts, in_use_pct AS value,
-          {q6("(epoch_us(ts) - epoch_us(min(ts) OVER w)) / 3.6e9::DOUBLE")} AS t_hours,
+          (epoch_us(ts) - epoch_us(min(ts) OVER w)) / 3.6e9::DOUBLE AS t_hours,
           {q6("in_use_pct - lag(in_use_pct) OVER (PARTITION BY host_id ORDER BY ts)")} AS step,
           row_number() OVER (PARTITION BY host_id ORDER BY ts) - 1 AS position,
           count(*) OVER w AS n_rows,
@@ -173,7 +173,7 @@ def series_steps(spark, d):
         "host_id",
         stamp("ts").alias("ts"),
         "value",
-        r6(hours_between(F.col("ts"), F.col("first_ts"))).alias("t_hours"),
+        hours_between(F.col("ts"), F.col("first_ts")).alias("t_hours"),
         r6(F.col("value") - F.col("prev_value")).alias("step"),
         "position",
         "n_rows",
