@@ -183,16 +183,17 @@ def _pieces(data: bytes) -> Iterator[tuple[int, bytes]]:
         start = stop
 
 
-def words(texts: list[str | None], prefix: int = 0) -> tuple[np.ndarray, ...]:
+def words(texts: list[str | None], prefixes: tuple[int, ...] = ()) -> tuple[np.ndarray, ...]:
     """Hashes of the words of texts: (hashes, offsets), words of text i at offsets[i]:offsets[i+1].
 
     A word is a run of anything but the six ASCII white-space characters; A-Z
-    count as a-z. With ``prefix``, a third array has the hash of each word's
-    first ``prefix`` bytes.
+    count as a-z. For each of ``prefixes`` there is one more array with the
+    hashes of the words' first so many bytes.
     """
     parts = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
     ends = np.cumsum([len(p) + 1 for p in parts]) if parts else np.zeros(0, np.int64)
-    found, places, short = [], [], []
+    places: list[np.ndarray] = []
+    found: list[list[np.ndarray]] = [[] for _ in range(1 + len(prefixes))]
     for base, data in _pieces(b"\n".join(parts) + b"\n" if parts else b""):
         raw = np.frombuffer(data, dtype=np.uint8)
         inside = ~_SPACE[raw]
@@ -201,15 +202,14 @@ def words(texts: list[str | None], prefix: int = 0) -> tuple[np.ndarray, ...]:
         up, down = _power_tables(len(raw))
         total = np.zeros(len(raw) + 1, dtype=np.uint64)
         np.cumsum(_LETTER[raw] * up[: len(raw)], out=total[1:])
-        found.append(mix((total[last] - total[first]) * down[first] + (last - first).astype(np.uint64)))
-        if prefix:
-            stop = np.minimum(last, first + prefix)
-            short.append(mix((total[stop] - total[first]) * down[first] + (stop - first).astype(np.uint64)))
+        for out, most in zip(found, (len(raw), *prefixes), strict=True):
+            stop = np.minimum(last, first + most)
+            out.append(mix((total[stop] - total[first]) * down[first] + (stop - first).astype(np.uint64)))
         places.append(first + base)
     join = lambda x, kind: np.concatenate(x) if x else np.zeros(0, kind)
     offsets = np.concatenate(([0], np.searchsorted(join(places, np.int64), ends))).astype(np.int64)
-    out = (join(found, np.uint64), offsets)
-    return (*out, join(short, np.uint64)) if prefix else out
+    whole, *short = (join(x, np.uint64) for x in found)
+    return whole, offsets, *short
 
 
 _PLACE = seeds(64, 104729)
