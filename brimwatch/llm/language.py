@@ -206,8 +206,9 @@ def predict(docs: DataFrame, filters: Filters, shape: Shape = Shape(), keep: tup
     score 0. The score is the winner's part of all corrected hits.
     """
     shared = docs.sparkSession.sparkContext.broadcast(filters)  # a slot per language slice: fixed size
-    source = docs.select(*keep, F.col("text").cast("string").alias("text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.select(*keep).schema)
+    others = [c for c in keep if c != "text"]
+    source = docs.select(*others, F.col("text").cast("string").alias("text"))
+    schema = ", ".join(f"`{c}` {source.schema[c].dataType.simpleString()}" for c in keep)
     names = [*keep, "lang_pred", "score"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -218,8 +219,7 @@ def predict(docs: DataFrame, filters: Filters, shape: Shape = Shape(), keep: tup
                     [*(piece.column(c) for c in keep), pa.array(langs, pa.string()), pa.array(score)], names=names
                 )
 
-    columns = source if "text" in keep else source
-    return columns.select(*dict.fromkeys((*keep, "text"))).mapInArrow(run, f"{schema}, lang_pred string, score double")
+    return source.mapInArrow(run, f"{schema}, lang_pred string, score double")
 
 
 def identify(docs: DataFrame, shape: Shape = Shape()) -> DataFrame:
