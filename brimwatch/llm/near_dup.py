@@ -20,7 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from brimwatch.llm.common import (
@@ -43,21 +43,22 @@ class Trees:
     """Shape of the join.
 
     With ``branches`` b and similarity s, a tree of any depth misses a pair with the
-    probability q that solves q = (1 - s + s q) ** b: 1/9 for b = 2, s = 0.75. Six
-    trees miss it with q ** 6, two in a million.
+    probability q that solves q = (1 - s + s q) ** b: 1/9 for b = 2, s = 0.75. Four
+    trees miss it with q ** 4: the target recall at the threshold is 0.9998, and
+    more above it (0.99998 at similarity 0.8).
     """
 
     words: int = 5
     percent: int = 75
     coordinates: int = 64
-    trees: int = 6
+    trees: int = 4
     branches: int = 2
     #: Trees whose nodes are compared first, to connect most of a group early.
-    early: int = 2
+    early: int = 1
     #: Documents of a unit of comparison.
-    unit: int = 64
+    unit: int = 256
     #: A node is small if comparing all its pairs takes at most so many rows per document.
-    repeats: int = 4
+    repeats: int = 12
     depth: int = 24
     #: Part of the signature that must agree before sets are compared. At similarity 0.75, 64
     #: coordinates fall below one half with a chance of two in a million.
@@ -114,8 +115,8 @@ def _matrix(column, width: int) -> np.ndarray:
     return np.concatenate(parts).reshape(-1, width) if parts else np.zeros((0, width), np.uint32)
 
 
-def _children(shape: Trees):
-    """Rows (v, sig, node) to rows (child, v), one per picked coordinate of the node."""
+def _children(shape: Trees, early: list[int]):
+    """Rows (v, sig, node) to rows (child, v, first), one per picked coordinate of the node."""
     salts = seeds(shape.branches, 4099)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,17 +126,18 @@ def _children(shape: Trees):
             sigs = _matrix(batch.column("sig"), shape.coordinates).astype(np.uint64)
             nodes = np.array(batch.column("node").to_numpy()).view(np.uint64)
             rows = np.arange(len(nodes))
+            first = pa.array(np.isin(nodes.view(np.int64), early))
             for i in range(shape.branches):
                 drawn = mix(nodes + salts[i])
                 at = (drawn >> np.uint64(33)).astype(np.int64) % shape.coordinates
                 child = mix(mix(drawn ^ sigs[rows, at]) + at.astype(np.uint64))
-                yield pa.RecordBatch.from_arrays([signed(child), batch.column("v")], names=["node", "v"])
+                yield pa.RecordBatch.from_arrays([signed(child), batch.column("v"), first], names=["node", "v", "first"])
 
     return run
 
 
-def _split(rows: DataFrame, shape: Trees) -> DataFrame:
-    return rows.select("v", "sig", "node").mapInArrow(_children(shape), "node long, v long")
+def _split(rows: DataFrame, shape: Trees, early: list[int]) -> DataFrame:
+    return rows.select("v", "sig", "node").mapInArrow(_children(shape, early), "node long, v long, first boolean")
 
 
 def _needed(shape: Trees):
@@ -184,15 +186,26 @@ def _confirmed(shape: Trees):
     return run
 
 
-def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
-    """100 * intersection >= percent * union, for sorted distinct hashes."""
-    small, large = (x, y) if len(x) <= len(y) else (y, x)
-    if 100 * len(small) < percent * len(large) or not len(small):
-        return False
-    at = np.searchsorted(large, small)
-    at[at == len(large)] = 0
-    both = int((large[at] == small).sum())
-    return 100 * both >= percent * (len(x) + len(y) - both)
+#: Shared shingles that are counted at a time.
+STRIP = 8192
+
+
+def intersections(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all pairs of sets of distinct hashes."""
+    flat = np.concatenate(sets)
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    _, code, count = np.unique(flat, return_inverse=True, return_counts=True)
+    shared = count[code] > 1  # the others are in one set only
+    owner, code = owner[shared], (np.cumsum(count > 1) - 1)[code[shared]]
+    order = np.argsort(code, kind="stable")
+    owner, code = owner[order], code[order]
+    both = np.zeros((len(sets), len(sets)))
+    for at in range(0, int(code[-1]) + 1 if len(code) else 0, STRIP):
+        lo, hi = np.searchsorted(code, (at, at + STRIP))
+        held = np.zeros((len(sets), STRIP), dtype=np.float32)  # counts below 2 ** 24 are exact
+        held[owner[lo:hi], code[lo:hi] - at] = 1
+        both += held @ held.T
+    return both
 
 
 def _links(sets: list[np.ndarray], comp: list[int], percent: int) -> Iterator[tuple[int, int]]:
@@ -204,23 +217,19 @@ def _links(sets: list[np.ndarray], comp: list[int], percent: int) -> Iterator[tu
             parent[c] = c = parent[parent[c]]
         return c
 
-    for i in range(len(sets)):
-        for j in range(i):
-            x, y = root(comp[i]), root(comp[j])
-            if x != y and similar(sets[i], sets[j], percent):
-                parent[max(x, y)] = min(x, y)
-                yield i, j
+    size = np.array([len(s) for s in sets], dtype=np.float64)
+    both = intersections(sets)
+    near = 100 * both >= percent * (size[:, None] + size[None, :] - both)
+    for i, j in zip(*np.nonzero(np.tril(near, -1) & (size > 0)[:, None]), strict=True):
+        x, y = root(comp[i]), root(comp[j])
+        if x != y:
+            parent[max(x, y)] = min(x, y)
+            yield int(i), int(j)
 
 
-def _sized(rows: DataFrame) -> DataFrame:
-    """Nodes with several documents, one of each set of documents, as rows (node, n, v)."""
-    found = rows.groupBy("node").agg(
-        F.count("*").alias("n"),
-        F.sum(F.xxhash64("v").cast("decimal(20,0)")).alias("s"),
-        F.min("v").alias("pivot"),
-    )
-    once = found.where("n > 1").groupBy("n", "s", "pivot").agg(F.min("node").alias("node"))
-    return rows.join(once.select("node", "n", "pivot"), "node")
+def _members() -> Column:
+    """Adds up to the same for the same documents."""
+    return F.sum(F.xxhash64("v").cast("decimal(20,0)")).alias("s")
 
 
 class _Join:
@@ -234,7 +243,7 @@ class _Join:
         """Add ``comp``: the component found so far, or the document itself."""
         if self.comps is None:
             return rows.withColumn("comp", F.col("v"))
-        known = self.comps.select(F.col("node").alias("v"), F.col("root").alias("comp"))
+        known = broadcast_if_small(self.comps.select(F.col("node").alias("v"), F.col("root").alias("comp")))
         return rows.join(known, "v", "left").withColumn("comp", F.coalesce("comp", "v"))
 
     def compare(self, units: DataFrame) -> None:
@@ -243,6 +252,8 @@ class _Join:
         small = "unit long, v long, comp long"
         signed_units = units.join(self.reps.select("v", "sig"), "v").select("unit", "v", "comp", "sig")
         needed = stage(by_key(signed_units, "unit", _needed(shape), small), "needed")
+        if not needed.limit(1).count():
+            return
         ids = stage(needed.select("v").distinct().join(self.reps.select("v", "doc_id", "n_shingles"), "v"), "wanted")
         # doc_id may repeat with other texts: the set size, and then the print of the set, tell them apart.
         texts = (
@@ -264,27 +275,30 @@ class _Join:
 
     def early(self, rows: DataFrame) -> None:
         """Cut nodes of any size into units that share their first document, and compare within each."""
-        part = F.when(F.col("n") <= self.shape.unit, 0).otherwise(
-            F.pmod(F.xxhash64("v", "node"), F.ceil(F.col("n") * 2 / self.shape.unit))
-        )
-        cut = rows.withColumn("part", part.cast("long"))
-        pivots = (
-            cut.where(f"n > {self.shape.unit}").select("node", "pivot", "part").distinct()
-        )
-        units = cut.select(F.xxhash64("node", "part").alias("unit"), "v").unionByName(
-            pivots.select(F.xxhash64("node", "part").alias("unit"), F.col("pivot").alias("v"))
-        )
-        self.compare(self.labelled(units.distinct()))
+        found = rows.groupBy("node").agg(F.count("*").alias("n"), _members(), F.min("v").alias("pivot")).where("n > 1")
+        once = found.groupBy("n", "s", "pivot").agg(F.min("node").alias("node"))
+        parts = F.ceil(F.col("n") * 2 / self.shape.unit)
+        part = F.when(F.col("n") <= self.shape.unit, 0).otherwise(F.pmod(F.xxhash64("v", "node"), parts))
+        cut = rows.join(once, "node").withColumn("unit", F.xxhash64("node", part.cast("long")))
+        cut = stage(cut.select("unit", "v", "n", "pivot"), "units")
+        pivots = cut.where(f"n > {self.shape.unit}").select("unit", F.col("pivot").alias("v"))
+        units = cut.select("unit", "v").unionByName(pivots).distinct()
+        self.compare(self.labelled(units))
 
     def finish(self, rows: DataFrame, exhaustive: bool) -> DataFrame | None:
         """Compare the small nodes that hold several components; the rows of the others."""
         shape = self.shape
         rows = self.labelled(rows)
-        parts = rows.groupBy("node", "comp").agg(F.count("*").alias("m"))
+        parts = rows.groupBy("node", "comp").agg(F.count("*").alias("m"), _members())
         main = parts.groupBy("node").agg(
-            F.sum("m").alias("n"), F.count("*").alias("k"), F.max(F.struct("m", "comp")).alias("top")
+            F.sum("m").alias("n"),
+            F.count("*").alias("k"),
+            F.sum("s").alias("s"),
+            F.max(F.struct("m", "comp")).alias("top"),
         )
-        mixed = main.where("k > 1").select("node", "n", F.col("top.m").alias("m"), F.col("top.comp").alias("top"))
+        # Of nodes with the same documents one is enough.
+        main = main.where("k > 1").groupBy("n", "s", "top").agg(F.min("node").alias("node"))
+        mixed = main.select("node", "n", F.col("top.m").alias("m"), F.col("top.comp").alias("top"))
         half = F.lit(shape.unit // 2)
         u, a = F.ceil((F.col("n") - F.col("m")) / half), F.ceil(F.col("m") / half)
         cost = (F.col("n") - F.col("m")) * (u + a) + F.col("m") * u
@@ -346,25 +360,18 @@ def near_duplicates(docs: DataFrame, shape: Trees = Trees()) -> DataFrame:
         "sets",
     )
     join = _Join(reps, docs, shape)
-    roots = np.array(seeds(shape.trees, 65537).view(np.int64)).tolist()
-    first = [reps.select("v", "sig", F.lit(root).alias("node")) for root in roots]
-
-    def nodes(trees: list[DataFrame]) -> DataFrame:
-        rows = trees[0]
-        for more in trees[1:]:
-            rows = rows.unionByName(more)
-        return stage(_sized(stage(_split(rows, shape), "level")), "nodes")
-
-    level = nodes(first)
-    early = nodes(first[: shape.early])
-    join.early(early)
+    roots = seeds(shape.trees, 65537).view(np.int64).tolist()
+    tree = F.explode(F.array(*(F.lit(r) for r in roots))).alias("node")
+    level = stage(_split(reps.select("v", "sig", tree), shape, roots[: shape.early]), "level")
+    join.early(level.where("first").select("node", "v"))
     rest, depth = level.select("node", "v"), 1
     while rest is not None:
-        depth += 1
         rest = join.finish(rest, exhaustive=depth > shape.depth)
+        depth += 1
         if rest is not None:
-            below = stage(_split(rest.join(reps.select("v", "sig"), "v"), shape), "level")
-            rest = stage(_sized(below), "nodes").select("node", "v")
+            rest = stage(_split(rest.join(reps.select("v", "sig"), "v"), shape, []), "level").select("node", "v")
+    if join.comps is None:
+        join.comps = components(reps.select(F.col("v").alias("a"), F.col("v").alias("b")).where("false"))
     vertex = signed_docs.join(
         join.comps.select(F.col("node").alias("v"), "root"), "v", "left"
     ).withColumn("root", F.coalesce("root", "v"))
