@@ -263,7 +263,10 @@ def fit(
         )
         found = out.where("weights IS NOT NULL").first()
         feature = np.sort(np.array(chosen.get((plan.folds, c), []), np.int64).view(np.uint64))
-        w = np.frombuffer(bytes(found.weights), "<f8") if found else np.zeros(len(feature) + i + 1) - 5.0
+        if found:
+            w = np.frombuffer(bytes(found.weights), "<f8")
+        else:  # no usable label
+            feature, w = feature[:0], np.append(np.zeros(i), -5.0)
         guessed = out.join(thin.select("rid", c), "rid").toPandas()  # the bounded sample
         threshold = best_threshold(guessed.p.to_numpy(), guessed[c].to_numpy())
         models.append(Model(feature, w[: len(feature)], float(w[-1]), w[len(feature) : -1], threshold))

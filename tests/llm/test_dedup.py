@@ -107,7 +107,7 @@ def test_near_empty(nothing):
     assert near_dup.near_duplicates(nothing).collect() == []
 
 
-@pytest.mark.parametrize("unit,repeats", [(256, 12), (8, 1)])
+@pytest.mark.parametrize("unit,repeats", [(16, 2)])
 def test_near_against_all_pairs(spark, unit, repeats):
     """A large group of near copies, chains, and a passage that most documents share."""
     rng = random.Random(11)
