@@ -12,9 +12,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Distinct words a worker remembers; beyond that it forgets them all and goes on.
-REMEMBERED = 800_000
+REMEMBERED = 400_000
 #: Bytes of text that are looked up at a time; more text repeats more words.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 #: Words whose normal form is plain lower-casing: Latin letters, then at most one full stop or comma.
 LATIN_WORD = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]?)").fullmatch
 

@@ -76,7 +76,7 @@ def _cut(path: str, order: Order, id_kind: str):
     """Rows (doc_id, text, part) to the sequences of their task: packed ids and the documents in them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pack = zstandard.ZstdCompressor(level=1)
+        pack = zstandard.ZstdCompressor(level=4)
         names = ["part", "local", "used", "doc_ids", "doc_starts", "ids"]
         tail = np.zeros(0, np.uint32)
         tail_docs: list = []
