@@ -144,13 +144,21 @@ def parse_answers(df: DataFrame, column: str = "raw") -> DataFrame:
         F.substring(raw, start, stop - start + 1),
     )
     # As the only element of an array, text behind the object is an error too.
-    parsed = F.from_json(F.concat(F.lit("["), block, F.lit("]")), "array<map<string,string>>")
+    # Strict JSON: what a lenient reader would accept must not end in deletions.
+    strict = {"allowSingleQuotes": "false"}
+    parsed = F.from_json(F.concat(F.lit("["), block, F.lit("]")), "array<map<string,string>>", strict)
     rows = df.withColumn("_parsed", parsed).withColumn(
         "_fields", F.when(F.size("_parsed") == 1, F.col("_parsed")[0])
     )
     field = lambda name: F.try_element_at(F.col("_fields"), F.lit(name))
     given = F.map_contains_key("_fields", "self_confidence")
-    number = F.when(given, field("self_confidence").try_cast("double")).otherwise(0.5)
+    told = field("self_confidence")
+    # Booleans count as 1 and 0; "0.9f" and the like are not numbers.
+    read = (
+        F.when(told.isin("true", "false"), (told == "true").cast("double"))
+        .when(told.rlike(r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"), told.try_cast("double"))
+    )
+    number = F.when(given, read).otherwise(0.5)
     valid = F.col("_fields").isNotNull() & number.isNotNull()
     known = field("recommendation").isin(list(RECOMMENDATIONS))
     evidence = F.from_json(field("key_evidence"), "array<string>")

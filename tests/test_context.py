@@ -117,3 +117,15 @@ def test_documents_and_prompt(spark):
                  "  triggered_agent:  True\n", context.NO_FILES, context.NO_DOCS):
         assert part in text.p
     assert json.dumps(text.p)
+
+
+def test_answers_must_be_strict_json(spark):
+    rows = [
+        (1, "{'recommendation':'clean','self_confidence':0.95}"),
+        (2, '{"recommendation":"clean","self_confidence":"0.9f"}'),
+        (3, '{"recommendation":"clean","self_confidence":true}'),
+        (4, '{"recommendation":"clean","self_confidence":"0.9"}'),
+    ]
+    got = {r.id: r for r in context.parse_answers(spark.createDataFrame(rows, "id int, raw string")).collect()}
+    assert [got[i].parsed for i in (1, 2, 3, 4)] == [False, False, True, True]
+    assert [got[i].self_confidence for i in (1, 2, 3, 4)] == [0.0, 0.0, 1.0, 0.9]
