@@ -43,18 +43,17 @@ class Trees:
     """Shape of the join.
 
     With ``branches`` b and similarity s, a tree of any depth misses a pair with the
-    probability q that solves q = (1 - s + s q) ** b: 1/9 for b = 2, s = 0.75. Four
-    trees miss it with q ** 4: the target recall at the threshold is 0.9998, and
-    more above it (0.99998 at similarity 0.8).
+    probability q that solves q = (1 - s + s q) ** b: 1/9 for b = 2, s = 0.75. Six
+    trees miss it with q ** 6, two in a million.
     """
 
     words: int = 5
     percent: int = 75
     coordinates: int = 64
-    trees: int = 4
+    trees: int = 6
     branches: int = 2
     #: Trees whose nodes are compared first, to connect most of a group early.
-    early: int = 1
+    early: int = 2
     #: Documents of a unit of comparison.
     unit: int = 256
     #: A node is small if comparing all its pairs takes at most so many rows per document.
