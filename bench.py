@@ -50,7 +50,7 @@ HEADLINE = (
 
 def cycle_scoring(spark, folder: str) -> float:
     """One scoring cycle with a model trained before, as in regular operation."""
-    model = anomaly.train(models.labelled(spark, folder), trees=models.TREES).model
+    model = anomaly.train(models.labelled(spark, folder)).model
     path = fresh_dir(spark, "predictions")
     begin = time.perf_counter()
     run_cycle(

@@ -27,7 +27,7 @@ from brimwatch.operators.skew import series_context
 from brimwatch.operators.trigger import with_trigger
 from brimwatch.schemas import DAY, PREDICTIONS, SERIES_KEY
 from brimwatch.sources.scans import trailing
-from brimwatch.sources.sinks import append_partitioned
+from brimwatch.sources.sinks import insert_ignore
 
 
 def score_series(
@@ -93,6 +93,8 @@ def run_cycle(
 ) -> dict:
     """CYC1, SNK4, AG15. Score, append and return the counts of this cycle.
 
+    A cycle that runs again adds nothing: its prediction ids are stored already.
+
     The window in series order is kept for the time of the cycle, so the samples
     are read and shuffled once for all aggregates; lost blocks are recomputed.
     """
@@ -101,7 +103,7 @@ def run_cycle(
         trailing(telemetry, as_of, settings.history_days), SERIES_KEY
     ).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        append_partitioned(score_series(rows, as_of, model, settings, forecaster), path)
+        insert_ignore(score_series(rows, as_of, model, settings, forecaster), path, ["prediction_id"])
     finally:
         rows.unpersist()
     stored = spark.read.parquet(path).where(F.col(DAY) == F.lit(as_of.date()))

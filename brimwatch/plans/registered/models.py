@@ -11,9 +11,6 @@ from brimwatch.plans.sqlviews import with_views
 from brimwatch.session import fresh_dir
 from brimwatch.sources import sample as V
 
-# The registered runs boost fewer rounds than the default of the operator.
-TREES = 20
-
 
 def labelled(spark, d):
     return anomaly.training_set(V.telemetry(spark, d, one_device=True), V.series_labels(spark, d))
@@ -36,7 +33,7 @@ def split(spark, d):
 @register("anomaly_train")
 def train(spark, d):
     """ML1, ML3, AG20."""
-    metrics = anomaly.train(labelled(spark, d), trees=TREES).metrics
+    metrics = anomaly.train(labelled(spark, d)).metrics
     return spark.createDataFrame([metrics])
 
 
@@ -44,7 +41,7 @@ def train(spark, d):
 def score(spark, d):
     """ML4, ML5: a saved model, loaded again, over every series."""
     path = fresh_dir(spark, "model")
-    anomaly.save(anomaly.train(labelled(spark, d), trees=TREES).model, path)
+    anomaly.save(anomaly.train(labelled(spark, d)).model, path)
     features = series_features(V.telemetry(spark, d, one_device=True))
     scored = anomaly.score(anomaly.load(path), features)
     return scored.select("host_id", "device", r6("anomaly_score").alias("anomaly_score"))
@@ -53,7 +50,7 @@ def score(spark, d):
 @register("cycle_fleet")
 def cycle(spark, d):
     """CYC1, SNK4: features, score, piecewise forecast and trigger, appended and read back."""
-    model = anomaly.train(labelled(spark, d), trees=TREES).model
+    model = anomaly.train(labelled(spark, d)).model
     path = fresh_dir(spark, "predictions")
     run_cycle(
         V.telemetry(spark, d, one_device=True), V.as_of(spark, d), model, path, Settings(history_days=30)

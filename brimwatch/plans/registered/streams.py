@@ -1,8 +1,10 @@
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from brimwatch.config import Settings
 from brimwatch.operators.forecast import FORECAST_COLUMNS
-from brimwatch.plans.cycle import score_fleet
+from brimwatch.plans.cycle import run_cycle, score_fleet
 from brimwatch.plans.registered.base import r6, r9, register, stamp
 from brimwatch.plans.registered.forecasts import FORECAST_SQL, SEASONAL_SQL
 from brimwatch.plans.registered.texts import counts_sql, counts_text
@@ -127,3 +129,42 @@ def scored(spark, d):
     return stored.select(
         "host_id", "device", *[r6(name).alias(name) for name in FORECAST_COLUMNS], "triggered_agent"
     )
+
+
+@register(
+    "cycle_replay",
+    with_views(
+        "host_telemetry",
+        f"""SELECT host_id, device, {FORECAST_SQL}, 0.0::DOUBLE AS anomaly_score,
+              coalesce(forecast_7d_pct >= 90, false) OR coalesce(hours_to_90pct <= 168, false) AS triggered_agent FROM forecasts""",
+        SEASONAL_SQL,
+    ),
+)
+def replay(spark, d):
+    """CYC1, SNK4: a cycle without a model, run twice at the same time; its predictions are stored once."""
+    path = fresh_dir(spark, "predictions")
+    for _ in range(2):
+        run_cycle(
+            V.telemetry(spark, d, one_device=True), V.as_of(spark, d), None, path, Settings(history_days=30), "seasonal"
+        )
+    return spark.read.parquet(path).select(
+        "host_id", "device", *[r6(name).alias(name) for name in FORECAST_COLUMNS], "anomaly_score", "triggered_agent"
+    )
+
+
+@register(
+    "stream_late_rows",
+    with_views(
+        "telemetry",
+        f"""SELECT host_id, device, {qstamp('ts')} AS ts, in_use_pct FROM telemetry
+            UNION ALL SELECT host_id, device, {qstamp('ts - INTERVAL 40 DAY')}, in_use_pct FROM telemetry""",
+    ),
+)
+def late_rows(spark, d):
+    """ST1, ST5: after the samples, a second job over the table brings the same ones 40 days older, and the first again."""
+    table = fresh_dir(spark, "stream-telemetry")
+    rows = samples(spark, d)
+    drain(jobs.ingest(rows, table, fresh_dir(spark, "state")))
+    late = samples(spark, d).withColumn("ts", F.col("ts") - F.expr("INTERVAL 40 DAYS"))
+    drain(jobs.ingest(late.unionByName(samples(spark, d)), table, fresh_dir(spark, "state")))
+    return spark.read.parquet(table).select("host_id", "device", stamp("ts").alias("ts"), "in_use_pct")

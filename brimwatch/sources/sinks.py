@@ -40,34 +40,51 @@ def read_partitioned(spark: SparkSession, path: str, like: DataFrame) -> DataFra
         return with_day(like).limit(0)
 
 
-def new_rows(batch: DataFrame, target: DataFrame, key: Sequence[str] = TELEMETRY_KEY) -> DataFrame:
-    """SNK1. Rows of the batch whose key is not stored yet; within the batch one per key."""
-    return batch.dropDuplicates(list(key)).join(target.select(*key), list(key), "left_anti")
+def one_per_key(df: DataFrame, key: Sequence[str], order: Sequence[str] = (), last: bool = False) -> DataFrame:
+    """The first, or last, row of every key by the columns ``order``.
+
+    Ties, and frames without such columns, go by the order in which the rows are read.
+    Every map task reduces its rows first, so a key may repeat any number of times.
+    """
+    rest = [name for name in df.columns if name not in key]
+    if not rest:
+        return df.distinct()
+    pick = F.max_by if last else F.min_by
+    ranked = df.withColumn("_arrival", F.monotonically_increasing_id())
+    best = pick(F.struct(*rest), F.struct(*order, "_arrival")).alias("_row")
+    return ranked.groupBy(*key).agg(best).select(*key, "_row.*").select(*df.columns)
 
 
-def insert_ignore(batch: DataFrame, path: str) -> None:
-    """SNK1. Idempotent append of telemetry: the first write of a key wins.
+def insert_ignore(
+    batch: DataFrame, path: str, key: Sequence[str] = TELEMETRY_KEY, order: Sequence[str] = ()
+) -> None:
+    """SNK1. Idempotent append by day: the first write of a key wins, also within the batch.
 
+    ``order`` names columns that tell the first row of a key, else it is the first one read.
     Only the stored days the batch touches are read for the comparison. The
     batch is fixed before it is compared, so a retried task sees the same rows.
     """
+    key = list(key)
     spark = batch.sparkSession
-    staged = cut_lineage(with_day(batch.dropDuplicates(list(TELEMETRY_KEY))))
+    staged = cut_lineage(with_day(one_per_key(batch, key, order)))
     days = [row[0] for row in staged.select(DAY).distinct().collect()]  # calendar days only
     if not days:
         return
     stored = read_partitioned(spark, path, batch).where(F.col(DAY).isin(days))
-    fresh = staged.join(stored.select(*TELEMETRY_KEY), list(TELEMETRY_KEY), "left_anti")
+    fresh = staged.join(stored.select(*key), key, "left_anti")
     fresh.hint("rebalance", DAY).write.mode("append").partitionBy(DAY).parquet(path)
 
 
 def upsert(
-    target: DataFrame, updates: DataFrame, key: str, columns: Sequence[str] | None = None
+    target: DataFrame, updates: DataFrame, key: str, columns: Sequence[str] | None = None,
+    order: Sequence[str] = (),
 ) -> DataFrame:
     """SNK2, SNK3. Last write wins on all, or only on the given, columns.
 
     New keys come in whole; on existing keys the other columns keep their value.
+    Of several updates of a key the last by ``order`` counts, as in ``one_per_key``.
     """
+    updates = one_per_key(updates, [key], order, last=True)
     overwrite = set(columns if columns is not None else [c for c in target.columns if c != key])
     new = updates.withColumn("_new", F.lit(True)).alias("u")
     joined = target.withColumn("_old", F.lit(True)).alias("t").join(
@@ -86,9 +103,9 @@ def upsert(
 
 
 def link_tickets(runs: DataFrame, tickets: DataFrame) -> DataFrame:
-    """SNK6. Runs with the id of the ticket filed for them."""
-    filed = tickets.select(
-        F.col("agent_run_id").alias("run_id"), F.col("ticket_id").alias("_filed")
+    """SNK6. Runs with the id of the newest ticket filed for them."""
+    filed = tickets.groupBy(F.col("agent_run_id").alias("run_id")).agg(
+        F.max_by("ticket_id", F.struct("created_at", "ticket_id")).alias("_filed")
     )
     return (
         runs.join(filed, "run_id", "left")
@@ -98,9 +115,13 @@ def link_tickets(runs: DataFrame, tickets: DataFrame) -> DataFrame:
 
 
 def update_status(
-    tickets: DataFrame, changes: DataFrame, as_of: datetime
+    tickets: DataFrame, changes: DataFrame, as_of: datetime, order: Sequence[str] = ()
 ) -> tuple[DataFrame, DataFrame]:
-    """SNK7. (tickets with new status and update time, unknown ticket ids)."""
+    """SNK7. (tickets with new status and update time, unknown ticket ids).
+
+    Of several changes of a ticket the last by ``order`` counts, as in ``one_per_key``.
+    """
+    changes = one_per_key(changes, ["ticket_id"], order, last=True)
     wanted = changes.select("ticket_id", F.col("status").alias("_status"))
     touched = F.col("_status").isNotNull()
     updated = (

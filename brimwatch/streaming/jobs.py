@@ -16,10 +16,8 @@ from pyspark.sql.streaming import StreamingQuery
 from brimwatch.functions.redact import redact
 from brimwatch.operators.latest import latest_per
 from brimwatch.operators.skew import skew_join
-from brimwatch.sources.sinks import TELEMETRY_KEY, insert_ignore
+from brimwatch.sources.sinks import insert_ignore
 
-# ST5. Rows later than this are dropped; it equals the retention of the table.
-LATENESS = "30 days"
 INTERVAL = "15 minutes"
 
 
@@ -39,19 +37,16 @@ def _each_batch(
     return _trigger(writer.foreachBatch(work), available_now, interval).start()
 
 
-def deduplicated(telemetry: DataFrame, lateness: str = LATENESS) -> DataFrame:
-    """ST1. One row per sample key within the lateness bound."""
-    return telemetry.withWatermark("ts", lateness).dropDuplicatesWithinWatermark(list(TELEMETRY_KEY))
-
-
 def ingest(
     telemetry: DataFrame, table: str, checkpoint: str,
-    available_now: bool = True, interval: str = INTERVAL, lateness: str = LATENESS,
+    available_now: bool = True, interval: str = INTERVAL,
 ) -> StreamingQuery:
-    """ST1, SNK1. Idempotent ingest: state removes repeats, the insert guards replays."""
+    """ST1, ST5, SNK1. Idempotent ingest: each batch is compared with the stored days it touches.
+
+    There is no state and no lateness bound: samples of any age are stored, once.
+    """
     return _each_batch(
-        deduplicated(telemetry, lateness), lambda batch, _: insert_ignore(batch, table),
-        checkpoint, "append", available_now, interval,
+        telemetry, lambda batch, _: insert_ignore(batch, table), checkpoint, "append", available_now, interval
     )
 
 
@@ -82,26 +77,34 @@ def read_latest(spark, table: str) -> DataFrame:
 
 def windows(
     telemetry: DataFrame, table: str, checkpoint: str, width: str = "1 hour",
-    slide: str | None = None, lateness: str = LATENESS,
-    available_now: bool = True, interval: str = INTERVAL,
+    slide: str | None = None, available_now: bool = True, interval: str = INTERVAL,
 ) -> StreamingQuery:
-    """EXT3. Tumbling or sliding roll-up per host with a lateness bound."""
-    rolled = (
-        telemetry.withWatermark("ts", lateness)
-        .groupBy("host_id", F.window("ts", width, slide).alias("w"))
-        .agg(
+    """EXT3. Tumbling or sliding roll-up per host.
+
+    Each batch leaves its share of every window it touches, so there is no state and
+    late samples of any age count.
+    """
+    write = _write_version(table)
+
+    def work(batch: DataFrame, number: int) -> None:
+        shares = batch.groupBy("host_id", F.window("ts", width, slide).alias("w")).agg(
             F.count("*").alias("n"),
-            F.avg("in_use_pct").alias("mean_pct"),
+            F.count("in_use_pct").alias("n_pct"),
+            F.sum("in_use_pct").alias("sum_pct"),
             F.max("in_use_pct").alias("max_pct"),
         )
-        .select("host_id", F.col("w.start").alias("window_start"), "n", "mean_pct", "max_pct")
-    )
-    return _each_batch(rolled, _write_version(table), checkpoint, "update", available_now, interval)
+        write(shares.select("host_id", F.col("w.start").alias("window_start"), "n", "n_pct", "sum_pct", "max_pct"), number)
+
+    return _each_batch(telemetry, work, checkpoint, "append", available_now, interval)
 
 
 def read_windows(spark, table: str) -> DataFrame:
-    """Newest version per (host, window) of what ``windows`` wrote."""
-    return latest_per(spark.read.parquet(table), ["host_id", "window_start"], "version").drop("version")
+    """The windows of what ``windows`` wrote: the shares of all batches together."""
+    return spark.read.parquet(table).groupBy("host_id", "window_start").agg(
+        F.sum("n").alias("n"),
+        F.try_divide(F.sum("sum_pct"), F.sum("n_pct")).alias("mean_pct"),
+        F.max("max_pct").alias("max_pct"),
+    )
 
 
 def redacted(

@@ -46,6 +46,19 @@ def test_ingest_is_idempotent(spark, source, tmp_path):
     assert rows.count() == 700
 
 
+def test_late_rows_are_kept(spark, tmp_path):
+    folder, table, windows = (str(tmp_path / name) for name in ("in", "t", "w"))
+    for days in (0, -40, -400, 0):  # one file and batch each, the last one a repeat
+        rows = [(T0 + timedelta(days=days), "a", "/", 50.0, 1, 2)]
+        spark.createDataFrame(rows, SCHEMA).coalesce(1).write.mode("append").parquet(folder)
+    finish(jobs.ingest(stream(spark, folder), table, str(tmp_path / "c1")))
+    got = sorted(r.ts for r in spark.read.parquet(table).collect())
+    assert got == [T0 - timedelta(days=400), T0 - timedelta(days=40), T0]
+    finish(jobs.windows(stream(spark, folder), windows, str(tmp_path / "c2")))
+    shares = {r.window_start: (r.n, r.mean_pct) for r in jobs.read_windows(spark, windows).collect()}
+    assert shares == {T0 - timedelta(days=400): (1, 50.0), T0 - timedelta(days=40): (1, 50.0), T0: (2, 50.0)}
+
+
 def test_latest_equals_batch(spark, source, tmp_path):
     folder, rows = source
     table = str(tmp_path / "t")

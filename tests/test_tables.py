@@ -28,6 +28,33 @@ def test_insert_ignore_keeps_the_first(spark, tmp_path):
     assert got == [(T0, 1.0), (T0 + timedelta(minutes=5), 2.0), (T0 + timedelta(minutes=10), 3.0), (T0 + timedelta(hours=30), 4.0)]
 
 
+def test_first_of_a_batch_and_last_update(spark, tmp_path):
+    path = str(tmp_path / "t")
+    rows = samples(spark, [(0, "a", "/", p / 10) for p in range(1000)]).withColumn("seq", F.round(F.col("in_use_pct") * 10))
+    sinks.insert_ignore(rows.repartition(8), path, order=["seq"])
+    sinks.insert_ignore(rows.orderBy(F.desc("seq")), path)
+    assert [r.in_use_pct for r in spark.read.parquet(path).collect()] == [0.0]
+    plain = str(tmp_path / "p")
+    sinks.insert_ignore(rows.drop("seq"), plain)
+    assert [r.in_use_pct for r in spark.read.parquet(plain).collect()] == [0.0]
+    old = spark.createDataFrame([("a", "x")], "host_id string, hostname string")
+    new = spark.createDataFrame([("a", "u", 2), ("a", "w", 3), ("a", "v", 1), ("b", "z", 1)], "host_id string, hostname string, seq int")
+    got = sinks.upsert(old, new.repartition(4), "host_id", order=["seq"])
+    assert sorted(map(tuple, got.collect())) == [("a", "w"), ("b", "z")]
+
+
+def test_repeated_changes_and_tickets(spark):
+    tickets = spark.createDataFrame([("t1", "new", T0, T0, "r1"), ("t2", "new", T0, T0 + timedelta(hours=1), "r1")],
+                                    "ticket_id string, status string, updated_at timestamp, created_at timestamp, agent_run_id string")
+    changes = spark.createDataFrame([("t1", "closed", 2), ("t1", "resolved", 1), ("t9", "new", 1), ("t9", "new", 2)],
+                                    "ticket_id string, status string, seq int")
+    updated, unknown = sinks.update_status(tickets, changes, T0, order=["seq"])
+    assert sorted((r.ticket_id, r.status) for r in updated.collect()) == [("t1", "closed"), ("t2", "new")]
+    assert [r.ticket_id for r in unknown.collect()] == ["t9"]
+    runs = spark.createDataFrame([("r1", None), ("r2", None)], "run_id string, ticket_id string")
+    assert sorted(map(tuple, sinks.link_tickets(runs, tickets).collect())) == [("r1", "t2"), ("r2", None)]
+
+
 def test_append_partitioned_prunes_by_day(spark, tmp_path):
     path = str(tmp_path / "p")
     sinks.append_partitioned(samples(spark, [(0, "a", "/", 1), (60 * 24, "a", "/", 2)]), path)
@@ -65,7 +92,8 @@ def test_upserts(spark):
 
 
 def test_status_link_and_delete(spark):
-    tickets = spark.createDataFrame([("t1", "new", T0, "r1"), ("t2", "new", T0, "r2")], "ticket_id string, status string, updated_at timestamp, agent_run_id string")
+    tickets = spark.createDataFrame([("t1", "new", T0, T0, "r1"), ("t2", "new", T0, T0, "r2")],
+                                    "ticket_id string, status string, updated_at timestamp, created_at timestamp, agent_run_id string")
     changes = spark.createDataFrame([("t1", "closed"), ("t9", "closed")], "ticket_id string, status string")
     later = T0 + timedelta(days=1)
     updated, unknown = sinks.update_status(tickets, changes, later)
