@@ -36,7 +36,7 @@ _LINES = """concat_ws(chr(10),
   'RAG grounding (' || doc_count || ' docs) → +' || format('{:.2f}', c_docs),
   'environment=' || environment || ' → +' || format('{:.2f}', c_env),
   CASE WHEN recommendation = 'clean' AND anomaly_score > 0.6::DOUBLE THEN
-    'OVERRIDE: anomaly_score > 0.6 with ''clean'' recommendation — growth is not normal; escalating instead of cleaning' END,
+    'OVERRIDE: anomaly score above 0.6, score held at 0.74 or less' END,
   CASE WHEN recommendation = 'escalate_anomaly' THEN 'escalate_anomaly → minimum chat routing' END,
   'final=' || format('{:.3f}', score) || ' → ' || decision)"""
 
@@ -147,9 +147,7 @@ def _pct(name: str) -> str:
               '  hours to 90%: ' || coalesce(CAST(hours_to_90pct AS VARCHAR), 'n/a'),
               '  anomaly score: ' || format('{{:.3f}}', anomaly_score), '', 'AGENT VERDICT', '  decision: ' || decision,
               '  verdict:  ' || verdict, '  confidence_score: ' || CAST(confidence_score AS VARCHAR), '  agent_run_id:     ' || run_id,
-              '', 'REASONING', reasoning, '', 'NEXT STEPS', '  1. Compare the reasoning with the host telemetry',
-              '  2. Look at the directory on ' || host_id, '  3. Anomalous growth: find the upstream cause',
-              '  4. Capacity: extend the volume or shorten retention', '') AS description
+              '', 'REASONING', reasoning, '') AS description
             FROM classed""",
         AUDIT_SQL,
     ),
