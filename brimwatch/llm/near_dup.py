@@ -50,6 +50,8 @@ class Trees:
     words: int = 5
     percent: int = 75
     coordinates: int = 64
+    #: More coordinates, kept as one byte each, that only estimate the similarity of a pair.
+    fine: int = 192
     trees: int = 6
     branches: int = 2
     #: Trees whose nodes are compared first, to connect most of a group early.
@@ -62,13 +64,17 @@ class Trees:
     #: Part of the signature that must agree before sets are compared. At similarity 0.75, 64
     #: coordinates fall below one half with a chance of two in a million.
     agree: float = 0.5
+    #: The same over all coordinates: of 256, at similarity 0.75, fewer than five in eight agree
+    #: with a chance of four in a million.
+    agree_all: float = 0.625
 
 
-SIGNED = "doc_id {kind}, n_shingles long, v long, w long, sig binary"
+SIGNED = "doc_id {kind}, n_shingles long, v long, w long, sig binary, fine binary"
 
 
 def _sign(shape: Trees):
     keys = seeds(shape.coordinates, 31)
+    fine_keys = (seeds(shape.fine, 5231) >> np.uint64(32)).astype(np.uint32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -77,6 +83,7 @@ def _sign(shape: Trees):
                 sizes = np.array([len(s) for s in sets], dtype=np.int64)
                 full = np.flatnonzero(sizes)
                 sigs = np.zeros((len(sets), shape.coordinates), dtype=np.uint32)
+                fine = np.zeros((len(sets), shape.fine), dtype=np.uint8)
                 prints = np.zeros((2, len(sets)), dtype=np.uint64)
                 if len(full):
                     flat = np.concatenate([sets[i] for i in full])
@@ -84,34 +91,41 @@ def _sign(shape: Trees):
                     for j, key in enumerate(keys):
                         hashed = ((flat ^ key) * (key | np.uint64(1))) >> np.uint64(32)
                         sigs[full, j] = np.minimum.reduceat(hashed, starts)
+                    halves = flat.astype(np.uint32)
+                    for j, key in enumerate(fine_keys):
+                        fine[full, j] = np.minimum.reduceat((halves ^ key) * (key | np.uint32(1)), starts) & 0xFF
                     for row, key in enumerate(seeds(2, 977)):
                         total = np.add.reduceat(mix(flat ^ key), starts)
                         prints[row, full] = mix(total + sizes[full].astype(np.uint64))
-                width = 4 * shape.coordinates
-                at = np.arange(len(sets) + 1, dtype=np.int32) * width
-                buffers = [None, pa.py_buffer(at.tobytes()), pa.py_buffer(sigs.astype("<u4").tobytes())]
                 yield pa.RecordBatch.from_arrays(
                     [
                         piece.column("doc_id"),
                         pa.array(sizes),
                         signed(prints[0]),
                         signed(prints[1]),
-                        pa.Array.from_buffers(pa.binary(), len(sets), buffers),
+                        _binary(sigs.astype("<u4")),
+                        _binary(fine),
                     ],
-                    names=["doc_id", "n_shingles", "v", "w", "sig"],
+                    names=["doc_id", "n_shingles", "v", "w", "sig", "fine"],
                 )
 
     return run
 
 
-def _matrix(column, width: int) -> np.ndarray:
+def _binary(rows: np.ndarray) -> pa.Array:
+    """One binary value per row of a matrix."""
+    at = np.arange(len(rows) + 1, dtype=np.int32) * (rows.shape[1] * rows.itemsize)
+    return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(at.tobytes()), pa.py_buffer(rows.tobytes())])
+
+
+def _matrix(column, width: int, kind: str = "<u4") -> np.ndarray:
     """Signatures of a table column, one row each."""
     chunks = [c for c in (column.chunks if isinstance(column, pa.ChunkedArray) else [column]) if len(c)]
     parts = []
     for chunk in chunks:
         at = np.frombuffer(chunk.buffers()[1], np.int32)[chunk.offset : chunk.offset + len(chunk) + 1]
-        parts.append(np.frombuffer(chunk.buffers()[2], "<u4", (at[-1] - at[0]) // 4, int(at[0])))
-    return np.concatenate(parts).reshape(-1, width) if parts else np.zeros((0, width), np.uint32)
+        parts.append(np.frombuffer(chunk.buffers()[2], kind, (at[-1] - at[0]) // np.dtype(kind).itemsize, int(at[0])))
+    return np.concatenate(parts).reshape(-1, width) if parts else np.zeros((0, width), kind)
 
 
 def _children(shape: Trees, early: list[int]):
@@ -140,23 +154,39 @@ def _split(rows: DataFrame, shape: Trees, early: list[int]) -> DataFrame:
 
 
 def _needed(shape: Trees):
-    """Of units (unit, v, comp, sig): the documents that may have a link to another component."""
+    """Of units (unit, v, comp, block, n_shingles, sig, fine): documents that may link to another component.
+
+    In a unit of two blocks only pairs across them count; a block has a unit of its own.
+    """
+    least = int(shape.agree * shape.coordinates)
+    least_all = int(shape.agree_all * (shape.coordinates + shape.fine))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in groups(batches, "unit"):
-            unit = table.column("unit").to_numpy()
-            comp = table.column("comp").to_numpy()
+            unit, comp, block, size = (
+                table.column(c).to_numpy() for c in ("unit", "comp", "block", "n_shingles")
+            )
             sigs = _matrix(table.column("sig"), shape.coordinates)
+            fine = _matrix(table.column("fine"), shape.fine, "u1")
             starts = np.flatnonzero(np.diff(unit, prepend=unit[0] ^ 1))
             keep = np.zeros(len(unit), dtype=bool)
-            least = int(shape.agree * shape.coordinates)
             for a, b in zip(starts, [*starts[1:], len(unit)], strict=True):
-                s, c = sigs[a:b], comp[a:b]
-                for i in range(b - a - 1):
-                    near = ((s[i + 1 :] == s[i]).sum(axis=1) >= least) & (c[i + 1 :] != c[i])
-                    if near.any():
-                        keep[a + i] = True
-                        keep[a + i + 1 : b][near] = True
+                rows = a + np.argsort(block[a:b], kind="stable")
+                cross = int(np.searchsorted(block[rows], block[rows[-1]]))
+                s = sigs[rows]
+                for i in range(cross or len(rows) - 1):
+                    x, rest = rows[i], cross or i + 1
+                    others = rows[rest:]
+                    few, many = np.minimum(size[others], size[x]), np.maximum(size[others], size[x])
+                    near = (comp[others] != comp[x]) & (100 * few >= shape.percent * many)
+                    if not near.any():
+                        continue
+                    same = (s[rest:] == s[i]).sum(axis=1)
+                    at = np.flatnonzero(near & (same >= least))
+                    at = at[same[at] + (fine[others[at]] == fine[x]).sum(axis=1) >= least_all]
+                    if len(at):
+                        keep[x] = True
+                        keep[others[at]] = True
             if keep.any():
                 yield from table.select(["unit", "v", "comp"]).filter(pa.array(keep)).combine_chunks().to_batches()
 
@@ -246,10 +276,12 @@ class _Join:
         return rows.join(known, "v", "left").withColumn("comp", F.coalesce("comp", "v"))
 
     def compare(self, units: DataFrame) -> None:
-        """Find links inside units (unit, v, comp) and bring the components up to date."""
+        """Find links inside units (unit, v, comp, block) and bring the components up to date."""
         shape = self.shape
         small = "unit long, v long, comp long"
-        signed_units = units.join(self.reps.select("v", "sig"), "v").select("unit", "v", "comp", "sig")
+        signed_units = units.join(self.reps.select("v", "n_shingles", "sig", "fine"), "v").select(
+            "unit", "v", "comp", "block", "n_shingles", "sig", "fine"
+        )
         needed = stage(by_key(signed_units, "unit", _needed(shape), small), "needed")
         if not needed.limit(1).count():
             return
@@ -282,7 +314,7 @@ class _Join:
         cut = stage(cut.select("unit", "v", "n", "pivot"), "units")
         pivots = cut.where(f"n > {self.shape.unit}").select("unit", F.col("pivot").alias("v"))
         units = cut.select("unit", "v").unionByName(pivots).distinct()
-        self.compare(self.labelled(units))
+        self.compare(self.labelled(units).withColumn("block", F.lit(0).cast("long")))
 
     def finish(self, rows: DataFrame, exhaustive: bool) -> DataFrame | None:
         """Compare the small nodes that hold several components; the rows of the others."""
@@ -317,7 +349,7 @@ class _Join:
         ).otherwise(F.sequence(F.lit(0).cast("long"), F.col("u") + F.col("a") - 1))
         paired = small.select("node", "v", "comp", "block", F.explode(other).alias("other"))
         units = paired.select(
-            F.xxhash64("node", F.least("block", "other"), F.greatest("block", "other")).alias("unit"), "v", "comp"
+            F.xxhash64("node", F.least("block", "other"), F.greatest("block", "other")).alias("unit"), "v", "comp", "block"
         )
         self.compare(units)
         rest = rows.where("NOT small").select("node", "v")
@@ -326,7 +358,7 @@ class _Join:
 
 def _printed(shape: Trees):
     """Rows (doc_id, text) to (v, text): the print of the shingle set names the vertex."""
-    sign = _sign(Trees(words=shape.words, coordinates=1))
+    sign = _sign(Trees(words=shape.words, coordinates=1, fine=1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -355,7 +387,7 @@ def near_duplicates(docs: DataFrame, shape: Trees = Trees()) -> DataFrame:
     reps = stage(
         signed_docs.where("n_shingles > 0")
         .groupBy("v", "w", "n_shingles")
-        .agg(F.min("doc_id").alias("doc_id"), F.first("sig").alias("sig")),
+        .agg(F.min("doc_id").alias("doc_id"), F.first("sig").alias("sig"), F.first("fine").alias("fine")),
         "sets",
     )
     join = _Join(reps, docs, shape)
