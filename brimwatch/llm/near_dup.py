@@ -56,8 +56,8 @@ class Trees:
     branches: int = 2
     #: Trees whose nodes are compared first, to connect most of a group early.
     early: int = 2
-    #: Documents of a unit of comparison.
-    unit: int = 256
+    #: Documents of a unit of comparison; larger units repeat a document in fewer of them.
+    unit: int = 512
     #: A node is small if comparing all its pairs takes at most so many rows per document.
     repeats: int = 12
     depth: int = 24
