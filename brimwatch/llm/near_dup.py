@@ -62,7 +62,7 @@ class Trees:
     repeats: int = 12
     depth: int = 24
     #: Part of the signature that must agree before sets are compared. At similarity 0.75, 64
-    #: coordinates fall below one half with a chance of two in a million.
+    #: coordinates fall below one half with a chance of five in a million.
     agree: float = 0.5
     #: The same over all coordinates: of 256, at similarity 0.75, fewer than five in eight agree
     #: with a chance of four in a million.
