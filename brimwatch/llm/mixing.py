@@ -5,6 +5,10 @@ cells' token weights are raked: scaled to the target of each source, then of
 each language, then of each topic, and again, until all three hold at once.
 Weight over tokens, scaled to at most one, is the probability with which the
 cell's documents are drawn, so that the drawn tokens have the target shares.
+
+Over the highest weight, the rarest cell sets how much is drawn. With a stated
+share of the tokens (the pipeline's way) probabilities are clipped at one
+instead, and the cells that are not clipped are raked on until the marginals hold.
 """
 
 from __future__ import annotations
@@ -23,6 +27,9 @@ TEMPER = 0.7
 SWEEPS = 8
 #: Sweeps whose plan is run at once.
 AT_ONCE = 4
+#: With a stated share: part of all tokens that is drawn, and the sweeps.
+SHARE = 0.5
+WITHIN_SWEEPS = 16
 NONE = "(none)"
 WORD = r"[^\x20\x09-\x0D]+"
 #: A word that ends in three equal marks, and a cell border.
@@ -99,26 +106,87 @@ def rake(
     return now.drop(*(f"share_{name}" for name in dimensions))
 
 
+def _wanted(cells: DataFrame, name: str, budget: float) -> DataFrame:
+    """Tokens to draw of each value: in proportion to its share, of a value with fewer tokens all, ``budget`` in all."""
+    values = cells.groupBy(name).agg(F.sum("tokens").alias("m"), F.first(f"share_{name}").alias("p"))
+    level = 0.0
+    while True:  # rises to the level in as many steps as there are turns of values that run out
+        full = F.col("m") <= F.lit(level) * F.col("p")
+        used, rest = values.agg(F.sum(F.when(full, F.col("m"))), F.sum(F.when(~full, F.col("p")))).first()
+        after = (budget - float(used or 0)) / rest if rest else level
+        if after <= level * (1 + 1e-12):
+            break
+        level = after
+    level = level if rest else float("inf")
+    return values.select(name, F.least(F.col("m").cast("double"), F.lit(level) * F.col("p")).alias(f"want_{name}"))
+
+
+def rake_within(
+    cells: DataFrame,
+    dimensions: tuple[str, ...] = DIMENSIONS,
+    targets: Mapping[str, Mapping[str, float]] | None = None,
+    temper: float = TEMPER,
+    share: float = SHARE,
+    sweeps: int = WITHIN_SWEEPS,
+) -> DataFrame:
+    """Rake ``cells`` to ``share`` of all tokens, of no cell more than it has; adds ``weight``, the tokens to draw.
+
+    Targets are as in ``rake``. A value without enough tokens for its share gives
+    all it has, the others make up for it. Cells of a value whose share is 0 give
+    none; if what is left is less than ``share``, all of that is drawn.
+    """
+    shared = stage(_with_targets(cells, dimensions, targets or {}, temper), "cells")
+    total = float(shared.agg(F.sum("tokens")).first()[0] or 0)
+    able = F.col("tokens") > 0
+    for name in dimensions:
+        able = able & (F.col(f"share_{name}") > 0)
+    rows = shared.where(able)
+    budget = min(share * total, float(rows.agg(F.sum("tokens")).first()[0] or 0))
+    for name in dimensions:
+        rows = rows.join(_wanted(shared.where(able), name, budget), name)
+    # ``free`` is the weight without the bound: a clipped cell can fall below it again.
+    now = rows = stage(rows.drop(*(f"share_{n}" for n in dimensions)).withColumn("free", F.col("tokens").cast("double")), "able")
+    for sweep in range(1, sweeps + 1):
+        for name in dimensions:
+            value = W.partitionBy(name)
+            # If this cell and those that reach the bound later stay free, the rest being clipped.
+            later = value.orderBy((F.col("tokens") / F.col("free")).desc(), *dimensions)
+            later = later.rowsBetween(W.unboundedPreceding, W.currentRow)
+            clipped = F.sum("tokens").over(value) - F.sum("tokens").over(later)
+            rows = rows.withColumn("factor", (F.col(f"want_{name}") - clipped) / F.sum("free").over(later))
+            # Clipping any cell can only lower the sum, so the largest factor is the one that holds.
+            rows = rows.withColumn("free", F.col("free") * F.max("factor").over(value)).drop("factor")
+        if sweep % AT_ONCE == 0 or sweep == sweeps:
+            after = stage(rows, "raked")
+            unstage(now)
+            now = rows = after
+    drawn = now.select(*dimensions, F.least("free", F.col("tokens").cast("double")).alias("weight"))
+    out = shared.drop(*(f"share_{n}" for n in dimensions)).join(drawn, list(dimensions), "left")
+    return out.withColumn("weight", F.coalesce("weight", F.lit(0.0)))
+
+
 def mix_sources(
     docs: DataFrame,
     targets: Mapping[str, Mapping[str, float]] | None = None,
     seed: int = 0,
     sweeps: int = SWEEPS,
+    share: float | None = None,
 ) -> DataFrame:
     """One row per document: doc_id, tokens, source, lang, topic, probability, kept.
 
     The probability is the raked weight per token of the document's cell, over the
-    highest one; documents are drawn by a hash of doc_id and ``seed``, so the draw
+    highest one (as in the SQL: the rarer the rarest cell, the less is drawn). With
+    ``share``, that part of all tokens is drawn, whatever the rarest cell; ``sweeps``
+    does not count then. Documents are drawn by a hash of doc_id and ``seed``, so the draw
     can be repeated and does not depend on the other rows. Documents of cells
     without tokens (null, empty or white texts) have probability 0. Rows that repeat
     a doc_id are drawn alike.
     """
     rows = described(docs)
     cells = rows.groupBy(*DIMENSIONS).agg(F.sum("tokens").alias("tokens"))
-    raked = rake(cells, targets=targets, sweeps=sweeps).withColumn(
-        "ratio", F.when(F.col("tokens") > 0, F.col("weight") / F.col("tokens")).otherwise(0.0)
-    )
-    highest = raked.agg(F.max("ratio")).first()[0] or 1.0  # one number
+    raked = rake(cells, targets=targets, sweeps=sweeps) if share is None else rake_within(cells, targets=targets, share=share)
+    raked = raked.withColumn("ratio", F.when(F.col("tokens") > 0, F.col("weight") / F.col("tokens")).otherwise(0.0))
+    highest = 1.0 if share is not None else raked.agg(F.max("ratio")).first()[0] or 1.0  # one number
     rated = raked.select(*DIMENSIONS, (F.col("ratio") / F.lit(highest)).alias("p"))
     key = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(f"|{seed}"))
     draw = F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)

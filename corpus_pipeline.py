@@ -73,9 +73,9 @@ def keep_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def to_target_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Draw documents so that sources, languages and topics have their target shares of tokens."""
+    """Draw half of the tokens so that sources, languages and topics have their target shares."""
     docs = _columns(docs)
-    return _only(docs, mixing.mix_sources(docs).where("kept"), "left_semi")
+    return _only(docs, mixing.mix_sources(docs, share=mixing.SHARE).where("kept"), "left_semi")
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

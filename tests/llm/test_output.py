@@ -90,6 +90,41 @@ def test_mixing_meets_targets(spark, messy, nothing):
     assert mixing.mix_sources(nothing).collect() == []
 
 
+def test_kept_share_with_a_tiny_cell(spark, data):
+    """The pipeline keeps the stated share of tokens, also with one small document in a language or source of its own."""
+    docs = spark.createDataFrame(
+        [(i, "word " * (20 + i % 7), "abcc"[i % 4], "xyyyz"[i % 5]) for i in range(3000)],
+        "doc_id long, text string, source string, lang string",
+    )
+    for source, lang in ((None, None), ("a", "rare"), ("rare", "x")):
+        tiny = spark.createDataFrame([(-1, "word " * 10, source, lang)], docs.schema)
+        both = docs.unionByName(tiny) if lang else docs
+        kept = corpus_pipeline.to_target_weights(spark, both, data)
+        ids = {r.doc_id for r in kept.select("doc_id").collect()}
+        tokens = sum(20 + i % 7 for i in ids if i >= 0)
+        assert abs(tokens / sum(20 + i % 7 for i in range(3000)) - mixing.SHARE) < 0.03
+        assert not lang or -1 in ids
+        rows = mixing.mix_sources(both, share=mixing.SHARE).toPandas()
+        drawn = (rows.tokens * rows.probability).sum()
+        assert abs(drawn / rows.tokens.sum() - mixing.SHARE) < 1e-3 and rows.probability.between(0, 1).all()
+
+
+def test_raking_within_bounds(spark):
+    cells = spark.createDataFrame(
+        [("a", "x", 50), ("a", "y", 10), ("b", "x", 5), ("b", "y", 35), ("b", "z", 0)],
+        "source string, lang string, tokens long",
+    )
+    want = {"source": {"a": 0.4, "b": 0.6}, "lang": {"x": 0.5, "y": 0.5}}
+    out = mixing.rake_within(cells, ("source", "lang"), want, share=0.3, sweeps=40).toPandas()
+    assert (out.weight <= out.tokens + 1e-9).all() and abs(out.weight.sum() - 30) < 1e-6
+    assert abs(out[out.source == "b"].weight.sum() - 18) < 1e-2 and abs(out[out.lang == "x"].weight.sum() - 15) < 1e-2
+    out = mixing.rake_within(cells, ("source", "lang"), want, share=0.9, sweeps=4).toPandas()
+    assert (out.weight <= out.tokens + 1e-9).all()
+    none = {"lang": {"x": 1.0}}
+    out = mixing.rake_within(cells, ("source", "lang"), none, share=0.9, sweeps=4).toPandas()
+    assert out[out.lang != "x"].weight.sum() == 0 and abs(out.weight.sum() - 55) < 1e-6
+
+
 def test_packing(messy, nothing, tokenizer):
     out = packing.pack(messy, longest=64).collect()
     assert sorted(r.sequence_id for r in out) == list(range(len(out)))
