@@ -58,6 +58,8 @@ MARKS = frozenset(
     "breadcrumbs footer header masthead topbar toolbar related recommended recommendations share sharing social "
     "pagination pager search form skip copyright legal".split()
 )
+#: What a head can hold; anything else ends it, as its end tag may be left out.
+IN_HEAD = frozenset("head title base basefont bgsound link meta script style noscript noframes template".split())
 COMMENTS = frozenset("comment comments commentlist disqus respond reply replies discussion".split())
 _PART = re.compile(r"[a-z]+")
 _ABOUT_LAYOUT = re.compile(r"(has|with|without|no|is|js|can)[-_]")
@@ -95,19 +97,32 @@ class _Page(HTMLParser):
             if tag in within:
                 return
 
+    def _end_head(self, tag: str) -> None:
+        """End a head that is still open; what ends it is in the body, with or without a start tag."""
+        if len(self.open) < 2 or self.open[1].tag != "head" or tag != "body" and any(n.tag != "title" for n in self.open[2:]):
+            return
+        del self.open[1:]
+        if tag != "body" and not any(n.tag == "body" for n in self.nodes):
+            self._add("body", {})
+
+    def _add(self, tag: str, attrs: dict) -> None:
+        node = _Node(tag, attrs, self.open[-1])
+        self.open[-1].parts.append(node)
+        self.nodes.append(node)
+        if tag not in VOID:
+            self.open.append(node)
+
     def handle_starttag(self, tag, attrs):
         if tag in ("html", "body") and any(n.tag == tag for n in self.open):
             return
+        if tag == "body" or tag in BLOCK and tag != "html" or self.open[-1].tag == "head" and tag not in IN_HEAD:
+            self._end_head(tag)
         if tag in ENDS:
             for _ in range(3):
                 self._end(*ENDS[tag])
         if tag in BLOCK:
             self._end(frozenset(("p",)), HOLDS_P)
-        node = _Node(tag, {k: v or "" for k, v in attrs}, self.open[-1])
-        self.open[-1].parts.append(node)
-        self.nodes.append(node)
-        if tag not in VOID:
-            self.open.append(node)
+        self._add(tag, {k: v or "" for k, v in attrs})
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -121,10 +136,44 @@ class _Page(HTMLParser):
                 return
 
     def handle_data(self, data):
+        if self.open[-1].tag == "head" and data.strip():
+            self._end_head("")
         self.open[-1].parts.append(data)
 
+    def wrap_loose(self) -> None:
+        """Make each run of text and inline elements directly in the body a paragraph, to be weighed like one."""
+        body = next((n for n in self.nodes if n.tag == "body"), None)
+        if body is None:
+            return
+        parts: list = []
+        made: list[_Node] = []
+        run: list = []
+        for part in [*body.parts, None]:
+            if part is not None and (type(part) is str or part.tag not in BLOCK and part.tag not in DROPPED):
+                run.append(part)
+                continue
+            if any(type(x) is str and x.strip() for x in run):
+                made.append(_Node("p", {}, body))
+                made[-1].parts = run
+                for x in run:
+                    if type(x) is _Node:
+                        x.parent = made[-1]
+                run = made[-1:]
+            parts += run if part is None else [*run, part]
+            run = []
+        body.parts = parts
+        at = self.nodes.index(body) + 1
+        self.nodes[at:at] = made
+
 
 def _parsed(html: str) -> _Page:
+    """Tree of a page, with its loose text in paragraphs."""
+    page = _read(html)
+    page.wrap_loose()
+    return page
+
+
+def _read(html: str) -> _Page:
     page = _Page()
     try:
         page.feed(html)
@@ -144,9 +193,10 @@ def _named(node: _Node, words: frozenset) -> bool:
     return False
 
 
-def _is_dropped(node: _Node, in_article: bool, holds_article: bool) -> bool:
+def _is_dropped(node: _Node, in_article: bool, holds_article: bool, frames: bool) -> bool:
+    """``frames``: a form that may be around the whole page, and is not dropped for being one."""
     tag = node.tag
-    if tag in DROPPED:
+    if tag in DROPPED and not (tag == "form" and frames):
         return True
     if tag in ("html", "body", "main"):
         return False
@@ -162,9 +212,18 @@ def _is_dropped(node: _Node, in_article: bool, holds_article: bool) -> bool:
         return not in_article
     if tag in HEADINGS:
         return False
+    if tag == "form":
+        return node.attrs.get("role", "") == "search" or _named(node, MARKS - {"form"})
     return node.attrs.get("role", "") in ROLES or _named(node, MARKS)
 
 
+def _mark(nodes: list[_Node], inside: set, holds: set, forms: set) -> None:
+    """Mark what is dropped; of forms, all but ``forms`` are."""
+    for node in nodes:
+        parent = node.parent
+        node.out = parent is not None and (parent.out or _is_dropped(node, node in inside, node in holds, node in forms))
+
+
 def _measure(page: _Page) -> None:
     """Mark what is dropped, then count and weigh the rest, children before parents."""
     nodes = page.nodes
@@ -178,9 +237,18 @@ def _measure(page: _Page) -> None:
         parent = node.parent
         if parent is not None and (parent in inside or parent.tag in ("article", "main")):
             inside.add(node)
-        node.out = (parent is not None and parent.out) or (
-            parent is not None and _is_dropped(node, node in inside, node in holds)
-        )
+    forms = {n for n in nodes if n.tag == "form"}
+    _mark(nodes, inside, holds, forms)
+    if forms:
+        # Only a form that holds the article, or most of the text there is with all forms, stays.
+        chars: dict[_Node, int] = {}
+        for node in reversed(nodes):
+            if not node.out:
+                own = sum(len("".join(x.split())) if type(x) is str else chars.get(x, 0) for x in node.parts)
+                chars[node] = own
+        most = chars.get(page.root, 0)
+        stay = {n for n in forms if n in holds or 0 < most <= 2 * chars.get(n, 0)}
+        _mark(nodes, inside, holds, stay)
     for node in reversed(nodes):
         if node.out:
             continue
@@ -216,7 +284,10 @@ def _density(node: _Node, page_links: float) -> float:
 def _selected(page: _Page) -> tuple[_Node, set[_Node]]:
     """The element that frames the article, and the dense elements in it."""
     body = next((n for n in page.nodes if n.tag == "body"), page.root)
-    best = max((n for n in page.nodes if not n.out), key=lambda n: n.total, default=body)
+    # The root is no choice next to a body: it holds the same text.
+    best = max((n for n in page.nodes if not n.out and (n is not page.root or n is body)), key=lambda n: n.total, default=body)
+    if best is body:
+        return body, {body}
     if best.total <= 0:
         return body, {body}
     threshold, up = best.density, best

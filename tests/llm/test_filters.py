@@ -109,6 +109,36 @@ def test_odd_pages(html, want):
     assert density.main_text(html) == want
 
 
+PARAGRAPHS = "".join(f"<p>Paragraph {i} has some words, and goes on for a while.</p>" for i in range(5))
+LINES = [f"Line {i} has some words, and goes on for a while." for i in range(5)]
+TEXT = " ".join(f"Paragraph {i} has some words, and goes on for a while." for i in range(5))
+
+
+@pytest.mark.parametrize(
+    "html,want",
+    [
+        # Text directly in the body.
+        ("<html><head><title>t</title></head><body>" + " ".join(LINES) + "</body></html>", " ".join(LINES)),
+        ("<html><head></head><body>" + "<br>".join(LINES) + "<div id=footer>end</div></body></html>", " ".join(LINES)),
+        ("<html><body>" + "<br><br>".join(LINES) + "<div><p>A note.</p><p>One more.</p></div></body></html>",
+         " ".join([*LINES, "A note. One more."])),
+        ("<body>Some <b>bold</b> text and a <a href=x>link</a> in it, and more words.</body>",
+         "Some bold text and a link in it, and more words."),
+        # A head that is not closed.
+        ("<html><head><title>t</title><meta charset=utf-8><body>" + PARAGRAPHS + "</body></html>", TEXT),
+        ("<html><head><title>t</title><div>" + PARAGRAPHS + "</div></html>", TEXT),
+        ("<head><title>t</title><noscript><div>x</div></noscript><body><div>" + PARAGRAPHS + "</div>", TEXT),
+        ("<head><title>t</title></title>Only text.", "Only text."),
+        # A form around the whole page.
+        ('<body><form id="form1"><input name=v><div><div>' + PARAGRAPHS + "</div></div></form></body>", TEXT),
+        ("<body><form><nav><a href=x>Home</a></nav><article>" + PARAGRAPHS + "</article></form></body>", TEXT),
+        ("<body><div>" + PARAGRAPHS + "</div><form><p>Sign up now</p><input name=q></form></body>", TEXT),
+    ],
+)
+def test_ordinary_pages_without_article(html, want):
+    assert density.main_text(html) == want
+
+
 def test_pages_table(spark, data):
     pages = spark.read.parquet(f"{data}/pages.parquet")
     out = density.main_texts(pages.selectExpr("*", "1 text", "2 n_chars")).collect()
