@@ -6,10 +6,17 @@ leaf is small, or until so many pairs of a node are links that splitting only
 parts what belongs together. Vectors are compared within leaves, in double
 precision. A pair that meets in several leaves counts in the first of them, so
 counts need no list of pairs, and each unit gives out a row per vector at most.
+
+How many trees it takes depends on the data: the closer all vectors are, and the
+more levels, the more pairs a tree parts. So partners at exactly the threshold
+are made for some vectors and routed along, and real links of the same vectors
+are found by brute force; trees are added until enough of both pairs meet.
 """
 
 from __future__ import annotations
 
+import logging
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -23,13 +30,24 @@ from brimwatch.llm.common import by_key, groups, mix, seeds, signed, stage, unst
 from brimwatch.llm.components import components
 
 
+LOG = logging.getLogger(__name__)
+
+
 @dataclass(frozen=True)
 class Forest:
     """Shape of the forest. Splits are learned from about ``sample`` vectors of each node, the only
     bound; every vector is routed and every leaf compared whole."""
 
     cosine: float = 0.95
+    #: Trees to begin with.
     trees: int = 6
+    #: Part of the probe pairs that must meet; trees are added until they do, or there are ``most``.
+    recall: float = 0.95
+    #: About as many vectors are paired with a made partner, and compared with all vectors.
+    probes: int = 2048
+    #: Real links count from so many on; a few say nothing about the rest.
+    enough: int = 100
+    most: int = 96
     #: Part of a node, on each side of the middle, that goes to both children.
     spill: float = 0.05
     leaf: int = 2048
@@ -146,6 +164,60 @@ def _routed(shape: Forest, kind: np.dtype):
     return run
 
 
+def _partners(shape: Forest, kind: np.dtype):
+    """For rows (v, vec), a vector at the threshold's cosine in a random direction."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            out = []
+            for v, raw in zip(batch.column("v").to_pylist(), _vectors(batch.column("vec"), kind), strict=True):
+                x = _units([raw])[0]
+                side = _direction(v, -1, len(x))
+                side -= (side @ x) * x
+                length = np.linalg.norm(side)
+                y = shape.cosine * x + math.sqrt(1 - shape.cosine**2) * side / length if length > 1e-9 else x
+                out.append(y.astype(kind).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column("v"), pa.array(out, pa.binary())], names=["v", "vec"])
+
+    return run
+
+
+def _linked(shape: Forest, kind: np.dtype, sample: dict[int, tuple[np.ndarray, np.ndarray]]):
+    """For rows (v, vec), at most one link (a, b) of each to the sample (ids and unit vectors by width)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, 1024):
+                piece = batch.slice(start, 1024)
+                v, rows = piece.column("v").to_numpy(), _vectors(piece.column("vec"), kind)
+                width = np.array([r.nbytes for r in rows])
+                for w in np.intersect1d(width, list(sample)):
+                    at = np.flatnonzero(width == w)
+                    ids, x = sample[int(w)]
+                    near = _units([rows[i] for i in at]) @ x.T >= shape.cosine
+                    near &= v[at][:, None] != ids
+                    some = np.flatnonzero(near.any(axis=1))
+                    if not len(some):
+                        continue
+                    own = v[at][some]
+                    draw = mix(own.view(np.uint64)[:, None] ^ mix(ids.view(np.uint64))[None, :]) | np.uint64(1)
+                    one = np.where(near[some], draw, np.uint64(0)).argmax(axis=1)
+                    yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(ids[one])], names=["a", "b"])
+
+    return run
+
+
+def _met(leaves: DataFrame, pairs: DataFrame) -> dict[str, int]:
+    """Of probe pairs (kind, a, b), how many of each kind share a leaf."""
+    first = leaves.join(F.broadcast(pairs), F.col("v") == F.col("a")).select("kind", "a", "b", "node")
+    ends = F.broadcast(pairs.select(F.col("b").alias("end")).distinct())
+    second = leaves.join(ends, F.col("v") == F.col("end")).select(F.col("end").alias("b"), "node")
+    met = first.join(second, ["b", "node"]).select("kind", "a", "b").distinct()
+    return {r["kind"]: r["count"] for r in met.groupBy("kind").count().collect()}
+
+
 def _labels(near: np.ndarray) -> np.ndarray:
     """Smallest row connected to each row."""
     label = np.arange(len(near))
@@ -207,12 +279,48 @@ def _compared(shape: Forest, kind: np.dtype):
     return run
 
 
+def _grown_leaves(points: DataFrame, shape: Forest, kind: np.dtype, first: int, last: int) -> DataFrame:
+    """Leaves (node, v, n) of the trees ``first`` to ``last`` over ``points`` (v, vec)."""
+    # Round by round: learn the splits of nodes that are too large, route, look at the children.
+    root = F.xxhash64(F.lit(7), F.col("tree"), F.octet_length("vec"))
+    rows_now = points.select("v", "vec", F.explode(F.sequence(F.lit(first), F.lit(last))).alias("tree"))
+    rows_now = rows_now.select(root.alias("node"), "v", "vec")
+    sizes = stage(rows_now.groupBy("node").agg(F.count("*").alias("n")), "sizes")
+    leaves: DataFrame | None = None
+    held: list[DataFrame] = []
+    for number_ in range(shape.rounds + 1):
+        draw = F.pmod(F.xxhash64("v", "node"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+        part = rows_now.join(sizes, "node").where(draw < F.lit(float(shape.sample)) / F.col("n"))
+        grown = stage(
+            by_key(part.select("node", "n", "vec"), "node", _grown(shape, kind), "node long, bounds binary, tight binary"),
+            "splits",
+        )
+        routed = rows_now.join(grown, "node").mapInArrow(_routed(shape, kind), "node long, v long, tight boolean")
+        routed = stage(routed, "routed")
+        held.append(routed)
+        unstage(grown, sizes)
+        sizes = stage(
+            routed.groupBy("node").agg(F.count("*").alias("n"), F.max("tight").alias("tight")), "sizes"
+        )
+        final = F.col("tight") | (F.col("n") <= 2 * shape.leaf) | F.lit(number_ == shape.rounds)
+        done = routed.select("node", "v").join(sizes.where(final).select("node", "n"), "node")
+        leaves = done if leaves is None else leaves.unionByName(done)
+        sizes = sizes.where(~final).select("node", "n")
+        if not sizes.limit(1).count():
+            break
+        rows_now = routed.select("node", "v").join(sizes.select("node"), "node").join(points, "v")
+    leaves = stage(leaves, "leaves")
+    unstage(*held)
+    return leaves
+
+
 def near_vectors(vectors: DataFrame, shape: Forest = Forest()) -> DataFrame:
     """One row per vector: vec_id, n_links, component_id, kept.
 
     ``vectors`` has vec_id and embedding (an array of numbers). Links are pairs
     found with cosine >= 0.95 in double precision, never below it; measured against
-    brute force the forest finds over nine in ten. Null and empty vectors, zero
+    brute force the forest finds over nine in ten: trees are added until 95 % of
+    made pairs at cosine 0.95, and of links to a sample, meet. Null and empty vectors, zero
     ones, and those with a null or non-finite component are linked with nothing.
     Vectors of different lengths are not compared. component_id is the smallest
     vec_id reachable over links. Bitwise equal vectors are one vertex with a
@@ -247,36 +355,49 @@ def near_vectors(vectors: DataFrame, shape: Forest = Forest()) -> DataFrame:
         .select(F.xxhash64("vec").alias("v"), "vec", "weight", "least"),
         "vectors",
     )
-    # Round by round: learn the splits of nodes that are too large, route, look at the children.
-    root = F.xxhash64(F.lit(7), F.col("tree"), F.octet_length("vec"))
-    rows_now = base.select("v", "vec", F.explode(F.sequence(F.lit(1), F.lit(shape.trees))).alias("tree"))
-    rows_now = rows_now.select(root.alias("node"), "v", "vec")
-    sizes = stage(rows_now.groupBy("node").agg(F.count("*").alias("n")), "sizes")
-    leaves: DataFrame | None = None
-    held: list[DataFrame] = []
-    for number_ in range(shape.rounds + 1):
-        draw = F.pmod(F.xxhash64("v", "node"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-        part = rows_now.join(sizes, "node").where(draw < F.lit(float(shape.sample)) / F.col("n"))
-        grown = stage(
-            by_key(part.select("node", "n", "vec"), "node", _grown(shape, kind), "node long, bounds binary, tight binary"),
-            "splits",
-        )
-        routed = rows_now.join(grown, "node").mapInArrow(_routed(shape, kind), "node long, v long, tight boolean")
-        routed = stage(routed, "routed")
-        held.append(routed)
-        unstage(grown, sizes)
-        sizes = stage(
-            routed.groupBy("node").agg(F.count("*").alias("n"), F.max("tight").alias("tight")), "sizes"
-        )
-        final = F.col("tight") | (F.col("n") <= 2 * shape.leaf) | F.lit(number_ == shape.rounds)
-        done = routed.select("node", "v").join(sizes.where(final).select("node", "n"), "node")
-        leaves = done if leaves is None else leaves.unionByName(done)
-        sizes = sizes.where(~final).select("node", "n")
-        if not sizes.limit(1).count():
+    grove, trees = [], 0
+    more = shape.trees
+    # Partners are routed with the vectors; only vectors of ``base`` are compared.
+    large = base.groupBy(F.octet_length("vec").alias("width")).agg(F.count("*").alias("n")).where(F.col("n") > 2 * shape.leaf)
+    rate = F.lit(float(shape.probes)) / F.col("n")
+    draw = F.pmod(F.xxhash64("v", F.lit("probe")), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    chosen = base.join(F.broadcast(large), F.octet_length("vec") == F.col("width")).where(draw < rate).select("v", "vec")
+    chosen = stage(chosen, "chosen")
+    made = chosen.mapInArrow(_partners(shape, kind), "v long, vec binary")
+    made = stage(made.withColumn("partner", F.xxhash64("v", "vec", F.lit("partner"))), "partners")
+    points = base.select("v", "vec").unionByName(made.select(F.col("partner").alias("v"), "vec"))
+    pairs = made.select(F.lit("made").alias("kind"), F.col("v").alias("a"), F.col("partner").alias("b"))
+    by_width: dict[int, list] = {}
+    for r in chosen.collect():  # about ``probes`` rows of a width
+        by_width.setdefault(len(r.vec), []).append((r.v, np.frombuffer(r.vec, kind)))
+    if by_width:
+        sample = {w: (np.array([v for v, _ in x], np.int64), _units([y for _, y in x])) for w, x in by_width.items()}
+        links = stage(base.select("v", "vec").mapInArrow(_linked(shape, kind, sample), "a long, b long"), "real")
+        draw = F.pmod(F.xxhash64("a", F.lit("real")), F.lit(1 << 30)) / F.lit(float(1 << 30))
+        links = links.where(draw < F.lit(2.0 * shape.probes / max(1, links.count())))
+        pairs = stage(pairs.unionByName(links.select(F.lit("real").alias("kind"), "a", "b")), "probes")
+        asked = {r["kind"]: r["count"] for r in pairs.groupBy("kind").count().collect()}
+        asked = {k: n for k, n in asked.items() if k == "made" or n >= shape.enough}
+    else:
+        asked = {}  # each tree is one leaf
+    while True:
+        grove.append(_grown_leaves(points, shape, kind, trees + 1, trees + more))
+        trees += more
+        leaves = grove[0]
+        for other in grove[1:]:
+            leaves = leaves.unionByName(other)
+        met = _met(leaves, pairs) if asked else {}
+        parts = {k: met.get(k, 0) / n for k, n in asked.items()}
+        least = min(parts.values(), default=1.0)
+        if asked:
+            LOG.info("%d trees: parts of the pairs that share a leaf: %s of %s", trees, parts, asked)
+        if least >= shape.recall:
             break
-        rows_now = routed.select("node", "v").join(sizes.select("node"), "node").join(base.select("v", "vec"), "v")
-    leaves = stage(leaves, "leaves")
-    unstage(*held)
+        if trees >= shape.most:
+            LOG.warning("with %d trees only %s of the pairs share a leaf", trees, parts)
+            break
+        needed = math.ceil(trees * math.log(1 - shape.recall) / math.log(1 - least)) if least > 0 else shape.most
+        more = max(1, min(needed - trees, trees, shape.most - trees))  # an estimate: at most twice as many at once
     lists = leaves.groupBy("v").agg(F.collect_list("node").alias("leaves"))  # a few per tree
     full = leaves.join(base.select("v", "vec", "weight"), "v").join(lists, "v")
     blocks = F.ceil(F.col("n") / F.lit(shape.block)).cast("long")

@@ -168,3 +168,17 @@ def test_vectors_against_brute_force(spark):
         assert (got[1000 + i].n_links, got[1000 + i].component_id, got[1000 + i].kept) == (0, 1000 + i, True)
     assert got[len(x) - 1].component_id == got[5].component_id
     assert vectors.near_vectors(df.where("false")).collect() == []
+
+
+def test_trees_are_added_for_one_tight_topic(spark):
+    """Vectors of one topic, several split levels deep: six trees find two links in three."""
+    rng = np.random.default_rng(5)
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    topic = unit(rng.normal(size=32))
+    x = unit(np.sqrt(0.85) * topic + np.sqrt(0.15) * unit(rng.normal(size=(6000, 32))))
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    near = x @ x.T >= 0.95
+    np.fill_diagonal(near, False)
+    shape = vectors.Forest(leaf=64, block=64, sample=2048)
+    found = sum(r.n_links for r in vectors.near_vectors(df, shape).select("n_links").collect())
+    assert 1000 < near.sum() and 0.93 * near.sum() <= found <= near.sum()
