@@ -19,10 +19,10 @@ SLICE_BYTES = 2 << 20
 BROADCAST_ROWS = 1 << 20
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
+def stage(df: DataFrame, name: str, **options: str) -> DataFrame:
     """Write a table to the shared folder and read it again; survives lost executors."""
     path = fresh_dir(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     staged = df.sparkSession.read.schema(df.schema).parquet(path)
     staged.staged_path = path
     return staged
