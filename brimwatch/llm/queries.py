@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from brimwatch.llm import (
+    alignment,
     density,
     exact_dedup,
     language,
@@ -14,9 +15,11 @@ from brimwatch.llm import (
     near_dup,
     packing,
     ring,
+    secrets,
     toxicity,
     training_order,
     vectors,
+    whitening,
 )
 from brimwatch.llm.common import table
 from brimwatch.session import configure
@@ -39,6 +42,9 @@ QUERIES: dict[str, Query] = {
     "op8_mixing": _query(lambda s, d: mixing.mix_sources(table(s, d, "documents"))),
     "op9_html_extraction": _query(lambda s, d: density.main_texts(table(s, d, "pages"))),
     "op10_packing": _query(lambda s, d: packing.pack(table(s, d, "documents"))),
+    "op11_secret_scan": _query(lambda s, d: secrets.secret_spans(table(s, d, "documents"))),
+    "op12_whitening": _query(lambda s, d: whitening.whiten(table(s, d, "embeddings"))),
+    "op13_token_alignment": _query(lambda s, d: alignment.cross_align(table(s, d, "documents"))),
 }
 
 #: DuckDB SQL of the queries that SQL can express.
