@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from brimwatch.config import DEFAULTS, Settings
 from brimwatch.functions.scalar import hours_between
+from brimwatch.operators.percentiles import exact_percentiles
 from brimwatch.operators.skew import series_context
 from brimwatch.schemas import SERIES_KEY
 
@@ -30,10 +31,8 @@ def series_summary(rows: DataFrame, keys=SERIES_KEY, settings: Settings = DEFAUL
     """AG1-AG10, AG17 of samples in their series order: features and ``step_minutes``.
 
     One pass of mergeable aggregates: samples were shuffled once on (key, time
-    slice), and partial states per key are combined. The exact percentile keeps
-    a count per distinct value: stored percentages have three decimals in
-    0..100, which bounds that map at 100,001 entries whatever the length of the
-    series.
+    slice), and partial states per key are combined. The exact percentiles of
+    values and distances are searched besides, over counts per distinct value.
     """
     t = hours_between(F.col("ts"), F.col("first_ts"))
     t_last = hours_between(F.col("last_ts"), F.col("first_ts"))
@@ -62,10 +61,10 @@ def series_summary(rows: DataFrame, keys=SERIES_KEY, settings: Settings = DEFAUL
         F.var_pop("y").alias("var_y"),
         F.var_pop("t").alias("var_t"),
         F.max("jump").alias("jump"),
-        F.percentile("y", F.array(F.lit(0.1), F.lit(0.9))).alias("tails"),
         F.max_by("y", "ts").alias("current"),
-        _step_minutes().alias("step_minutes"),
     )
+    ends = {"y_p10": ("y", 0.1), "y_p90": ("y", 0.9), "gap_p50": ("gap", 0.5)}
+    totals = _with(totals, _percentiles(rows.withColumn("gap", _gap()), keys, ends), keys)
     slope = F.coalesce(F.col("fit"), F.lit(0.0))
     recent = F.when(F.col("n_recent") >= 2, F.coalesce(F.col("fit_recent"), F.lit(0.0))).otherwise(
         slope
@@ -82,26 +81,47 @@ def series_summary(rows: DataFrame, keys=SERIES_KEY, settings: Settings = DEFAUL
         "slope_acceleration": recent - slope,
         "residual_std": F.sqrt(F.greatest(F.lit(0.0), leftover)),
         "max_abs_jump_24h": F.coalesce(F.col("jump"), F.lit(0.0)),
-        "p90_minus_p10": F.col("tails")[1] - F.col("tails")[0],
+        "p90_minus_p10": F.col("y_p90") - F.col("y_p10"),
         "current_value": F.col("current"),
     }
     enough = F.col("n") >= settings.min_feature_rows
     return totals.select(
         *keys,
         *[F.when(enough, values[name]).otherwise(0.0).alias(name) for name in FEATURES],
-        "step_minutes",
+        _step_minutes().alias("step_minutes"),
     )
 
 
-def _step_minutes() -> Column:
-    """AG17 as an aggregate over rows with ``prev_ts``.
+def _gap() -> Column:
+    return F.unix_micros("ts") - F.unix_micros("prev_ts")
 
-    Distinct distances of one series add up to at most its time span, so the
-    value map of the exact median grows with the square root of the span.
-    """
-    gap = F.unix_micros("ts") - F.unix_micros("prev_ts")
-    minutes = F.greatest(F.lit(1), F.bround(F.percentile(gap, 0.5) / 6.0e7).cast("int"))
-    return F.coalesce(F.when(F.count(gap) > 0, minutes), F.lit(5))
+
+def _percentiles(rows: DataFrame, keys, wanted: dict[str, tuple[str, float]]) -> DataFrame:
+    """Percentiles of several columns by one search: name -> (column, fraction)."""
+    columns = sorted({column for column, _ in wanted.values()})
+    each = F.explode(
+        F.array(*(F.struct(F.lit(c).alias("of"), F.col(c).cast("double").alias("number")) for c in columns))
+    ).alias("e")
+    tall = rows.select(*keys, each).select(*keys, "e.of", "e.number")
+    fractions = {f"p{i}": p for i, p in enumerate(sorted({p for _, p in wanted.values()}))}
+    place = {p: name for name, p in fractions.items()}
+    found = exact_percentiles(tall, [*keys, "of"], "number", fractions)
+    return found.groupBy(*keys).agg(
+        *(F.max(F.when(F.col("of") == c, F.col(place[p]))).alias(name) for name, (c, p) in wanted.items())
+    )
+
+
+def _with(totals: DataFrame, more: DataFrame, keys) -> DataFrame:
+    """Left join of two tables of one row per series; null keys meet."""
+    renamed = more.select(*(F.col(c).alias(f"_of_{c}" if c in keys else c) for c in more.columns))
+    on = [totals[k].eqNullSafe(renamed[f"_of_{k}"]) for k in keys]
+    return totals.join(renamed, on, "left").drop(*(f"_of_{k}" for k in keys))
+
+
+def _step_minutes() -> Column:
+    """AG17 from the median distance; 5 for a single sample."""
+    minutes = F.greatest(F.lit(1), F.bround(F.col("gap_p50") / 6.0e7).cast("int"))
+    return F.when(F.col("gap_p50").isNotNull(), minutes).otherwise(F.lit(5))
 
 
 def sample_period(telemetry: DataFrame, keys=SERIES_KEY) -> DataFrame:
@@ -110,5 +130,6 @@ def sample_period(telemetry: DataFrame, keys=SERIES_KEY) -> DataFrame:
 
 
 def period_of(rows: DataFrame, keys=SERIES_KEY) -> DataFrame:
-    """AG17 over rows that already carry ``prev_ts``; 5 for a single sample."""
-    return rows.groupBy(*keys).agg(_step_minutes().alias("step_minutes"))
+    """AG17 over rows that already carry ``prev_ts``."""
+    gaps = _percentiles(rows.withColumn("gap", _gap()), keys, {"gap_p50": ("gap", 0.5)})
+    return _with(rows.select(*keys).distinct(), gaps, keys).select(*keys, _step_minutes().alias("step_minutes"))

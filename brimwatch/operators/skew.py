@@ -3,8 +3,8 @@
 A series key (one host, one device) may hold a large share of all rows, so a
 plain ``Window.partitionBy(host_id)`` would run that share in one task. These
 helpers cut every key into time slices, work inside a slice, and stitch the
-slices together through a table with one row per (key, slice). That table grows
-with elapsed time and not with the number of rows.
+slices together through a table with one row per (key, slice). Slices with many
+rows are cut again, so that a slice is bounded by rows and not by time alone.
 """
 
 from __future__ import annotations
@@ -19,10 +19,49 @@ from brimwatch.session import cut_lineage
 
 SLICE = "_slice"
 DEFAULT_SLICE_SECONDS = 6 * 3600
+#: Rows from which a slice is cut into shorter ones.
+SLICE_ROWS = 50_000
+#: Names of full slices that are broadcast; more are joined by shuffle.
+FULL_ROWS = 100_000
+#: Shorter slices that a slice is cut into.
+SPLIT = 256
 
 
-def slice_of(ts: Column, seconds: int) -> Column:
-    return F.floor(F.unix_micros(ts) / F.lit(seconds * 1_000_000)).cast("long")
+def time_slices(
+    df: DataFrame, keys: Sequence[str], ts: str, seconds: int, limit: int | None = None
+) -> DataFrame:
+    """Add ``_slice``, the first microsecond of the time slice that a row of its key lies in.
+
+    Slices are ``seconds`` long; one with more than ``limit`` rows is cut into
+    ``SPLIT`` parts, and those again, down to single microseconds. So a task
+    that holds many slices holds about as many rows as any other, however
+    unevenly keys and times are spread. Rows of one key at one time stay
+    together. Rows are counted once per level (map-side combined, and beyond
+    the first level only those of full slices); of full slices, at most one per
+    ``limit`` rows, only the names are joined back.
+    """
+    keys = list(keys)
+    limit = limit or SLICE_ROWS
+    us = F.unix_micros(F.col(ts))
+    width = seconds * 1_000_000
+    rows = df.withColumn(SLICE, us - F.pmod(us, F.lit(width)))
+    level = rows.select(*keys, ts, SLICE)
+    while width > 1:
+        counted = level.groupBy(*keys, SLICE).agg(F.count("*").alias("_n")).where(F.col("_n") > limit)
+        if counted.isEmpty():
+            break
+        full = cut_lineage(counted.select(*keys, SLICE, F.lit(True).alias("_full")))
+        if full.count() <= FULL_ROWS:
+            full = F.broadcast(full)
+        width = max(1, width // SPLIT)
+        shorter = us - F.pmod(us - F.col(SLICE), F.lit(width))
+        rows = (
+            rows.join(full, [*keys, SLICE], "left")
+            .withColumn(SLICE, F.when(F.col("_full"), shorter).otherwise(F.col(SLICE)))
+            .drop("_full")
+        )
+        level = level.join(full, [*keys, SLICE], "left_semi").withColumn(SLICE, shorter)
+    return rows
 
 
 def series_context(
@@ -31,6 +70,7 @@ def series_context(
     ts: str = "ts",
     value: str = "in_use_pct",
     seconds: int = DEFAULT_SLICE_SECONDS,
+    limit: int | None = None,
 ) -> DataFrame:
     """Each sample with its place in its series (WIN1-WIN3).
 
@@ -39,9 +79,8 @@ def series_context(
     samples are shuffled once, on (keys, slice).
     """
     keys = list(keys)
-    rows = df.select(*keys, F.col(ts).alias("ts"), F.col(value).alias("value")).withColumn(
-        SLICE, slice_of(F.col("ts"), seconds)
-    )
+    rows = df.select(*keys, F.col(ts).alias("ts"), F.col(value).alias("value"))
+    rows = time_slices(rows, keys, "ts", seconds, limit)
     summary = rows.groupBy(*keys, SLICE).agg(
         F.count("*").alias("_n"),
         F.min("ts").alias("_first"),
@@ -94,6 +133,7 @@ def carry_forward(
     value: str,
     seconds: int = 24 * 3600,
     unique_ts: bool = False,
+    limit: int | None = None,
 ) -> DataFrame:
     """Replace ``value`` by the last non-null one at or before each row of its key.
 
@@ -102,7 +142,7 @@ def carry_forward(
     Basis of gap filling and of the as-of join.
     """
     keys = list(keys)
-    rows = df.withColumn(SLICE, slice_of(F.col(ts), seconds))
+    rows = time_slices(df, keys, ts, seconds, limit)
     present = F.col(value).isNotNull()
     # A slice without a value keeps a null tail and still receives a carry.
     newest = F.col(ts) if unique_ts else F.struct(ts, *order)
