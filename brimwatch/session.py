@@ -17,6 +17,8 @@ _SESSION_CONF = {
     # Split hot keys also where the split costs one more shuffle of the result.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Rows go to Python by bytes and not by number: texts may be long.
+    "spark.sql.execution.arrow.maxBytesPerBatch": "4m",
 }
 
 
