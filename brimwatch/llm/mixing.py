@@ -182,7 +182,8 @@ def mix_sources(
     without tokens (null, empty or white texts) have probability 0. Rows that repeat
     a doc_id are drawn alike.
     """
-    rows = described(docs)
+    # The texts are read once; what follows works on these few columns.
+    rows = stage(described(docs), "described")
     cells = rows.groupBy(*DIMENSIONS).agg(F.sum("tokens").alias("tokens"))
     raked = rake(cells, targets=targets, sweeps=sweeps) if share is None else rake_within(cells, targets=targets, share=share)
     raked = raked.withColumn("ratio", F.when(F.col("tokens") > 0, F.col("weight") / F.col("tokens")).otherwise(0.0))
