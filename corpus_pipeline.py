@@ -33,14 +33,18 @@ def _only(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Reject documents without a language: no letters at all, or none that any language uses.
+    """Reject documents without a language: no letters, or letters but not one n-gram of any learned language.
 
     The filters are learned from the labelled part of the stage's own input.
-    Documents without a ``lang`` get the predicted one, others keep theirs.
+    Documents without a ``lang`` get the predicted one, others keep theirs. If
+    nothing can be learned, as no document has a ``lang``, all with letters stay.
     """
     docs = _columns(docs)
     shape = language.Shape()
-    told = language.predict(docs, language.fit(docs, shape), shape, keep=tuple(COLUMNS))
+    filters = language.fit(docs, shape)
+    if not filters.langs:
+        return docs.where(F.regexp_like(F.coalesce("text", F.lit("")), F.lit(r"\p{L}")))
+    told = language.predict(docs, filters, shape, keep=tuple(COLUMNS))
     found = told.where((F.col("lang_pred") != language.UNDECIDED) & (F.col("score") > 0))
     return found.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*COLUMNS)
 
