@@ -76,20 +76,36 @@ def vectors():
     return queries, docs
 
 
-@pytest.mark.parametrize("way", ["few queries", "few docs", "blocks"])
-def test_top_k_all_ways(spark, monkeypatch, vectors, way):
+@pytest.mark.parametrize(("query_rows", "doc_rows", "tile", "cells"), [(4096, 32768, 1024, 10**6), (11, 20, 5, 50), (7, 999, 3, 1)])
+@pytest.mark.parametrize("turned", [False, True])
+def test_top_k_at_all_sizes(spark, vectors, turned, query_rows, doc_rows, tile, cells):
     queries, docs = vectors
-    if way == "few docs":
-        queries, docs = [(i, v) for i, (_, v) in enumerate(docs)], [(f"d{q}", v) for q, v in queries]
-    q = spark.createDataFrame(queries, "query_id long, embedding array<double>").repartition(3)
-    d = spark.createDataFrame(docs, "doc_id string, embedding array<double>").repartition(4)
-    monkeypatch.setattr(retrieve, "BLOCK_ROWS", 11)
-    rows = retrieve.cosine_top_k(q, d, 4, broadcast_bytes=0 if way == "blocks" else 10**6).collect()
+    if turned:
+        queries, docs = [(i, v) for i, (_, v) in enumerate(docs)], [(f"d{q:02d}", v) for q, v in queries]
+    q = spark.createDataFrame(queries + [(-1, None)], "query_id long, embedding array<double>").repartition(3)
+    d = spark.createDataFrame(docs + [("void", None)], "doc_id string, embedding array<double>").repartition(4)
+    rows = retrieve.cosine_top_k(q, d, 4, query_rows, doc_rows, tile, cells).collect()
     want = brute_top(queries, docs, 4)
     assert len(rows) == 4 * len(queries)
     for row in rows:
         doc, sim = want[row.query_id][row["rank"] - 1]
         assert row.doc_id == doc and row.similarity == pytest.approx(sim, abs=1e-8)
+    assert retrieve.cosine_top_k(q, d.where("false"), 4).collect() == []
+
+
+def test_products_are_bounded_and_narrow_tiles_spare_work():
+    """5,000 by 5,000 vectors in forty topics: every product within the limit, most of them never formed."""
+    rng = np.random.default_rng(9)
+    topics = rng.normal(size=(40, 32))
+    docs = retrieve._unit(topics[rng.integers(0, 40, 5000)] + rng.normal(size=(5000, 32)) * 0.08)
+    queries = retrieve._unit(topics[rng.integers(0, 40, 5000)] + rng.normal(size=(5000, 32)) * 0.08)
+    places = rng.permutation(5000) + 1
+    best = retrieve.search(queries, docs, places, 4, tile=128, cells=20_000)
+    assert best.largest <= 20_000 and best.computed < 0.5 * 5000 * 5000
+    sims = np.rint(queries @ docs.T * 1e9).astype(np.int64)
+    for i in range(0, 5000, 7):
+        top = np.lexsort((places, -sims[i]))[:4]
+        assert sorted(best.keys[i], reverse=True) == [(int(sims[i, j]) << 32) - int(places[j]) for j in top]
 
 
 def test_similarity_expression(spark, vectors):
