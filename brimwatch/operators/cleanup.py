@@ -27,23 +27,23 @@ class Rule:
     description: str
 
 
-# Clean-up rules per role, in order of precedence.
+# Globs and least ages of the clean-up rules per role, in order of precedence.
 PLAYBOOKS: dict[str, tuple[Rule, ...]] = {
     "web": (
-        Rule("*.log.[0-9]*", 14, "rotated nginx/apache logs (.log.1, .log.2, etc.)"),
-        Rule("*.log.gz", 21, "gzipped rotated logs"),
-        Rule("*-archive-*.log*", 14, "explicitly-archived web logs"),
+        Rule("*.log.[0-9]*", 14, "numbered generations of access and error logs"),
+        Rule("*.log.gz", 21, "compressed log generations"),
+        Rule("*-archive-*.log*", 14, "web logs that were put into an archive"),
     ),
     "app": (
-        Rule("*-archive-*.log*", 30, "application archive files"),
-        Rule("*.log.gz", 21, "gzipped application logs"),
-        Rule("*.log.[0-9]*", 14, "rotated application logs"),
-        Rule("junk-*.bin", 0, "demo 'fill disk' artifacts (POC only)"),
+        Rule("*-archive-*.log*", 30, "logs that the application archived"),
+        Rule("*.log.gz", 21, "compressed application logs"),
+        Rule("*.log.[0-9]*", 14, "numbered generations of application logs"),
+        Rule("junk-*.bin", 0, "padding files of fill tests"),
     ),
     "db": (
-        Rule("postgresql-*.log", 30, "old postgresql query logs"),
-        Rule("postgresql-*.log.gz", 30, "gzipped postgresql logs"),
-        Rule("junk-*.bin", 0, "demo 'fill disk' artifacts (POC only)"),
+        Rule("postgresql-*.log", 30, "database server logs past their use"),
+        Rule("postgresql-*.log.gz", 30, "compressed database server logs"),
+        Rule("junk-*.bin", 0, "padding files of fill tests"),
     ),
 }
 FALLBACK_ROLE = "app"

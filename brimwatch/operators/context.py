@@ -92,10 +92,10 @@ def doc_block(found: DataFrame, *extra: Column, key: str = "query_id") -> DataFr
     )
 
 
-NO_FILES = "(no files in monitored path)"
-NO_DOCS = "No relevant runbook content found."
+NO_FILES = "(nothing below this path)"
+NO_DOCS = "(no document is close to this case)"
 
-# Sections, labels and column widths of the prompt.
+# Fields of the prompt, under the names they have in the tables.
 _HOST_FIELDS = (
     "host_id", "hostname", "role", "environment", "os", "monitored_path", "total_disk_gb",
 )
@@ -115,16 +115,16 @@ def prompt() -> Column:
     fields = {name: S.shown(F.col(name)) for name in _FORECAST_FIELDS}
     fields["triggered_agent"] = F.coalesce(trigger, F.lit("None"))
     return F.concat(
-        F.lit("HOST METADATA"),
+        F.lit("Host"),
         *[_labelled(name, 15, S.shown(F.col(name))) for name in _HOST_FIELDS],
-        F.lit("\n\nML PREDICTION (latest)"),
+        F.lit("\n\nNewest prediction"),
         _labelled("anomaly_score", 17, S.fixed(F.col("anomaly_score"), 3)),
         *[_labelled(name, 17, text) for name, text in fields.items()],
-        F.lit("\n\nFILE LISTING ("), S.shown(F.col("monitored_path")), F.lit(", largest-first)\n"),
+        F.lit("\n\nLargest files below "), S.shown(F.col("monitored_path")), F.lit("\n"),
         F.coalesce("file_listing", F.lit(NO_FILES)),
-        F.lit("\n\nRAG CONTEXT (top runbook + past-incident matches)\n"),
+        F.lit("\n\nNearest documents and earlier cases\n"),
         F.coalesce("doc_context", F.lit(NO_DOCS)),
-        F.lit("\n\nProduce your structured JSON recommendation now."),
+        F.lit("\n\nAnswer with one JSON object in the agreed form and nothing besides."),
     )
 
 

@@ -195,14 +195,14 @@ _FORECAST_FIELDS = "".join(
     with_views(
         "hosts latest_prediction corpus files files_now",
         f"""SELECT h.host_id, prediction_id, coalesce(doc_count, 0) AS doc_count,
-              'HOST METADATA'{_HOST_FIELDS} || chr(10) || chr(10) || 'ML PREDICTION (latest)' ||
+              'Host'{_HOST_FIELDS} || chr(10) || chr(10) || 'Newest prediction' ||
               chr(10) || '  anomaly_score:    ' || format('{{:.3f}}', anomaly_score){_FORECAST_FIELDS} ||
               chr(10) || '  triggered_agent:  ' || CASE WHEN triggered_agent THEN 'True' ELSE 'False' END ||
-              chr(10) || chr(10) || 'FILE LISTING (' || monitored_path || ', largest-first)' || chr(10) ||
-              coalesce(file_listing, '(no files in monitored path)') || chr(10) || chr(10) ||
-              'RAG CONTEXT (top runbook + past-incident matches)' || chr(10) ||
-              coalesce(doc_context, 'No relevant runbook content found.') || chr(10) || chr(10) ||
-              'Produce your structured JSON recommendation now.' AS prompt
+              chr(10) || chr(10) || 'Largest files below ' || monitored_path || chr(10) ||
+              coalesce(file_listing, '(nothing below this path)') || chr(10) || chr(10) ||
+              'Nearest documents and earlier cases' || chr(10) ||
+              coalesce(doc_context, '(no document is close to this case)') || chr(10) || chr(10) ||
+              'Answer with one JSON object in the agreed form and nothing besides.' AS prompt
             FROM hosts h JOIN latest_prediction p ON h.host_id = p.host_id AND p.triggered_agent
             JOIN asked a ON a.host_id = h.host_id
             LEFT JOIN listings l ON l.host_id = h.host_id LEFT JOIN blocks b ON b.query_id = a.query_id""",

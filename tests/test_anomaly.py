@@ -11,22 +11,22 @@ from brimwatch.operators.features import series_features
 
 @pytest.fixture(scope="module")
 def labelled(spark, series):
-    rng = np.random.default_rng(0)
-    n = 2016
-    i = np.arange(n)
-    knee = int(n * 0.8)
+    draw = np.random.default_rng(41)
+    n = 1200
+    x = np.arange(n) / n
+    leak = np.maximum(0.0, x - 0.75) * 4
     shapes = {
-        "stable": (30, lambda: 50 + rng.normal(0, 0.3, n)),
-        "declining": (10, lambda: 40 + 0.001 * i + rng.normal(0, 0.2, n)),
-        "anomalous": (10, lambda: 45 + np.where(i < knee, 0, 30.0 * (i - knee) / (n - knee)) + rng.normal(0, 0.3, n)),
-        "critical": (5, lambda: 92 + rng.normal(0, 0.4, n) + i * 0.001),
+        "wave": (24, lambda: 30 + draw.uniform(0, 30) + 4 * np.sin(x * 26) + draw.normal(0, 0.2, n)),
+        "filling": (12, lambda: 15 + draw.uniform(10, 40) * x + draw.normal(0, 0.2, n)),
+        "anomalous": (12, lambda: 25 + draw.uniform(35, 60) * leak + draw.normal(0, 0.2, n)),
+        "full": (8, lambda: 95 + draw.normal(0, 0.3, n)),
     }
     values, labels = {}, []
     for name, (count, make) in shapes.items():
         for number in range(count):
             values[f"{name}-{number:02d}"] = np.clip(make(), 0, 99.9)
             labels.append((f"{name}-{number:02d}", name))
-    labels.remove(("stable-00", "stable"))  # a host without label is class 0
+    labels.remove(("wave-00", "wave"))  # a host without label is class 0
     return series(values), spark.createDataFrame(labels, "host_id string, label string")
 
 
@@ -36,13 +36,13 @@ def rows(labelled):
 
 
 def test_labels(rows):
-    assert rows.count() == 55 and rows.where("y = 1").count() == 10
+    assert rows.count() == 56 and rows.where("y = 1").count() == 12
 
 
 def test_split_is_exact_and_stable(spark, rows):
     parts = anomaly.split(rows).cache()
     got = {(r.y, r.is_test): r["count"] for r in parts.groupBy("y", "is_test").count().collect()}
-    assert got == {(0, True): 12, (0, False): 33, (1, True): 3, (1, False): 7}
+    assert got == {(0, True): 11, (0, False): 33, (1, True): 3, (1, False): 9}
     again = anomaly.split(rows.repartition(7))
     pick = lambda df: sorted(r.host_id for r in df.where("is_test").collect())
     assert pick(parts) == pick(again)
@@ -55,14 +55,14 @@ def test_split_is_exact_and_stable(spark, rows):
 def test_train_score_save_load(rows, labelled, tmp_path):
     trained = anomaly.train(rows, trees=10)
     assert trained.metrics["test_acc"] >= 0.85 and trained.metrics["anomaly_recall"] >= 0.5
-    assert (trained.metrics["n_train"], trained.metrics["n_pos"]) == (40, 7)
+    assert (trained.metrics["n_train"], trained.metrics["n_pos"]) == (42, 9)
     path = str(tmp_path / "model")
     with pytest.raises(FileNotFoundError, match="train one first"):
         anomaly.load(path)
     anomaly.save(trained.model, path)
     scores = {r.host_id: r.anomaly_score for r in anomaly.score(anomaly.load(path), series_features(labelled[0])).collect()}
     best = max(v for k, v in scores.items() if k.startswith("anomalous"))
-    assert best > 0.5 and max(v for k, v in scores.items() if k.startswith("stable")) < best
+    assert best > 0.5 and max(v for k, v in scores.items() if k.startswith("wave")) < best
     assert all(0.0 <= v <= 1.0 for v in scores.values())
 
 
