@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 from brimwatch.functions.scalar import round_exact
 from brimwatch.operators import gaps
 from brimwatch.operators.latest import latest_telemetry
-from brimwatch.operators.skew import skew_join
 from brimwatch.plans.registered.base import r9, register, stamp
 from brimwatch.plans.sqlviews import exact, hid, r9 as q9, stamp as qstamp, with_views
 from brimwatch.session import fresh_dir
 from brimwatch.sources import sample as V
 from brimwatch.sources import sinks
+from brimwatch.sources.keyed import KeyedTable
 
 CHANGED_AT = datetime(2024, 2, 1)
 
@@ -66,9 +66,15 @@ _ATTRIBUTES = _HOST_COLUMNS[1:]
     ),
 )
 def upsert(spark, d):
-    """SNK2."""
-    out = sinks.upsert(V.hosts(spark, d), host_updates(spark, d), "host_id", _ATTRIBUTES)
-    return sinks.rewrite(out, "hosts").select(*_HOST_COLUMNS)
+    """SNK2: merged into the stored table, bucket by bucket."""
+    return _upserted(spark, d, _ATTRIBUTES)
+
+
+def _upserted(spark, d, columns):
+    table = KeyedTable(spark, fresh_dir(spark, "hosts"), ["host_id"])
+    table.merge(V.hosts(spark, d), lambda old, new: new)
+    sinks.upsert_stored(table, host_updates(spark, d), columns)
+    return table.read().select(*_HOST_COLUMNS)
 
 
 _PARTIAL = ["hostname", "total_disk_gb", "monitored_path"]
@@ -89,8 +95,7 @@ _PARTIAL = ["hostname", "total_disk_gb", "monitored_path"]
 )
 def partial_upsert(spark, d):
     """SNK3."""
-    out = sinks.upsert(V.hosts(spark, d), host_updates(spark, d), "host_id", _PARTIAL)
-    return sinks.rewrite(out, "hosts").select(*_HOST_COLUMNS)
+    return _upserted(spark, d, _PARTIAL)
 
 
 @register(
@@ -150,13 +155,12 @@ def audit_runs(spark, d):
     with_views(
         "runs tickets",
         """SELECT r.run_id, r.decision, coalesce(t.ticket_id, r.ticket_id) AS ticket_id FROM runs r
-           LEFT JOIN (SELECT * FROM tickets WHERE severity <> 'P4') t ON t.agent_run_id = r.run_id""",
+           LEFT JOIN tickets t ON t.agent_run_id = r.run_id""",
     ),
 )
 def link_tickets(spark, d):
     """SNK6."""
-    filed = V.tickets(spark, d).where("severity <> 'P4'")
-    return sinks.link_tickets(V.runs(spark, d), filed).select("run_id", "decision", "ticket_id")
+    return sinks.link_tickets(V.runs(spark, d), V.tickets(spark, d)).select("run_id", "decision", "ticket_id")
 
 
 _CHANGES = """changes AS (
@@ -183,9 +187,11 @@ def update_status(spark, d):
             F.concat(F.lit("INC-0000-00-"), F.col("p_partkey")).alias("ticket_id"), F.lit("closed").alias("status")
         )
     )
-    updated, unknown = sinks.update_status(rows, changes, CHANGED_AT)
+    table = KeyedTable(spark, fresh_dir(spark, "tickets"), ["ticket_id"])
+    table.merge(rows, lambda old, new: new)
+    unknown = sinks.update_stored_status(table, changes, CHANGED_AT)
     null = F.lit(None).cast("string")
-    return updated.select(
+    return table.read().select(
         "ticket_id", "status", stamp("updated_at").alias("updated_at"), F.lit(True).alias("known")
     ).unionByName(
         unknown.select("ticket_id", null.alias("status"), null.alias("updated_at"), F.lit(False).alias("known"))
@@ -210,11 +216,11 @@ def replace_corpus(spark, d):
     ),
 )
 def delete(spark, d):
-    """SNK9: by prefix, and by a table of ids."""
-    rows = sinks.delete_prefix(V.telemetry(spark, d), "demo-")
-    gone = V.hosts(spark, d).where("environment = 'dev'").select("host_id")
-    kept = skew_join(rows, gone, ["host_id"], "left_anti", spread=["ts"])
-    return kept.select("host_id", stamp("ts").alias("ts"), "in_use_pct")
+    """SNK9: by prefix, and from the stored table by a table of ids."""
+    table = KeyedTable(spark, fresh_dir(spark, "telemetry"), ["host_id"])
+    table.merge(sinks.delete_prefix(V.telemetry(spark, d), "demo-"), lambda old, new: new)
+    table.remove(V.hosts(spark, d).where("environment = 'dev'").select("host_id"))
+    return table.read().select("host_id", stamp("ts").alias("ts"), "in_use_pct")
 
 
 @register(

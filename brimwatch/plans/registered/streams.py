@@ -125,8 +125,7 @@ def scored(spark, d):
             table, fresh_dir(spark, "state"),
         )
     )
-    stored = spark.read.parquet(table)
-    return stored.select(
+    return jobs.read_scores(spark, table).select(
         "host_id", "device", *[r6(name).alias(name) for name in FORECAST_COLUMNS], "triggered_agent"
     )
 

@@ -9,13 +9,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from brimwatch.functions.redact import redact
 from brimwatch.operators.latest import latest_per
 from brimwatch.operators.skew import skew_join
+from brimwatch.sources.keyed import KeyedTable
 from brimwatch.sources.sinks import insert_ignore
 
 INTERVAL = "15 minutes"
@@ -50,29 +51,33 @@ def ingest(
     )
 
 
-def _write_version(table: str) -> Callable[[DataFrame, int], None]:
-    def work(batch: DataFrame, number: int) -> None:
-        # A replayed batch overwrites its own folder.
-        batch.write.mode("overwrite").parquet(f"{table}/version={number}")
-
-    return work
-
-
 def latest(
     telemetry: DataFrame, table: str, checkpoint: str,
     available_now: bool = True, interval: str = INTERVAL,
 ) -> StreamingQuery:
-    """ST2. Running newest sample per host; state holds one row per host."""
-    kept = ["ts", "device", "in_use_pct", "used_bytes", "total_bytes"]
-    newest = telemetry.groupBy("host_id").agg(
-        F.max_by(F.struct(*kept), F.struct("ts", "device")).alias("row")
-    ).select("host_id", "row.*")
-    return _each_batch(newest, _write_version(table), checkpoint, "update", available_now, interval)
+    """ST2. Running newest sample per host, merged into a table of one row per host; no state."""
+    kept = ["host_id", "ts", "device", "in_use_pct", "used_bytes", "total_bytes"]
+
+    def work(batch: DataFrame, number: int) -> None:
+        newest = latest_per(batch.select(*kept), ["host_id"], "ts", ["device"])
+        _latest_table(batch.sparkSession, table).merge(
+            newest, lambda old, new: latest_per(old.unionByName(new), ["host_id"], "ts", ["device"]), checkpoint, number
+        )
+
+    return _each_batch(telemetry, work, checkpoint, "append", available_now, interval)
+
+
+def _latest_table(spark: SparkSession, table: str) -> KeyedTable:
+    return KeyedTable(spark, table, ["host_id"])
 
 
-def read_latest(spark, table: str) -> DataFrame:
-    """Newest version per host of what ``latest`` wrote."""
-    return latest_per(spark.read.parquet(table), ["host_id"], "ts", ["version"]).drop("version")
+def read_latest(spark: SparkSession, table: str) -> DataFrame:
+    """What ``latest`` keeps: one row per host."""
+    return _latest_table(spark, table).read()
+
+
+def _windows_table(spark: SparkSession, table: str) -> KeyedTable:
+    return KeyedTable(spark, table, ["host_id", "window_start"])
 
 
 def windows(
@@ -81,10 +86,10 @@ def windows(
 ) -> StreamingQuery:
     """EXT3. Tumbling or sliding roll-up per host.
 
-    Each batch leaves its share of every window it touches, so there is no state and
-    late samples of any age count.
+    Each batch is added to the stored sums of the windows it touches, so there is no state and
+    late samples of any age count. The table keeps the last batch number of the
+    stream (known by its checkpoint), so a batch that comes again adds nothing.
     """
-    write = _write_version(table)
 
     def work(batch: DataFrame, number: int) -> None:
         shares = batch.groupBy("host_id", F.window("ts", width, slide).alias("w")).agg(
@@ -93,17 +98,22 @@ def windows(
             F.sum("in_use_pct").alias("sum_pct"),
             F.max("in_use_pct").alias("max_pct"),
         )
-        write(shares.select("host_id", F.col("w.start").alias("window_start"), "n", "n_pct", "sum_pct", "max_pct"), number)
+        shares = shares.select("host_id", F.col("w.start").alias("window_start"), "n", "n_pct", "sum_pct", "max_pct")
+        _windows_table(batch.sparkSession, table).merge(shares, _added, checkpoint, number)
 
     return _each_batch(telemetry, work, checkpoint, "append", available_now, interval)
 
 
-def read_windows(spark, table: str) -> DataFrame:
-    """The windows of what ``windows`` wrote: the shares of all batches together."""
-    return spark.read.parquet(table).groupBy("host_id", "window_start").agg(
-        F.sum("n").alias("n"),
-        F.try_divide(F.sum("sum_pct"), F.sum("n_pct")).alias("mean_pct"),
-        F.max("max_pct").alias("max_pct"),
+def _added(old: DataFrame, new: DataFrame) -> DataFrame:
+    return old.unionByName(new).groupBy("host_id", "window_start").agg(
+        *(F.sum(name).alias(name) for name in ("n", "n_pct", "sum_pct")), F.max("max_pct").alias("max_pct")
+    )
+
+
+def read_windows(spark: SparkSession, table: str) -> DataFrame:
+    """The windows of what ``windows`` keeps."""
+    return _windows_table(spark, table).read().select(
+        "host_id", "window_start", "n", F.try_divide("sum_pct", "n_pct").alias("mean_pct"), "max_pct"
     )
 
 
@@ -125,12 +135,27 @@ def scored(
 ) -> StreamingQuery:
     """ST3. After each batch, score the hosts that reported, over their stored history.
 
-    ``history`` reads the telemetry table, ``score`` is the scoring cycle.
+    ``history`` reads the telemetry table (of days that matter), ``score`` is the
+    scoring cycle. The table holds the newest scores of every host; a batch
+    rewrites the buckets of its hosts, and once more if it comes again.
     """
 
     def work(batch: DataFrame, number: int) -> None:
         reported = batch.groupBy("host_id").agg(F.count("*").alias("n")).select("host_id")
         rows = skew_join(history(), reported, ["host_id"], "left_semi", ["ts"])
-        score(rows).write.mode("overwrite").parquet(f"{table}/version={number}")
+
+        def replaced(old: DataFrame, new: DataFrame) -> DataFrame:
+            return old.join(new.select("host_id").distinct(), "host_id", "left_anti").select(*new.columns).unionByName(new)
+
+        _scores_table(batch.sparkSession, table).merge(score(rows), replaced, checkpoint, number)
 
     return _each_batch(telemetry, work, checkpoint, "append", available_now, interval)
+
+
+def _scores_table(spark: SparkSession, table: str) -> KeyedTable:
+    return KeyedTable(spark, table, ["host_id"])
+
+
+def read_scores(spark: SparkSession, table: str) -> DataFrame:
+    """What ``scored`` keeps: the newest scores of every host."""
+    return _scores_table(spark, table).read()
