@@ -123,8 +123,9 @@ def cosine_top_k(
     task before the last shuffle. Adds ``rank`` from 1; ties fall to the smaller
     doc_id. Rows without an embedding take no part.
     """
-    queries = queries.select("query_id", "embedding").where(F.col("embedding").isNotNull())
-    corpus = corpus.select("doc_id", "embedding").where(F.col("embedding").isNotNull())
+    # Columns of their own on each side: both may come from one table.
+    queries = queries.where("embedding IS NOT NULL").select("query_id", F.col("embedding").alias("q"))
+    corpus = corpus.where("embedding IS NOT NULL").select("doc_id", F.col("embedding").alias("d"))
     q_blocks, d_blocks = _blocks(queries, query_rows), _blocks(corpus, doc_rows)
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     block = lambda name, n: F.pmod(F.xxhash64(name), F.lit(n)).cast("int")
@@ -139,7 +140,7 @@ def cosine_top_k(
         by_id = np.argsort(ids, kind="stable")
         places = np.empty(len(ids), dtype=np.int64)
         places[by_id] = np.arange(1, len(ids) + 1)
-        best = search(_matrix(q["embedding"]), _matrix(d["embedding"]), places, k, tile, cells)
+        best = search(_matrix(q["q"]), _matrix(d["d"]), places, k, tile, cells)
         return best.rows(q["query_id"].to_numpy(), np.concatenate((ids[:1], ids[by_id])))
 
     found = left.groupBy("qb", "db").cogroup(right.groupBy("qb", "db")).applyInPandas(meet, _schema(queries, corpus))

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import io
+import os
+import site
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
+_PACKAGE = "brimwatch"
 _SESSION_CONF = {
     # All timestamps are UTC instants.
     "spark.sql.session.timeZone": "UTC",
@@ -27,9 +32,41 @@ def configure(spark: SparkSession) -> SparkSession:
     for key, value in _SESSION_CONF.items():
         if spark.conf.get(key, None) != value:
             spark.conf.set(key, value)
+    _ship(spark)
     return spark
 
 
+def _ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per application, unless they find it by themselves.
+
+    They do where it is installed, or its folder is in PYTHONPATH, or is the
+    working folder of a single-machine session. Else a zip of it goes to the
+    shared folder and from there to every worker.
+    """
+    context = spark.sparkContext
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    found = [*os.environ.get("PYTHONPATH", "").split(os.pathsep), *site.getsitepackages(), site.getusersitepackages()]
+    if context.master.startswith("local["):
+        found.append(os.getcwd())
+    if any(p and os.path.realpath(p) == os.path.realpath(root) for p in found):
+        return
+    if any(name.startswith(f"{_PACKAGE}-") for name in context._python_includes):
+        return
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as out:
+        for folder, _, names in sorted(os.walk(os.path.join(root, _PACKAGE))):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    out.write(path, os.path.relpath(path, root))
+    target = f"{shared_dir(spark)}/{_PACKAGE}-{uuid.uuid4().hex}.zip"
+    place = spark._jvm.org.apache.hadoop.fs.Path(target)
+    stream = place.getFileSystem(spark._jsc.hadoopConfiguration()).create(place, True)
+    stream.write(bytearray(packed.getvalue()))
+    stream.close()
+    context.addPyFile(target)
+
+
 def local_session(cores: int | str = "*", memory: str = "8g") -> SparkSession:
     """A single-machine session for tests and the benchmark."""
     return configure(
