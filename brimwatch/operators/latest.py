@@ -7,7 +7,7 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brimwatch.operators.skew import skew_join
+from brimwatch.operators.skew import lookup, same_keys, skew_join
 
 
 def latest_per(
@@ -18,12 +18,16 @@ def latest_per(
 ) -> DataFrame:
     """LAT1. One row per key, the newest; equal timestamps fall to the largest tie-break.
 
-    An aggregate and not a window: every map task reduces its rows to one per
-    key before the shuffle, so a hot key costs nothing extra.
+    The newest time of every key is a hash aggregate of fixed-width values. It is
+    joined back by hash, which leaves one row per key but for equal times; only
+    those are put in order. Facts are never sorted, and not shuffled either
+    unless there are too many keys to broadcast.
     """
-    order = F.struct(ts, *tie_break)
-    kept = [name for name in df.columns if name not in keys]
-    return df.groupBy(*keys).agg(F.max_by(F.struct(*kept), order).alias("_row")).select(
+    keys, kept = list(keys), [name for name in df.columns if name not in keys]
+    newest = df.groupBy(*(F.col(k).alias(f"_of_{k}") for k in keys)).agg(F.max(ts).alias("_newest"))
+    newest = lookup(newest)
+    near = df.join(newest, same_keys(df, newest, keys) & df[ts].eqNullSafe(newest["_newest"]), "left_semi")
+    return near.groupBy(*keys).agg(F.max_by(F.struct(*kept), F.struct(ts, *tie_break)).alias("_row")).select(
         *keys, *[F.col("_row")[name].alias(name) for name in kept]
     ).select(*df.columns)
 
@@ -31,15 +35,9 @@ def latest_per(
 def latest_telemetry(telemetry: DataFrame) -> DataFrame:
     """LAT1 over telemetry; the device breaks ties.
 
-    A sample's time is unique within its (host, device), so the heavy first step
-    keeps plain numbers per series and runs as a hash aggregate; only the few
-    devices of a host are compared as whole rows.
+    A sample's time is unique within its (host, device).
     """
-    numbers = [name for name in telemetry.columns if name not in ("host_id", "device", "ts")]
-    series = telemetry.groupBy("host_id", "device").agg(
-        F.max("ts").alias("ts"), *[F.max_by(name, "ts").alias(name) for name in numbers]
-    )
-    return latest_per(series.select(*telemetry.columns), ["host_id"], "ts", ["device"])
+    return latest_per(telemetry, ["host_id"], "ts", ["device"])
 
 
 def latest_predictions(

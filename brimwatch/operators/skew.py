@@ -10,6 +10,7 @@ rows are cut again, so that a slice is bounded by rows and not by time alone.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -217,6 +218,22 @@ def skew_join(
     return big.withColumn("_salt", salt).join(repeated, [*keys, "_salt"], how).drop("_salt")
 
 
+def lookup(rows: DataFrame, most: int | None = None) -> DataFrame:
+    """Rows as the looked-up side of a join: fixed, counted, and broadcast if they are few.
+
+    More than ``most`` rows are hashed after a shuffle. In no case is the other
+    side, usually facts, sorted.
+    """
+    fixed = cut_lineage(rows)
+    return F.broadcast(fixed) if fixed.count() <= (most or FULL_ROWS) else fixed.hint("shuffle_hash")
+
+
+def same_keys(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
+    """Join condition: equal keys, a null among nulls. ``right`` has the keys under the names ``_of_...``."""
+    on = [left[k].eqNullSafe(right[f"_of_{k}"]) for k in keys]
+    return reduce(lambda a, b: a & b, on)
+
+
 def top_per_key(
     df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int, name: str = "rank"
 ) -> DataFrame:

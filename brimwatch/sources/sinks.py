@@ -14,8 +14,10 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from brimwatch.operators.skew import lookup, same_keys
 from brimwatch.schemas import DAY
 from brimwatch.session import cut_lineage, fresh_dir
+from brimwatch.sources.keyed import KeyedTable
 from brimwatch.sources.scans import newer_than
 
 TELEMETRY_KEY = ("host_id", "device", "ts")
@@ -43,16 +45,27 @@ def read_partitioned(spark: SparkSession, path: str, like: DataFrame) -> DataFra
 def one_per_key(df: DataFrame, key: Sequence[str], order: Sequence[str] = (), last: bool = False) -> DataFrame:
     """The first, or last, row of every key by the columns ``order``.
 
-    Ties, and frames without such columns, go by the order in which the rows are read.
-    Every map task reduces its rows first, so a key may repeat any number of times.
+    Ties, and frames without such columns, go by the order in which the rows are
+    read, which is that of arrival only where one task reads them; name columns
+    where it matters. Keys are counted by a hash aggregate; only rows of
+    repeated keys are put in order. The result is fixed: a retried task sees the
+    same rows.
     """
+    key = list(key)
     rest = [name for name in df.columns if name not in key]
     if not rest:
         return df.distinct()
+    fixed = cut_lineage(df.withColumn("_arrival", F.monotonically_increasing_id()))
+    repeated = fixed.groupBy(*(F.col(k).alias(f"_of_{k}") for k in key)).agg(F.count("*").alias("_n")).where("_n > 1")
+    repeated = lookup(repeated.drop("_n"))
+    if repeated.isEmpty():
+        return fixed.select(*df.columns)
+    on = same_keys(fixed, repeated, key)
     pick = F.max_by if last else F.min_by
-    ranked = df.withColumn("_arrival", F.monotonically_increasing_id())
     best = pick(F.struct(*rest), F.struct(*order, "_arrival")).alias("_row")
-    return ranked.groupBy(*key).agg(best).select(*key, "_row.*").select(*df.columns)
+    chosen = fixed.join(repeated, on, "left_semi").groupBy(*key).agg(best).select(*key, "_row.*")
+    once = fixed.join(repeated, on, "left_anti")
+    return once.select(*df.columns).unionByName(chosen.select(*df.columns))
 
 
 def insert_ignore(
@@ -61,12 +74,11 @@ def insert_ignore(
     """SNK1. Idempotent append by day: the first write of a key wins, also within the batch.
 
     ``order`` names columns that tell the first row of a key, else it is the first one read.
-    Only the stored days the batch touches are read for the comparison. The
-    batch is fixed before it is compared, so a retried task sees the same rows.
+    Only the stored days the batch touches are read for the comparison.
     """
     key = list(key)
     spark = batch.sparkSession
-    staged = cut_lineage(with_day(one_per_key(batch, key, order)))
+    staged = with_day(one_per_key(batch, key, order))
     days = [row[0] for row in staged.select(DAY).distinct().collect()]  # calendar days only
     if not days:
         return
@@ -102,6 +114,26 @@ def upsert(
     return joined.select(*out).select(*target.columns)
 
 
+def upsert_stored(
+    table: KeyedTable, updates: DataFrame, columns: Sequence[str] | None = None, order: Sequence[str] = ()
+) -> None:
+    """SNK2, SNK3 on a stored table: ``upsert`` of the buckets that the updates fall in."""
+    (key,) = table.key
+    table.merge(updates, lambda old, new: upsert(old, new, key, columns, order))
+
+
+def update_stored_status(
+    table: KeyedTable, changes: DataFrame, as_of: datetime, order: Sequence[str] = ()
+) -> DataFrame:
+    """SNK7 on a stored table: ``update_status`` of the buckets that the changes fall in. Returns unknown ticket ids."""
+    unknown = cut_lineage(
+        changes.select("ticket_id").distinct().join(table.read().select("ticket_id"), "ticket_id", "left_anti")
+    )
+    known = changes.join(unknown, "ticket_id", "left_anti")
+    table.merge(known, lambda old, new: update_status(old, new, as_of, order)[0])
+    return unknown
+
+
 def link_tickets(runs: DataFrame, tickets: DataFrame) -> DataFrame:
     """SNK6. Runs with the id of the newest ticket filed for them."""
     filed = tickets.groupBy(F.col("agent_run_id").alias("run_id")).agg(

@@ -168,3 +168,30 @@ def test_latest_and_overview(spark):
     assert fleet.filter_fleet(view).count() == 3
     assert fleet.filter_fleet(view, environments=["dev"], demo_only=True).count() == 1
     assert [r.marker_size for r in fleet.scatter_input(view).collect()] == [100.0]
+
+
+def test_latest_rows_without_sorting_facts(spark, tmp_path):
+    """Ties, nulls among keys and times, and plans that sort nothing but the rows of equal times."""
+    rows = [(k, f"d{i % 3}", T0 + timedelta(minutes=i % 50), i, f"s{i}") for i in range(900) for k in ("hot",)]
+    rows += [("a", "d", None, 1, "x"), ("a", "e", None, 2, "y"), (None, "d", T0, 3, "z"), (None, "d", T0 + timedelta(hours=1), 4, "w")]
+    path = str(tmp_path / "t")
+    spark.createDataFrame(rows, "host_id string, device string, ts timestamp, n int, s string").write.parquet(path)
+    df = spark.read.parquet(path)
+    newest = latest.latest_per(df, ["host_id"], "ts", ["device", "n"])
+    got = {r.host_id: (r.device, r.n, r.s) for r in newest.collect()}
+    best = max((r for r in rows if r[0] == "hot"), key=lambda r: (r[2], r[1], r[3]))
+    assert got == {"hot": (best[1], best[3], best[4]), "a": ("e", 2, "y"), None: ("d", 4, "w")}
+    plan = newest._jdf.queryExecution().executedPlan().toString()
+    scan = plan.split("FileScan")[0]
+    assert "BroadcastHashJoin" in scan and "SortMergeJoin" not in plan
+
+
+def test_one_per_key_puts_only_repeats_in_order(spark):
+    rows = [("a", 1, "x"), ("b", 2, "y"), ("a", 0, "z"), (None, 5, "p"), (None, 4, "q"), ("c", 9, None)]
+    df = spark.createDataFrame(rows, "k string, n int, s string").coalesce(1)
+    first = {r.k: (r.n, r.s) for r in sinks.one_per_key(df, ["k"]).collect()}
+    assert first == {"a": (1, "x"), "b": (2, "y"), None: (5, "p"), "c": (9, None)}
+    last = {r.k: r.n for r in sinks.one_per_key(df, ["k"], ["n"], last=True).collect()}
+    assert last == {"a": 1, "b": 2, None: 5, "c": 9}
+    plain = sinks.one_per_key(df.where("k IN ('b', 'c')"), ["k"])
+    assert plain.count() == 2 and "Sort" not in plain._jdf.queryExecution().executedPlan().toString()
