@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import ctypes.util
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -13,8 +15,9 @@ from pyspark.sql import functions as F
 
 from brimwatch.session import fresh_dir
 
-#: Bytes of text that a task turns into arrays at a time.
+#: Bytes of text that a task turns into arrays at a time, and of those the bytes whose words are cut at a time.
 SLICE_BYTES = 2 << 20
+WORD_BYTES = 1 << 19
 #: Largest side, in rows of at most a few dozen bytes, that is broadcast by request.
 BROADCAST_ROWS = 1 << 20
 
@@ -67,6 +70,18 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iter
         stop = max(start + 1, int(np.searchsorted(ends, base + limit, side="right")))
         yield batch.slice(start, stop - start)
         start = stop
+    give_back()
+
+
+_libc = ctypes.util.find_library("c")
+_trim = getattr(ctypes.CDLL(_libc), "malloc_trim", None) if _libc else None
+
+
+def give_back() -> None:
+    """Return freed memory to the system: workers live on and share the machine with later stages."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
 
 
 def groups(
@@ -96,6 +111,8 @@ def groups(
                 bulk = sum(x.nbytes for x in held)
     if held:
         yield pa.Table.from_batches(held)
+        held.clear()
+    give_back()
 
 
 def by_key(df: DataFrame, key: str, function: Callable, schema: str, *order: str) -> DataFrame:
@@ -164,7 +181,7 @@ _powers: dict[str, np.ndarray] = {}
 
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     if not _powers or len(_powers["up"]) < n:
-        size = max(n, SLICE_BYTES + 1)
+        size = max(n, WORD_BYTES + 1)
         for name, factor in (("up", _BASE), ("down", _INVERSE)):
             line = np.full(size, factor, dtype=np.uint64)
             line[0] = 1
@@ -173,10 +190,10 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _pieces(data: bytes) -> Iterator[tuple[int, bytes]]:
-    """Cut a buffer at white space into parts of about a slice."""
+    """Cut a buffer at white space into parts of about ``WORD_BYTES``."""
     start = 0
     while start < len(data):
-        stop = min(len(data), start + SLICE_BYTES)
+        stop = min(len(data), start + WORD_BYTES)
         while stop < len(data) and not _SPACE[data[stop - 1]]:
             stop += 1
         yield start, data[start:stop]
