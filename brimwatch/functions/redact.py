@@ -176,5 +176,13 @@ def merged_counts(redactions: Column) -> Column:
     return F.map_from_entries(F.filter(F.array(*sums), lambda pair: pair["value"] > 0))
 
 
+def added_counts(a: Column, b: Column) -> Column:
+    """The per-category counts of two maps together; a null map is empty."""
+    none = F.create_map().cast("map<string,bigint>")
+    full = lambda m: F.coalesce(m.cast("map<string,bigint>"), none)
+    both = lambda _, x, y: F.coalesce(x, F.lit(0)) + F.coalesce(y, F.lit(0))
+    return F.map_zip_with(full(a), full(b), both)
+
+
 def total_redactions(counts: Column) -> Column:
     return F.aggregate(F.map_values(counts), F.lit(0), lambda total, n: total + n)

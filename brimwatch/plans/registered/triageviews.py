@@ -4,10 +4,13 @@ from pyspark.sql import functions as F
 
 from brimwatch.operators import cleanup, context, decision, tickets
 from brimwatch.operators.skew import skew_join
+from brimwatch.functions.redact import CATEGORIES
+from brimwatch.plans import outcome as outcome_of
 from brimwatch.plans import triage
 from brimwatch.plans.registered.base import r6, register, stamp
-from brimwatch.plans.registered.texts import host_queries
-from brimwatch.plans.sqlviews import r6 as q6, stamp as qstamp, with_views
+from brimwatch.plans.registered.texts import TOP_SQL, counts_sql, counts_text, host_queries
+from brimwatch.plans.sqlviews import hid, q_redaction, r6 as q6, stamp as qstamp, with_views
+from brimwatch.session import fresh_dir
 from brimwatch.sources import sample as V
 from brimwatch.sources.sinks import link_tickets
 
@@ -194,7 +197,11 @@ def create(spark, d):
 )
 def approvals(spark, d):
     """TKT4."""
-    answered = (
+    return tickets.resolve_approvals(V.runs(spark, d), _answers(spark, d))
+
+
+def _answers(spark, d):
+    return (
         V.read(spark, d, "orders")
         .where("o_orderstatus <> 'O'")
         .select(
@@ -203,7 +210,6 @@ def approvals(spark, d):
             (F.col("o_totalprice") > 200000).alias("can_clean"),
         )
     )
-    return tickets.resolve_approvals(V.runs(spark, d), answered)
 
 
 @register(
@@ -256,16 +262,108 @@ TRIAGE_SQL = """acting AS (
 )
 def triage_runs(spark, d):
     """The whole triage of all triggered hosts, down to audit rows linked to tickets."""
+    return _triaged(spark, d).runs.select(
+        "run_id", "host_id", "prediction_id", "confidence_score", "decision", "verdict", "bytes_freed",
+        "files_deleted", "ticket_id", "reasoning",
+    )
+
+
+def _triaged(spark, d):
     now = V.files_as_of(spark, d)
     contexts = triage.prompts(
         V.hosts(spark, d), V.predictions(spark, d), V.files(spark, d), V.corpus(spark, d),
         host_queries(spark, d), now,
     )
     decided_rows = triage.reason(contexts, V.model_outputs(spark, d))
-    result = triage.resolve(
+    return triage.resolve(
         decided_rows, V.files(spark, d), V.hosts(spark, d), now, existing_tickets=V.tickets(spark, d)
     )
-    return result.runs.select(
-        "run_id", "host_id", "prediction_id", "confidence_score", "decision", "verdict", "bytes_freed",
-        "files_deleted", "ticket_id", "reasoning",
+
+
+def _stored(spark, d):
+    """The triage stored three times: twice under one name, and once more under another."""
+    path = fresh_dir(spark, "triage")
+    result = _triaged(spark, d)
+    for commit in ("first", "first", "again"):
+        outcome_of.store(result, path, commit)
+    return path
+
+
+@register(
+    "triage_tickets",
+    with_views(
+        "triage_decided cleanup_plan tickets files_now",
+        """SELECT ticket_id, agent_run_id, host_id, severity, bytes_planned FROM (
+             SELECT f.ticket_id, j.run_id AS agent_run_id, j.host_id,
+               CASE WHEN verdict = 'escalated_anomaly' OR coalesce(hours_to_90pct < 24, false) THEN 'P2' ELSE 'P3' END AS severity,
+               0::BIGINT AS bytes_planned
+             FROM filed f JOIN judged j USING (run_id) JOIN triage_decided t ON t.host_id = j.host_id
+             UNION ALL SELECT NULL, run_id, host_id, NULL, bytes_freed FROM judged WHERE bytes_freed > 0)""",
+        TRIAGE_SQL,
+    ),
+)
+def triage_tickets(spark, d):
+    """SNK5, SNK6, TKT3: tickets and planned bytes per run, read from what was stored; repeats added nothing."""
+    path = _stored(spark, d)
+    filed = outcome_of.read(spark, path, "tickets").select("ticket_id", "agent_run_id", "host_id", "severity")
+    freed = (
+        outcome_of.read(spark, path, "plans").where("action = 'delete'").groupBy("run_id", "host_id")
+        .agg(F.sum("size_bytes").alias("bytes_planned")).where("bytes_planned > 0")
+    )
+    null = F.lit(None).cast("string")
+    return filed.withColumn("bytes_planned", F.lit(0).cast("long")).unionByName(
+        freed.select(
+            null.alias("ticket_id"), F.col("run_id").alias("agent_run_id"), "host_id", null.alias("severity"), "bytes_planned"
+        )
     )
+
+
+_COUNTED = ", ".join(f"CAST(sum(n_{c}) AS BIGINT) AS n_{c}" for c in CATEGORIES)
+
+
+@register(
+    "triage_audit",
+    with_views(
+        "triage_decided corpus",
+        """SELECT 'run-' || substr(sha256(t.host_id || '|' || prediction_id), 1, 12) AS run_id, recommendation, counts, summary
+           FROM triage_decided t JOIN asked ON asked.host_id = t.host_id JOIN found ON found.query_id = asked.query_id""",
+        TOP_SQL.strip()
+        + ", "
+        + q_redaction("(SELECT doc_id, content AS text FROM corpus)")
+        + f""", sums AS (SELECT query_id, count(*) AS n, max(similarity) AS best, arg_min(title, rank) AS title, {_COUNTED}
+            FROM top JOIN redacted ON redacted.doc_id = top.doc_id JOIN corpus ON corpus.doc_id = top.doc_id GROUP BY query_id),
+          found AS (SELECT query_id, {counts_sql()} AS counts, n || ' docs retrieved; top: ' || chr(39) || title || chr(39) ||
+              ' (' || format('{{:.2f}}', best) || ')' AS summary FROM sums),
+          asked AS (SELECT {hid('c_custkey')} AS host_id, c_custkey % (SELECT count(*) FROM embeddings) AS query_id FROM customer)""",
+    ),
+)
+def triage_audit(spark, d):
+    """SNK5, RED16: what was redacted for each stored run, and its search entry. Sample paths hold nothing to redact."""
+    runs = outcome_of.read(spark, _stored(spark, d), "runs")
+    search = F.filter("tool_calls", lambda c: c["tool"] == "search_runbooks")[0]["output_summary"]
+    return runs.select("run_id", "recommendation", counts_text().alias("counts"), search.alias("summary"))
+
+
+@register(
+    "ticket_approved",
+    with_views(
+        "runs predictions hosts tickets",
+        """SELECT prefix || CASE WHEN number < 1000 THEN lpad(CAST(number AS VARCHAR), 4, '0') ELSE CAST(number AS VARCHAR) END AS ticket_id,
+              run_id AS agent_run_id, host_id, CASE WHEN approved THEN 'P2' ELSE 'P3' END AS severity
+            FROM (
+              SELECT c.*, prefix, coalesce(last_number, 0) + row_number() OVER (PARTITION BY prefix ORDER BY finished_at, run_id) AS number
+              FROM (SELECT *, strftime(finished_at, 'INC-%Y-%m-') AS prefix FROM classed
+                    JOIN answered USING (run_id) WHERE decision = 'chat_approval' AND NOT (approved AND can_clean)) c
+              LEFT JOIN used USING (prefix))""",
+        AUDIT_SQL
+        + """, used AS (SELECT substr(ticket_id, 1, 12) AS prefix, max(CAST(split_part(ticket_id, '-', 4) AS INTEGER)) AS last_number
+             FROM tickets GROUP BY 1),
+           answered AS (SELECT 'run-' || lpad(CAST(o_orderkey AS VARCHAR), 10, '0') AS run_id, o_orderpriority <= '2-HIGH' AS approved,
+             o_totalprice > 200000 AS can_clean FROM orders WHERE o_orderstatus <> 'O')""",
+    ),
+)
+def approved(spark, d):
+    """TKT4: answered runs that ask for a ticket get one, numbered after the stored ones."""
+    outcomes = tickets.resolve_approvals(V.runs(spark, d), _answers(spark, d))
+    made = tickets.approved_tickets(audit_rows(spark, d), outcomes, V.tickets(spark, d))
+    return made.select("ticket_id", "agent_run_id", "host_id", "severity")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from brimwatch.config import DEFAULTS, Settings
 from brimwatch.functions import redact as R
-from brimwatch.functions.scalar import short_id
+from brimwatch.functions.scalar import fixed, short_id
 from brimwatch.operators import cleanup, context, decision, tickets
 from brimwatch.operators.latest import latest_predictions
 from brimwatch.operators.retrieve import cosine_top_k
@@ -42,7 +42,12 @@ def redacted_docs(queries: DataFrame, corpus: DataFrame, k: int = context.CONTEX
     used = corpus.join(best.select("doc_id"), "doc_id", "left_semi")
     clean = R.redact(used.select("doc_id", "source", "title", "content"), ["content"])
     found = best.join(clean, "doc_id")
-    return context.doc_block(found, R.merged_counts(F.col("redactions")).alias("doc_redactions"))
+    return context.doc_block(
+        found,
+        R.merged_counts(F.col("redactions")).alias("doc_redactions"),
+        F.min_by("title", "rank").alias("top_title"),
+        F.max("similarity").alias("top_similarity"),
+    )
 
 
 def prompts(
@@ -100,7 +105,11 @@ def tool_calls() -> Column:
             F.lit("query"), F.col("query_text"), F.lit("top_k"), F.lit(str(context.CONTEXT_DOCS))
         ).alias("args"),
         F.when(
-            F.col("doc_count") > 0, F.concat(F.col("doc_count").cast("string"), F.lit(" docs retrieved"))
+            F.col("doc_count") > 0,
+            F.concat(
+                F.col("doc_count").cast("string"), F.lit(" docs retrieved; top: '"), F.col("top_title"),
+                F.lit("' ("), fixed(F.col("top_similarity"), 2), F.lit(")"),
+            ),
         ).otherwise("no docs").alias("output_summary"),
         null.alias("error"),
     )
@@ -110,8 +119,8 @@ def tool_calls() -> Column:
 @dataclass
 class Triage:
     decided: DataFrame  # parsed answer, score, route and rationale per run
-    plan: DataFrame  # clean-up plan of the runs that execute
-    runs: DataFrame  # audit rows, linked to their tickets
+    plan: DataFrame  # clean-up plan of the runs that execute, with their run_id
+    runs: DataFrame  # audit rows, linked to their tickets; with recommendation and redactions by category
     tickets: DataFrame  # new tickets
 
 
@@ -134,14 +143,15 @@ def resolve(
     existing_tickets: DataFrame | None = None,
     settings: Settings = DEFAULTS,
 ) -> Triage:
-    """DEC9-DEC11, CLN4, TKT3, SNK5, SNK6 for all decided hosts at once."""
+    """DEC9-DEC11, CLN4, TKT3, SNK5, SNK6, RED16 for all decided hosts at once."""
     # The evidence texts have served their purpose; they are not stored again.
-    decided = cut_lineage(decided.drop("prompt", "doc_context", "file_listing", "raw"))
-    acting = decided.where(decision.runs_cleanup()).select("host_id")
+    decided = decided.drop("prompt", "doc_context", "file_listing", "raw")
+    decided = cut_lineage(decided.withColumn("run_id", short_id("run-", F.col("host_id"), F.col("prediction_id"))))
+    acting = decided.where(decision.runs_cleanup()).select("host_id", "run_id")
     plan = cleanup.cleanup_plan(
         files, hosts.join(acting, "host_id", "left_semi"), files_as_of or as_of, settings
     )
-    plan = cut_lineage(plan)
+    plan = cut_lineage(plan.join(acting, "host_id"))
     outcome = cleanup.plan_totals(plan).select("host_id", "bytes_freed", "files_deleted")
     moment = F.lit(as_of)
     audit = (
@@ -149,11 +159,12 @@ def resolve(
         .withColumn("bytes_freed", F.coalesce("bytes_freed", F.lit(0)))
         .withColumn("files_deleted", F.coalesce("files_deleted", F.lit(0)))
         .withColumn("verdict", decision.verdict(F.col("files_deleted")))
-        .withColumn("run_id", short_id("run-", F.col("host_id"), F.col("prediction_id")))
+        .withColumn("redactions", R.added_counts(F.col("file_redactions"), F.col("doc_redactions")))
         .withColumns({"started_at": moment, "finished_at": moment})
         .withColumn("tool_calls", tool_calls())
         .withColumns({"ticket_id": F.lit(None).cast("string"), "error": F.lit(None).cast("string")})
     )
     filed = cut_lineage(tickets.create_tickets(audit, existing_tickets))
-    runs = link_tickets(audit.select(*[field.name for field in RUNS]), filed)
+    kept = [*(field.name for field in RUNS), "recommendation", "redactions"]
+    runs = link_tickets(audit.select(*kept), filed)
     return Triage(decided, plan, runs, filed)
