@@ -31,6 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from brimwatch.llm.common import REMEMBERED as FORGET
 from brimwatch.llm.common import slices, stage, unstage
 from brimwatch.llm.tokens import byte_characters, public_path
 
@@ -289,6 +290,7 @@ def cut_windows(
 
 
 _loaded: dict[tuple[str, str], tuple[Vocabularies, Windows]] = {}
+FORGET.append(_loaded.clear)
 
 
 def loaded(byte_level: str, pieces: str) -> tuple[Vocabularies, Windows]:

@@ -73,6 +73,17 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iter
     give_back()
 
 
+#: What modules remember in a worker beyond a task, as functions that forget it.
+REMEMBERED: list[Callable[[], None]] = []
+
+
+def start_afresh() -> None:
+    """Forget what earlier operators remembered in this worker."""
+    for forget in REMEMBERED:
+        forget()
+    give_back()
+
+
 _libc = ctypes.util.find_library("c")
 _trim = getattr(ctypes.CDLL(_libc), "malloc_trim", None) if _libc else None
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from brimwatch.llm.common import mix, seeds, slices, stage, unstage
+from brimwatch.llm.common import mix, seeds, slices, stage, start_afresh, unstage
 from brimwatch.operators.skew import top_per_key
 
 #: Answer for texts without a letter.
@@ -87,6 +87,7 @@ def _counted(shape: Shape):
     """Rows (lang, text) to (lang, gram, size, docs): in how many documents of the batch a gram occurs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        start_afresh()
         for batch in batches:
             for piece in slices(batch, "text"):
                 langs = np.array(piece.column("lang").to_pylist(), dtype=object)
@@ -212,6 +213,7 @@ def predict(docs: DataFrame, filters: Filters, shape: Shape = Shape(), keep: tup
     names = [*keep, "lang_pred", "score"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        start_afresh()
         for batch in batches:
             for piece in slices(batch, "text"):
                 langs, score = decide(piece.column("text").to_pylist(), shared.value, shape)

@@ -11,6 +11,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from brimwatch.llm.common import REMEMBERED as FORGET
+from brimwatch.llm.common import slices
+
 #: Distinct words a worker remembers; beyond that it forgets them all and goes on.
 REMEMBERED = 400_000
 #: Bytes of text that are looked up at a time; more text repeats more words.
@@ -129,6 +132,7 @@ class TokenIds:
 
 
 _loaded: dict[str, TokenIds] = {}
+FORGET.append(_loaded.clear)
 
 
 def loaded(path: str) -> TokenIds:
@@ -142,8 +146,6 @@ def encoded(
     batches: Iterator[pa.RecordBatch], path: str, end: int
 ) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Pieces of batches with their ids and offsets, ``end`` after the last id of each text."""
-    from brimwatch.llm.common import slices
-
     known = loaded(path)
     for batch in batches:
         for piece in slices(batch, "text", BATCH_BYTES):
