@@ -119,3 +119,52 @@ def test_cycle_for_all_and_for_one(series, shapes):
         assert one.forecast_7d_pct == pytest.approx(every["ramp"].forecast_7d_pct)
     with pytest.raises(ValueError, match="no telemetry"):
         score_host(rows, "nobody", now, None)
+
+
+def _objective(gram, theta, noise):
+    """Negative log posterior at fixed noise, term by term."""
+    total = len(theta)
+    xx, xy, yy = gram[:total, :total], gram[:total, total], gram[total, total]
+    knots = theta[2 : 2 + forecast.N_KNOTS]
+    season = theta[2 + forecast.N_KNOTS :]
+    rest = yy - 2 * theta @ xy + theta @ xx @ theta
+    return (
+        rest / (2 * noise) + np.abs(knots).sum() / forecast.KNOT_PRIOR
+        + (theta[:2] @ theta[:2]) / (2 * forecast.TREND_PRIOR**2) + (season @ season) / (2 * forecast.SEASON_PRIOR**2)
+    )
+
+
+def test_the_gap_bounds_what_other_parameters_reach(series, shapes):
+    rows = forecast.series_context(series(shapes), ["host_id", "device"])
+    draw = np.random.default_rng(6)
+    for row in forecast.trend_sums(rows).collect():
+        scale = row.peak or 1.0
+        powers = np.array([(i == len(forecast._TERMS) - 1) + (j == len(forecast._TERMS) - 1) for i, j in forecast._PAIRS])
+        products = np.array(row.products).reshape(1, forecast.N_KNOTS + 1, -1) / scale**powers
+        gram = forecast._gram(products, np.array([row.starts[1:]]))
+        theta, gap = forecast._fit(gram, np.ones((1, forecast.N_KNOTS), dtype=bool))
+        assert gap[0] <= forecast.GAP
+        total = gram.shape[1] - 1
+        noise = forecast._noise(theta, gram[:, :total, :total], gram[:, :total, total], gram[:, total, total])[0]
+        best = _objective(gram[0], theta[0], noise)
+        slack = gap[0] + 1e-9 * abs(best)
+        # Other parameters, near and far, and the fit with each bend taken away.
+        for step in (1e-6, 1e-4, 1e-2):
+            for _ in range(30):
+                assert _objective(gram[0], theta[0] + draw.normal(0, step, total), noise) >= best - slack
+        for k in range(2, 2 + forecast.N_KNOTS):
+            less = theta[0].copy()
+            less[k] = 0.0
+            assert _objective(gram[0], less, noise) >= best - slack
+
+
+def test_sample_series_converge_and_others_are_marked(spark, series, shapes, data, monkeypatch):
+    from brimwatch.sources import sample
+
+    rows = forecast.piecewise_forecast(sample.telemetry(spark, data, one_device=True)).collect()
+    fitted = [r for r in rows if r.fit_gap is not None]
+    assert fitted and all(r.converged and r.fit_gap <= 1e-8 for r in fitted)
+    assert all(r.converged is None and r.forecast_7d_pct is None for r in rows if r.fit_gap is None)
+    monkeypatch.setattr(forecast, "_NOISE_ROUNDS", 0)
+    gram = np.eye(len(forecast._TERMS) + forecast.N_KNOTS)[None] * 50.0
+    assert np.isinf(forecast._fit(gram, np.ones((1, forecast.N_KNOTS), dtype=bool))[1][0])
