@@ -23,17 +23,21 @@ SEED = 42
 POSITIVE = "anomalous"
 
 
-def training_set(telemetry: DataFrame, labels: DataFrame, keys=("host_id", "device")) -> DataFrame:
-    """ML1, JN4. Features with y = 1 for the anomalous pattern; unlabelled hosts are 0."""
-    features = series_features(telemetry, keys)
+def with_labels(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """JN4. Adds y, 1 for hosts of the anomalous pattern; unlabelled hosts are 0."""
     known = labels.select("host_id", (F.col("label") == POSITIVE).alias("_hit"))
     return (
-        features.join(known, "host_id", "left")
+        rows.join(known, "host_id", "left")
         .withColumn("y", F.coalesce("_hit", F.lit(False)).cast("int"))
         .drop("_hit")
     )
 
 
+def training_set(telemetry: DataFrame, labels: DataFrame, keys=("host_id", "device")) -> DataFrame:
+    """ML1, JN4. Features with their class."""
+    return with_labels(series_features(telemetry, keys), labels)
+
+
 def split(rows: DataFrame, holdout: float = HOLDOUT, seed: int = SEED, keys=("host_id", "device")) -> DataFrame:
     """ML2. Adds ``is_test``: the same share of each class, rounded up, by stable hash.
 

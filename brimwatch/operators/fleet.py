@@ -187,16 +187,18 @@ def status_rollup(fleet: DataFrame) -> DataFrame:
     )
 
 
-def telemetry_rollup(telemetry: DataFrame, width: str = "1 hour", slide: str | None = None) -> DataFrame:
-    """EXT2. Samples per series and time window."""
+def telemetry_rollup(
+    telemetry: DataFrame, width: str = "1 hour", slide: str | None = None, keys=("host_id", "device")
+) -> DataFrame:
+    """EXT2. Samples per series, or per host, and time window."""
     return (
-        telemetry.groupBy("host_id", "device", F.window("ts", width, slide).alias("w"))
+        telemetry.groupBy(*keys, F.window("ts", width, slide).alias("w"))
         .agg(
             F.count("*").alias("n"),
             F.avg("in_use_pct").alias("mean_pct"),
             F.max("in_use_pct").alias("max_pct"),
         )
-        .select("host_id", "device", F.col("w.start").alias("window_start"), "n", "mean_pct", "max_pct")
+        .select(*keys, F.col("w.start").alias("window_start"), "n", "mean_pct", "max_pct")
     )
 
 

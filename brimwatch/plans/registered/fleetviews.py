@@ -3,6 +3,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from brimwatch.operators import cleanup, fleet, gaps
+from brimwatch.operators.anomaly import with_labels
 from brimwatch.plans.registered.base import r6, register, stamp
 from brimwatch.plans.sqlviews import exact, r6 as q6, stamp as qstamp, with_views
 from brimwatch.sources import sample as V
@@ -119,10 +120,7 @@ def run_context(spark, d):
 )
 def labels(spark, d):
     """JN4: hosts without a label are class 0."""
-    known = V.series_labels(spark, d).select("host_id", (F.col("label") == "anomalous").alias("hit"))
-    return V.hosts(spark, d).join(known, "host_id", "left").select(
-        "host_id", F.coalesce("hit", F.lit(False)).cast("int").alias("y")
-    )
+    return with_labels(V.hosts(spark, d), V.series_labels(spark, d)).select("host_id", "y")
 
 
 @register(

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from brimwatch.functions.scalar import round_exact
 from brimwatch.operators import gaps
+from brimwatch.operators.fleet import telemetry_rollup
 from brimwatch.operators.latest import latest_telemetry
 from brimwatch.plans.registered.base import r9, register, stamp
 from brimwatch.plans.sqlviews import exact, hid, r9 as q9, stamp as qstamp, with_views
@@ -280,11 +281,7 @@ def backfill(spark, d):
 )
 def daily(spark, d):
     """EXT2 by day."""
-    return (
-        V.telemetry(spark, d)
-        .groupBy("host_id", F.date_trunc("day", "ts").alias("day"))
-        .agg(F.count("*").alias("n"), r9(F.avg("in_use_pct")).alias("mean_pct"))
-        .withColumn("day", stamp("day"))
-    )
+    rows = telemetry_rollup(V.telemetry(spark, d), "1 day", keys=("host_id",))
+    return rows.select("host_id", stamp("window_start").alias("day"), "n", r9("mean_pct").alias("mean_pct"))
 
 

@@ -30,6 +30,20 @@ def split(spark, d):
     return parts.groupBy("y").agg(F.count("*").alias("n"), F.count_if("is_test").alias("n_test"))
 
 
+@register(
+    "anomaly_train_sizes",
+    with_views(
+        "series_labels",
+        """SELECT CAST(sum(n - ceil(n * 0.25)) AS BIGINT) AS n_train, CAST(sum((n - ceil(n * 0.25)) * y) AS BIGINT) AS n_pos FROM (
+             SELECT CASE WHEN label = 'anomalous' THEN 1 ELSE 0 END AS y, count(*) AS n FROM series_labels GROUP BY 1)""",
+    ),
+)
+def train_sizes(spark, d):
+    """ML3, AG20: what a training run (of two trees) says it learned from."""
+    metrics = anomaly.train(labelled(spark, d), trees=2).metrics
+    return spark.createDataFrame([(int(metrics["n_train"]), int(metrics["n_pos"]))], "n_train long, n_pos long")
+
+
 @register("anomaly_train")
 def train(spark, d):
     """ML1, ML3, AG20."""

@@ -21,7 +21,7 @@ from brimwatch.sources import scans
 )
 def trailing_window(spark, d):
     """SRC1."""
-    rows = V.telemetry(spark, d, since=V.since(spark, d, 7))
+    rows = scans.trailing(V.telemetry(spark, d), V.as_of(spark, d), 7)
     return rows.select("host_id", "device", stamp("ts").alias("ts"), "in_use_pct")
 
 
@@ -62,7 +62,7 @@ def host_inventory(spark, d):
 )
 def recent_samples(spark, d):
     """SRC4 for every host."""
-    rows = V.telemetry(spark, d, since=V.since(spark, d, 7))
+    rows = scans.recent_of_all(V.telemetry(spark, d), V.as_of(spark, d))
     return rows.select("host_id", stamp("ts").alias("ts"), "in_use_pct", "used_bytes", "free_bytes")
 
 

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from brimwatch.config import Settings
 from brimwatch.operators.forecast import FORECAST_COLUMNS
-from brimwatch.plans.cycle import run_cycle, score_fleet
+from brimwatch.plans.cycle import run_cycle, score_fleet, score_host
 from brimwatch.plans.registered.base import r6, r9, register, stamp
 from brimwatch.plans.registered.forecasts import FORECAST_SQL, SEASONAL_SQL
 from brimwatch.plans.registered.texts import counts_sql, counts_text
@@ -151,6 +151,26 @@ def replay(spark, d):
     )
 
 
+@register(
+    "cycle_one_host",
+    with_views(
+        "host_telemetry",
+        f"""SELECT host_id, device, {FORECAST_SQL}, 0.0::DOUBLE AS anomaly_score,
+              coalesce(forecast_7d_pct >= 90, false) OR coalesce(hours_to_90pct <= 168, false) AS triggered_agent
+            FROM forecasts WHERE host_id = (SELECT min(host_id) FROM host_telemetry)""",
+        SEASONAL_SQL,
+    ),
+)
+def one_host(spark, d):
+    """CYC2: the cycle on demand for one host, the first by name."""
+    rows = V.telemetry(spark, d, one_device=True)
+    name = rows.agg(F.min("host_id")).first()[0]
+    scored = score_host(rows, name, V.as_of(spark, d), None, Settings(history_days=30), "seasonal")
+    return scored.select(
+        "host_id", "device", *[r6(name).alias(name) for name in FORECAST_COLUMNS], "anomaly_score", "triggered_agent"
+    )
+
+
 @register(
     "stream_late_rows",
     with_views(

@@ -60,13 +60,15 @@ def as_points(telemetry: DataFrame) -> DataFrame:
     )
 
 
+def recent_of_all(telemetry: DataFrame, as_of: datetime, hours: int = 168) -> DataFrame:
+    """SRC4 for every host."""
+    rows = newer_than(telemetry, as_of - timedelta(hours=hours))
+    return rows.select("host_id", "ts", "in_use_pct", "used_bytes", "free_bytes")
+
+
 def recent_samples(telemetry: DataFrame, host_id: str, as_of: datetime, hours: int = 168) -> DataFrame:
     """SRC4."""
-    rows = newer_than(telemetry.where(F.col("host_id") == host_id), as_of - timedelta(hours=hours))
-    return (
-        rows.select("ts", "in_use_pct", "used_bytes", "free_bytes")
-        .orderBy("ts")
-    )
+    return recent_of_all(telemetry.where(F.col("host_id") == host_id), as_of, hours).drop("host_id").orderBy("ts")
 
 
 def _newest(df: DataFrame, ts: str, tie: str, limit: int) -> DataFrame:
