@@ -60,6 +60,15 @@ MARKS = frozenset(
 )
 #: What a head can hold; anything else ends it, as its end tag may be left out.
 IN_HEAD = frozenset("head title base basefont bgsound link meta script style noscript noframes template".split())
+#: Elements that stray end tags do not leave, and elements whose end tags do.
+CLOSED = ("article", "main", "body", "td")
+FRAMES = frozenset("body html main article div section table tr".split())
+#: Parts of names that say nothing about what an element holds: next to a mark they leave it one.
+LAYOUT = frozenset(
+    "bar block box btn button buttons card cards col column container content group icon icons inner item items links "
+    "list main media module outer panel post posts article articles stories story row section site slot text title "
+    "top bottom left right unit wrap wrapper area page primary secondary the and for".split()
+)
 COMMENTS = frozenset("comment comments commentlist disqus respond reply replies discussion".split())
 _PART = re.compile(r"[a-z]+")
 _ABOUT_LAYOUT = re.compile(r"(has|with|without|no|is|js|can)[-_]")
@@ -87,21 +96,27 @@ class _Page(HTMLParser):
         self.root = _Node("html", {}, None)
         self.open = [self.root]
         self.nodes = [self.root]  # parents before children
+        self.places: dict[str, list[int]] = {}  # of open elements below the root, by name
+
+    def _last(self, tags) -> int:
+        """Place of the innermost open element of these names, 0 without one."""
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=0)
+
+    def _close(self, place: int) -> None:
+        for node in self.open[place:]:
+            self.places[node.tag].pop()
+        del self.open[place:]
 
     def _end(self, tags: frozenset, within: frozenset) -> None:
-        for i in range(len(self.open) - 1, 0, -1):
-            tag = self.open[i].tag
-            if tag in tags:
-                del self.open[i:]
-                return
-            if tag in within:
-                return
+        place = self._last(tags)
+        if place and place >= self._last(within):
+            self._close(place)
 
     def _end_head(self, tag: str) -> None:
         """End a head that is still open; what ends it is in the body, with or without a start tag."""
         if len(self.open) < 2 or self.open[1].tag != "head" or tag != "body" and any(n.tag != "title" for n in self.open[2:]):
             return
-        del self.open[1:]
+        self._close(1)
         if tag != "body" and not any(n.tag == "body" for n in self.nodes):
             self._add("body", {})
 
@@ -110,6 +125,7 @@ class _Page(HTMLParser):
         self.open[-1].parts.append(node)
         self.nodes.append(node)
         if tag not in VOID:
+            self.places.setdefault(tag, []).append(len(self.open))
             self.open.append(node)
 
     def handle_starttag(self, tag, attrs):
@@ -128,12 +144,10 @@ class _Page(HTMLParser):
         self.handle_starttag(tag, attrs)
 
     def handle_endtag(self, tag):
-        for i in range(len(self.open) - 1, 0, -1):
-            if self.open[i].tag == tag:
-                del self.open[i:]
-                return
-            if self.open[i].tag in ("article", "main", "body", "td") and tag not in ("body", "html", "main", "article", "div", "section", "table", "tr"):
-                return
+        place = self._last((tag,))
+        # An end tag does not reach out of the article, unless it is of a frame itself.
+        if place and (tag in FRAMES or place >= self._last(CLOSED)):
+            self._close(place)
 
     def handle_data(self, data):
         if self.open[-1].tag == "head" and data.strip():
@@ -193,6 +207,16 @@ def _named(node: _Node, words: frozenset) -> bool:
     return False
 
 
+def _named_wholly(node: _Node, words: frozenset) -> bool:
+    """A name all of whose parts are marks or layout: ``related-posts``, but not ``related-work``."""
+    for value in (node.attrs.get("class", ""), node.attrs.get("id", "")):
+        for name in value.lower().split():
+            parts = _PART.findall(name)
+            if not _ABOUT_LAYOUT.match(name) and not words.isdisjoint(parts) and (words | LAYOUT).issuperset(parts):
+                return True
+    return False
+
+
 def _is_dropped(node: _Node, in_article: bool, holds_article: bool, frames: bool) -> bool:
     """``frames``: a form that may be around the whole page, and is not dropped for being one."""
     tag = node.tag
@@ -204,7 +228,9 @@ def _is_dropped(node: _Node, in_article: bool, holds_article: bool, frames: bool
         return True
     if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", node.attrs.get("style", "")):
         return True
-    if _named(node, COMMENTS):
+    # Within the article a chapter may be about what a mark means elsewhere.
+    named = _named_wholly if in_article else _named
+    if named(node, COMMENTS):
         return not holds_article
     if tag == "article" or holds_article:
         return False
@@ -213,8 +239,8 @@ def _is_dropped(node: _Node, in_article: bool, holds_article: bool, frames: bool
     if tag in HEADINGS:
         return False
     if tag == "form":
-        return node.attrs.get("role", "") == "search" or _named(node, MARKS - {"form"})
-    return node.attrs.get("role", "") in ROLES or _named(node, MARKS)
+        return node.attrs.get("role", "") == "search" or named(node, MARKS - {"form"})
+    return node.attrs.get("role", "") in ROLES or named(node, MARKS)
 
 
 def _mark(nodes: list[_Node], inside: set, holds: set, forms: set) -> None:
@@ -287,8 +313,12 @@ def _selected(page: _Page) -> tuple[_Node, set[_Node]]:
     # The root is no choice next to a body: it holds the same text.
     best = max((n for n in page.nodes if not n.out and (n is not page.root or n is body)), key=lambda n: n.total, default=body)
     if best is body:
-        return body, {body}
-    if best.total <= 0:
+        # An article with most of the text goes before what stands beside it.
+        main = [n for n in page.nodes if n.tag in ("article", "main") and _plain(n, 0.0) and 2 * n.chars >= body.chars]
+        if not main:
+            return body, {body}
+        best = max(main, key=lambda n: n.total)
+    elif best.total <= 0:
         return body, {body}
     threshold, up = best.density, best
     while up is not None:
@@ -303,24 +333,91 @@ def _selected(page: _Page) -> tuple[_Node, set[_Node]]:
             if up.tag == "article":
                 break
         up = up.parent
+    if frame is not None and frame.tag == "main":
+        held = [n for n in page.nodes if n.tag == "article" and _plain(n, 0.0) and _holds(frame, n)]
+        largest = max(held, key=lambda n: n.chars, default=frame)
+        frame = largest if 2 * largest.chars >= frame.chars else frame
     if frame is not None:
-        return frame, {frame}
+        return _widened(frame, threshold)
     # Else whatever is as dense as the sparsest element on the body's path.
     dense = {best}
     for node in page.nodes:
         if node.out or node is body or node is page.root:
             continue
-        if node.parent in dense or node.density >= threshold and node.chars and 2 * node.link_chars < node.chars:
+        # A heading is no text of its own: it goes with what it stands over.
+        if node.parent in dense or node.tag not in HEADINGS and _plain(node, threshold):
             dense.add(node)
     return body, dense
 
 
+def _plain(node: _Node, threshold: float) -> bool:
+    return not node.out and node.chars > 0 and node.density >= threshold and 2 * node.link_chars < node.chars
+
+
+def _widened(frame: _Node, threshold: float) -> tuple[_Node, set[_Node]]:
+    """The article's frame, or the main element around it if more of that is dense.
+
+    Other articles there, and text before the article (a title, a lead), belong
+    to the page's text where they are as dense as the path to the body.
+    """
+    main = frame.parent
+    while main is not None and main.tag != "main":
+        main = main.parent
+    if frame.tag != "article" or main is None:
+        return frame, {frame}
+    dense, before, work = {frame}, True, list(reversed(main.children()))
+    while work:
+        node = work.pop()
+        if node is frame:
+            before = False
+        elif node.out:
+            continue
+        elif _holds(node, frame):
+            work.extend(reversed(node.children()))
+        elif node.tag == "article" or before and node.tag in BLOCK and node.tag not in HEADINGS:
+            if _plain(node, threshold):
+                dense.add(node)
+        elif node.tag in BLOCK:
+            work.extend(reversed(node.children()))
+    return (main, dense) if len(dense) > 1 or _titled(main, frame) else (frame, {frame})
+
+
+def _holds(node: _Node, inner: _Node) -> bool:
+    while inner is not None and inner is not node:
+        inner = inner.parent
+    return inner is node
+
+
+def _titled(main: _Node, frame: _Node) -> bool:
+    """Whether a heading stands before the article on its path within main."""
+    up = frame
+    while up is not main:
+        for node in up.parent.children():
+            if node is up:
+                break
+            if node.tag in HEADINGS and not node.out:
+                return True
+        up = up.parent
+    return False
+
+
+def _headed(frame: _Node, dense: set[_Node]) -> set[_Node]:
+    """Elements that hold something taken: their own headings are taken, too."""
+    holding = set()
+    for node in dense:
+        while node is not None and node not in holding:
+            holding.add(node)
+            node = node.parent if node is not frame else None
+    return holding
+
+
 def main_text(html: str | None) -> str:
     """The article of one page; empty if it has none."""
     page = _parsed(html or "")
     _measure(page)
     frame, dense = _selected(page)
     whole = frame in dense
+    holding = _headed(frame, dense)
     out: list[str] = []
     work: list = [(frame, whole)]
     while work:
@@ -334,7 +431,7 @@ def main_text(html: str | None) -> str:
             continue
         if part.out:
             continue
-        taken = taken or part in dense or part.tag in HEADINGS
+        taken = taken or part in dense or part.tag in HEADINGS and part.parent in holding
         if part.tag in BLOCK or part.tag == "br":
             out.append(" ")
             work.append((None, False))
