@@ -177,7 +177,9 @@ def capped_picks(candidate_rows: DataFrame, settings: Settings = DEFAULTS) -> Da
     than what is left can never be picked and is filtered out first. Every
     round with a full block picks at least one file, so the file cap also
     bounds the rounds. Results are whole for any number of files per host.
-    Rows are read once per round, so pass a stored or checkpointed table.
+    A round leaves what it could still pick behind: files of hosts that are not
+    done, after the last one seen, no larger than what is left. Only these
+    survivors are read by the next round.
     """
     cap = int(settings.max_gb_per_run * S.GIB)
     most = settings.max_files_per_run
@@ -193,10 +195,8 @@ def capped_picks(candidate_rows: DataFrame, settings: Settings = DEFAULTS) -> Da
             (F.struct(*_ORDER) > F.struct(*[F.col(f"last_seen.{name}") for name in _ORDER]))
             & (F.col("size_bytes") <= F.lit(cap) - F.col("freed"))
         )
-        block = top_per_key(
-            ahead.select("host_id", *_ORDER, "size_bytes"), ["host_id"], order, ROUND_FILES
-        )
-        state = cut_lineage(_fold(block, left, cap, most))
+        pool = cut_lineage(ahead.select("host_id", *_ORDER, "size_bytes"))
+        state = cut_lineage(_fold(top_per_key(pool, ["host_id"], order, ROUND_FILES), left, cap, most))
         rounds.append(state)
     every = reduce(DataFrame.unionByName, rounds)
     return every.groupBy("host_id").agg(
