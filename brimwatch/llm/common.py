@@ -188,6 +188,7 @@ def _letters() -> np.ndarray:
 
 _LETTER = _letters()
 _powers: dict[str, np.ndarray] = {}
+REMEMBERED.append(_powers.clear)
 
 
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:

@@ -64,7 +64,9 @@ class _Text:
 
     def __init__(self, texts: list[str | None]):
         plain = [" " + _NOT_LETTERS.sub(" ", t.lower()).strip() + " " if t else " " for t in texts]
-        self.letters = np.array([len(p) - p.count(" ") for p in plain], dtype=np.int64)
+        # Number signs such as halves and squares are kept in words but are no letters.
+        lettered = [any(c.isalpha() for c in p) for p in plain]
+        self.letters = np.array([(len(p) - p.count(" ")) * b for p, b in zip(plain, lettered, strict=True)], dtype=np.int64)
         raw = "".join(plain).encode("utf-32-le", "surrogatepass")
         self.points = np.frombuffer(raw, dtype="<u4").astype(np.uint64)
         self.owner = np.repeat(np.arange(len(plain), dtype=np.int32), [len(p) for p in plain])

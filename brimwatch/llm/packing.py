@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from brimwatch.llm.common import running, stage
-from brimwatch.llm.tokens import encoded, public_path
+from brimwatch.llm.tokens import BATCH_BYTES, encoded, public_path
 
 #: Longest sequence; a power of two.
 LONGEST = 4096
@@ -42,11 +42,14 @@ def _layout(totals: np.ndarray, longest: int) -> tuple[np.ndarray, np.ndarray, n
     return owner, ends - length - np.concatenate(([0], np.cumsum(totals)[:-1]))[owner], length
 
 
-def pieces(docs: DataFrame, path: str | None = None, longest: int = LONGEST, end: int = END) -> DataFrame:
+def pieces(
+    docs: DataFrame, path: str | None = None, longest: int = LONGEST, end: int = END, batch_bytes: int = BATCH_BYTES
+) -> DataFrame:
     """One row per piece: doc_id, start, length, doc_tokens, and its ids as little-endian unsigned 32-bit.
 
     A null or empty text has the end id alone. Texts of any length are encoded
     whole; other columns are not read, and repeated rows are packed each.
+    ``batch_bytes`` of text are encoded at a time: fewer need less memory.
     """
     if longest & (longest - 1):
         raise ValueError("the longest sequence must be a power of two")
@@ -54,7 +57,7 @@ def pieces(docs: DataFrame, path: str | None = None, longest: int = LONGEST, end
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece, ids, offsets in encoded(batches, path, end):
+        for piece, ids, offsets in encoded(batches, path, end, batch_bytes):
             totals = np.diff(offsets)
             owner, start, length = _layout(totals, longest)
             data = ids.astype("<u4").tobytes()
@@ -86,9 +89,11 @@ def sequences(parts: DataFrame) -> DataFrame:
     return placed.drop("shortness").withColumn("offset", F.lit(0).cast("long"))
 
 
-def pack(docs: DataFrame, path: str | None = None, longest: int = LONGEST) -> DataFrame:
+def pack(
+    docs: DataFrame, path: str | None = None, longest: int = LONGEST, batch_bytes: int = BATCH_BYTES
+) -> DataFrame:
     """Pieces with sequence numbers and a checksum of their ids; see ``pieces`` for the ids themselves."""
-    thin = pieces(docs, path, longest).select(
+    thin = pieces(docs, path, longest, batch_bytes=batch_bytes).select(
         "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens"
     )
     return sequences(thin).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")

@@ -143,11 +143,11 @@ def loaded(path: str) -> TokenIds:
 
 
 def encoded(
-    batches: Iterator[pa.RecordBatch], path: str, end: int
+    batches: Iterator[pa.RecordBatch], path: str, end: int, batch_bytes: int = BATCH_BYTES
 ) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Pieces of batches with their ids and offsets, ``end`` after the last id of each text."""
     known = loaded(path)
     for batch in batches:
-        for piece in slices(batch, "text", BATCH_BYTES):
+        for piece in slices(batch, "text", batch_bytes):
             ids, offsets = known.of(piece.column("text"))
             yield piece, np.insert(ids, offsets[1:], end), offsets + np.arange(len(offsets))
