@@ -42,6 +42,11 @@ def test_bit_slices_beyond_one_word():
     assert got == ["l03", "und", "l00"] and score.tolist() == [0.5, 0.0, 0.0]
 
 
+def test_number_signs_are_no_letters():
+    filters = language.Filters(["en"], [np.zeros(1 << 20, np.uint8)], np.zeros(1), 0)
+    assert language.decide(["½ ² ③", "Ⅷ ٣", "word ½"], filters, language.Shape())[0] == ["und", "und", "en"]
+
+
 def test_toxicity_catches_labelled_rows(spark, data):
     docs = spark.read.parquet(f"{data}/documents.parquet")
     insults = ["blorfig", "snarkel", "grumpit"]

@@ -200,3 +200,16 @@ def test_stages_on_messy_rows(spark, messy, nothing, data):
     assert corpus_pipeline.known_language(spark, messy, data).where("doc_id IN (6, 7, 8, 12)").count() == 0
     near = corpus_pipeline.keep_near(spark, messy, data)
     assert near.where("doc_id IN (9, 10)").count() == 1
+
+
+def test_packing_does_not_depend_on_the_batch(messy):
+    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
+    rows = [sorted(map(str, packing.pack(messy, batch_bytes=b).select(*names).collect())) for b in (1 << 22, 100)]
+    assert rows[0] == rows[1] and len(rows[0]) > 16
+
+
+def test_the_pipeline_keeps_a_corpus_without_languages(spark, messy):
+    docs = messy.select("doc_id", "text")
+    kept = corpus_pipeline.known_language(spark, docs, "")
+    want = [r.doc_id for r in docs.collect() if r.text and any(c.isalpha() for c in r.text)]
+    assert sorted(map(str, (r.doc_id for r in kept.collect()))) == sorted(map(str, want))
