@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import hashlib
 import random
+from bisect import bisect_left
 from collections import Counter, defaultdict
+from functools import cache
 
 import numpy as np
 import pytest
@@ -24,6 +26,7 @@ def whole():
     b = SentencePieceProcessor(model_file=public_path("piece_bpe_32k.model"))
     value = {c: i for i, c in enumerate(byte_characters())}
 
+    @cache
     def bytes_b(i):
         return bytes([int(b.id_to_piece(i)[3:5], 16)]) if b.is_byte(i) else b.id_to_piece(i).replace("▁", " ").encode()
 
@@ -51,10 +54,12 @@ def brute(rows, tokens):
             ends.append(at)
         links = [(x, y) for e in ends[0] for x in ends[0][e] for y in ends[1].get(e, ())]
         count.update(links)
-        shared, groups = sorted(set(ends[0]) & set(ends[1])), []
-        for low, high in zip([0, *shared], shared, strict=False):
-            part = [[i for e in sorted(at) if low < e <= high for i in at[e]] for at in ends]
-            groups.append("|".join(",".join(map(str, p)) for p in part))
+        shared = sorted(set(ends[0]) & set(ends[1]))
+        parts = [([], []) for _ in shared]
+        for side in (0, 1):
+            for e in sorted(ends[side]):
+                parts[bisect_left(shared, e)][side].extend(ends[side][e])
+        groups = ["|".join(",".join(map(str, p)) for p in part) for part in parts]
         made.append((key, len(one), len(two), ";".join(groups), links))
     best = Counter()
     for (_, y), n in count.items():
