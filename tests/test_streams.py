@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from brimwatch.operators import fleet, latest
+from brimwatch.sources import sample
 from brimwatch.streaming import jobs
 
 T0 = datetime(2026, 4, 1)
@@ -91,3 +92,18 @@ def test_scoring_follows_the_batches(spark, source, tmp_path):
     finish(jobs.scored(stream(spark, folder), counted, lambda: rows, str(tmp_path / "t"), str(tmp_path / "c")))
     got = jobs.read_scores(spark, str(tmp_path / "t")).select("host_id", "n")
     assert {tuple(r) for r in got.collect()} == {tuple(r) for r in counted(rows).collect()}
+
+
+def test_sample_streams_read_files_and_folders(spark, tmp_path):
+    one, many = str(tmp_path / "one"), str(tmp_path / "many")
+    rows = spark.createDataFrame([(i, f"mail a{i}@b.io", i % 2) for i in range(10)], "doc_id long, text string, part int")
+    rows.repartition(3).write.partitionBy("part").parquet(f"{many}/documents.parquet")
+    rows.coalesce(1).write.parquet(f"{one}/written")
+    (file,) = (tmp_path / "one" / "written").glob("part-*.parquet")
+    (tmp_path / "one" / "documents.parquet").write_bytes(file.read_bytes())
+    for name, folder in (("one", one), ("many", many)):
+        table = str(tmp_path / f"{name}-redacted")
+        texts = sample.stream(spark, folder, "documents")
+        finish(jobs.redacted(texts, ["text"], table, str(tmp_path / f"{name}-state")))
+        got = {(r.doc_id, r.text, r.part) for r in spark.read.parquet(table).collect()}
+        assert got == {(i, "mail [REDACTED:EMAIL]", i % 2) for i in range(10)}
