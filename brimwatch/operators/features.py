@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from brimwatch.config import DEFAULTS, Settings
 from brimwatch.functions.scalar import hours_between
 from brimwatch.operators.percentiles import exact_percentiles
-from brimwatch.operators.skew import series_context
+from brimwatch.operators.skew import by_length, series_context
 from brimwatch.schemas import SERIES_KEY
 
 # Feature names, in model input order.
@@ -30,10 +31,15 @@ def series_features(
 def series_summary(rows: DataFrame, keys=SERIES_KEY, settings: Settings = DEFAULTS) -> DataFrame:
     """AG1-AG10, AG17 of samples in their series order: features and ``step_minutes``.
 
-    One pass of mergeable aggregates: samples were shuffled once on (key, time
-    slice), and partial states per key are combined. The exact percentiles of
-    values and distances are searched besides, over counts per distinct value.
+    One pass of mergeable aggregates: samples were shuffled once, and partial
+    states per key are combined. Short series rank their values and distances in
+    the same pass, for exact percentiles; those of hot series are searched
+    besides, over counts per distinct value.
     """
+    return by_length(rows, lambda part, hot: _summary(part, list(keys), settings, hot))
+
+
+def _summary(rows: DataFrame, keys: list[str], settings: Settings, hot: bool) -> DataFrame:
     t = hours_between(F.col("ts"), F.col("first_ts"))
     t_last = hours_between(F.col("last_ts"), F.col("first_ts"))
     y = F.col("value")
@@ -49,7 +55,7 @@ def series_summary(rows: DataFrame, keys=SERIES_KEY, settings: Settings = DEFAUL
             F.abs(y - F.col("prev_value")),
         ).alias("jump"),
     )
-    totals = rows.groupBy(*keys).agg(
+    sums = [
         F.count("*").alias("n"),
         F.count_if("recent").alias("n_recent"),
         F.avg("y").alias("mean"),
@@ -62,9 +68,13 @@ def series_summary(rows: DataFrame, keys=SERIES_KEY, settings: Settings = DEFAUL
         F.var_pop("t").alias("var_t"),
         F.max("jump").alias("jump"),
         F.max_by("y", "ts").alias("current"),
-    )
+    ]
     ends = {"y_p10": ("y", 0.1), "y_p90": ("y", 0.9), "gap_p50": ("gap", 0.5)}
-    totals = _with(totals, _percentiles(rows.withColumn("gap", _gap()), keys, ends), keys)
+    rows = rows.withColumn("gap", _gap())
+    if hot:
+        totals = _with(rows.groupBy(*keys).agg(*sums), _percentiles(rows, keys, ends), keys)
+    else:
+        totals = _ranked(rows, keys, ends, sums)
     slope = F.coalesce(F.col("fit"), F.lit(0.0))
     recent = F.when(F.col("n_recent") >= 2, F.coalesce(F.col("fit_recent"), F.lit(0.0))).otherwise(
         slope
@@ -96,6 +106,34 @@ def _gap() -> Column:
     return F.unix_micros("ts") - F.unix_micros("prev_ts")
 
 
+def _ranked(rows: DataFrame, keys, wanted: dict[str, tuple[str, float]], sums=()) -> DataFrame:
+    """``sums`` and percentiles (as in ``_percentiles``) of short series, by their values in order."""
+    whole = W.partitionBy(*keys)
+    ends = []
+    for column in sorted({column for column, _ in wanted.values()}):
+        # -0.0 and 0.0 are one value; NaN does not count.
+        number = F.col(column).cast("double") + F.lit(0.0)
+        number = F.when(~F.isnan(number), number)
+        rows = rows.withColumn(f"_v_{column}", number).withColumns(
+            {
+                f"_n_{column}": F.count(f"_v_{column}").over(whole),
+                f"_at_{column}": F.row_number().over(whole.orderBy(F.col(f"_v_{column}").asc_nulls_last())) - 1,
+            }
+        )
+    for name, (column, p) in wanted.items():
+        at = F.lit(float(p)) * (F.col(f"_n_{column}") - 1)
+        for end, f in (("low", F.floor), ("high", F.ceil)):
+            met = F.col(f"_at_{column}") == f(at)
+            ends.append(F.max(F.when(met, F.col(f"_v_{column}"))).alias(f"_{end}_{name}"))
+        ends.append(F.max(at - F.floor(at)).alias(f"_part_{name}"))
+    found = rows.groupBy(*keys).agg(*sums, *ends)
+    between = {}
+    for name in wanted:
+        low, high, part = (F.col(f"_{end}_{name}") for end in ("low", "high", "part"))
+        between[name] = F.when(low == high, low).otherwise((F.lit(1.0) - part) * low + part * high)
+    return found.withColumns(between).drop(*(f"_{end}_{name}" for name in wanted for end in ("low", "high", "part")))
+
+
 def _percentiles(rows: DataFrame, keys, wanted: dict[str, tuple[str, float]]) -> DataFrame:
     """Percentiles of several columns by one search: name -> (column, fraction)."""
     columns = sorted({column for column, _ in wanted.values()})
@@ -131,5 +169,13 @@ def sample_period(telemetry: DataFrame, keys=SERIES_KEY) -> DataFrame:
 
 def period_of(rows: DataFrame, keys=SERIES_KEY) -> DataFrame:
     """AG17 over rows that already carry ``prev_ts``."""
-    gaps = _percentiles(rows.withColumn("gap", _gap()), keys, {"gap_p50": ("gap", 0.5)})
-    return _with(rows.select(*keys).distinct(), gaps, keys).select(*keys, _step_minutes().alias("step_minutes"))
+    return by_length(rows, lambda part, hot: _periods(part, list(keys), hot))
+
+
+def _periods(rows: DataFrame, keys: list[str], hot: bool) -> DataFrame:
+    rows, wanted = rows.withColumn("gap", _gap()), {"gap_p50": ("gap", 0.5)}
+    if hot:
+        found = _with(rows.select(*keys).distinct(), _percentiles(rows, keys, wanted), keys)
+    else:
+        found = _ranked(rows, keys, wanted)
+    return found.select(*keys, _step_minutes().alias("step_minutes"))

@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from brimwatch.config import DEFAULTS, Settings
 from brimwatch.functions.scalar import clip, hours_between, plus_minutes
 from brimwatch.operators.features import period_of
-from brimwatch.operators.skew import series_context
+from brimwatch.operators.skew import by_length, series_context
 from brimwatch.schemas import SERIES_KEY
 
 DAY_MINUTES = 1440
@@ -193,8 +193,9 @@ def _segment(position: Column, n_rows: Column) -> Column:
 def trend_sums(rows: DataFrame, keys=SERIES_KEY, settings: Settings = DEFAULTS) -> DataFrame:
     """Product sums of every trend segment, one row per series with enough samples.
 
-    They are all the least-squares fit needs: at most 26 segments per series
-    leave the shuffle, whatever the number of samples.
+    They are all the least-squares fit needs: at most 26 segments per series,
+    whatever the number of samples. Those of short series are summed where their
+    samples are and never shuffled.
     """
     keys = list(keys)
     enough = rows.where(F.col("n_rows") >= settings.min_forecast_rows)
@@ -463,7 +464,8 @@ def solve_trends(
 
     fields = [T.StructField(name, base.schema[name].dataType) for name in kept]
     fields += [T.StructField(name, T.DoubleType()) for name in (*FORECAST_COLUMNS, FIT_GAP)]
-    solved = base.join(sums, keys, "left").mapInPandas(solve, T.StructType(fields))
+    # The side without sums, a few numbers per series, is the one that is hashed; the sums are not sorted.
+    solved = base.hint("shuffle_hash").join(sums, keys, "left").mapInPandas(solve, T.StructType(fields))
     gap = F.nanvl(F.col(FIT_GAP), F.lit(None).cast("double"))
     return solved.withColumn(FIT_GAP, gap).withColumn("converged", F.col(FIT_GAP) <= GAP)
 
@@ -471,4 +473,6 @@ def solve_trends(
 def piecewise_forecast(telemetry: DataFrame, keys=SERIES_KEY, settings: Settings = DEFAULTS) -> DataFrame:
     """FC1 with FC2-FC5. Piecewise-linear trend, daily seasonality, point estimates."""
     rows = series_context(telemetry, keys)
-    return solve_trends(period_of(rows, keys), trend_sums(rows, keys, settings), keys, settings)
+    return by_length(
+        rows, lambda part, _: solve_trends(period_of(part, keys), trend_sums(part, keys, settings), keys, settings)
+    )

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from brimwatch.config import DEFAULTS, Settings
 from brimwatch.functions.scalar import short_id
 from brimwatch.operators import anomaly
-from brimwatch.operators.features import period_of, series_features, series_summary
+from brimwatch.operators.features import series_features, series_summary
 from brimwatch.operators.fleet import cycle_stats
 from brimwatch.operators.forecast import (
     FORECAST_COLUMNS,
@@ -23,9 +23,10 @@ from brimwatch.operators.forecast import (
     straight_line,
     trend_sums,
 )
-from brimwatch.operators.skew import series_context
+from brimwatch.operators.skew import by_length, series_context
 from brimwatch.operators.trigger import with_trigger
 from brimwatch.schemas import DAY, PREDICTIONS, SERIES_KEY
+from brimwatch.session import cut_lineage
 from brimwatch.sources.scans import trailing
 from brimwatch.sources.sinks import insert_ignore
 
@@ -45,14 +46,17 @@ def score_series(
     anomaly score is 0.
     """
     keys = list(keys)
-    base = series_summary(rows, keys, settings)
-    if forecaster == "piecewise":
-        forecasts = solve_trends(base, trend_sums(rows, keys, settings), keys, settings)
-    elif forecaster == "seasonal":
-        grid = forecast_grid(seasonal_model(rows, period_of(rows, keys), keys), keys, settings)
-        forecasts = base.join(read_horizons(grid, keys, settings), keys)
-    else:
+
+    def forecast(part: DataFrame, _: bool) -> DataFrame:
+        base = series_summary(part, keys, settings)
+        if forecaster == "piecewise":
+            return solve_trends(base, trend_sums(part, keys, settings), keys, settings)
+        model = seasonal_model(part, base.select(*keys, "step_minutes"), keys)
+        return base.join(read_horizons(forecast_grid(model, keys, settings), keys, settings), keys)
+
+    if forecaster not in ("piecewise", "seasonal"):
         raise ValueError(f"unknown forecaster {forecaster!r}")
+    forecasts = by_length(rows, forecast)
     if model is None:
         scored = forecasts.withColumn("anomaly_score", F.lit(0.0))
     else:
@@ -103,7 +107,8 @@ def run_cycle(
         trailing(telemetry, as_of, settings.history_days), SERIES_KEY
     ).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        insert_ignore(score_series(rows, as_of, model, settings, forecaster), path, ["prediction_id"])
+        # Fixed, as the append reads them twice: for the days they touch and for the rows.
+        insert_ignore(cut_lineage(score_series(rows, as_of, model, settings, forecaster)), path, ["prediction_id"])
     finally:
         rows.unpersist()
     stored = spark.read.parquet(path).where(F.col(DAY) == F.lit(as_of.date()))

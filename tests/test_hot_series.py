@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from brimwatch.operators import features, gaps, skew
+from brimwatch.operators import features, forecast, gaps, skew
 from brimwatch.operators.percentiles import exact_percentiles
 
 T0 = datetime(2026, 2, 1)
@@ -127,3 +127,39 @@ def test_features_keep_no_map_per_series(spark, burst):
     row = out.where("host_id = 'hot'").first()
     values = [r.in_use_pct for r in burst.where("host_id = 'hot'").select("in_use_pct").collect()]
     assert row.p90_minus_p10 == pytest.approx(np.percentile(values, 90) - np.percentile(values, 10), abs=1e-9)
+
+
+def exchanges(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+def test_short_series_are_shuffled_once(spark, burst):
+    short = burst.where("host_id <> 'hot'")
+    assert exchanges(features.series_features(short)) == 1
+    # Once for the period and once for the product sums, which are not shuffled themselves.
+    assert exchanges(forecast.piecewise_forecast(short)) == 2
+
+
+def test_short_and_hot_series_by_either_way(spark, burst, monkeypatch):
+    rows = burst.where("host_id <> 'hot' OR in_use_pct < 20")
+
+    def work():
+        return [features.series_features(rows), forecast.piecewise_forecast(rows), forecast.seasonal_forecast(rows)]
+
+    want = [{r.host_id: r.asDict() for r in df.collect()} for df in work()]
+    monkeypatch.setattr(skew, "WHOLE_ROWS", 100)  # every series is a hot one
+    for old, df in zip(want, work(), strict=True):
+        got = {r.host_id: r.asDict() for r in df.collect()}
+        assert set(got) == set(old) and len(old) == 41
+        for host, row in got.items():
+            for name, value in row.items():
+                if name not in ("host_id", "device", "fit_gap"):
+                    assert value == pytest.approx(old[host][name], rel=1e-6, abs=1e-6), (host, name)
+
+
+def test_samples_without_a_host_are_a_series(spark):
+    rows = [(h, T0 + timedelta(minutes=i), float(i)) for h in (None, "a") for i in range(40)]
+    df = spark.createDataFrame(rows, "host_id string, ts timestamp, in_use_pct double")
+    for limit in (None, 10):  # by windows, by slices
+        got = skew.series_context(df, ["host_id"], limit=limit).groupBy("host_id").agg(F.max("position").alias("p"))
+        assert {r.host_id: r.p for r in got.collect()} == {None: 39, "a": 39}
