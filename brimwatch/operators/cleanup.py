@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from brimwatch.config import DEFAULTS, Settings
 from brimwatch.functions import scalar as S
-from brimwatch.operators.skew import skew_join, top_per_key
+from brimwatch.operators.skew import lookup, skew_join, top_per_key
 from brimwatch.session import cut_lineage
 
 
@@ -107,8 +107,11 @@ def rule_matches(
 def candidates(
     files: DataFrame, hosts: DataFrame, as_of: datetime, playbooks: Playbooks = PLAYBOOKS
 ) -> DataFrame:
-    """CLN2, WIN5. Each matching file once, under its first matching rule."""
-    rows = with_host_rules(files, hosts, as_of, playbooks)
+    """CLN2, WIN5. Each matching file once, under its first matching rule.
+
+    Files that match no rule of any host are dropped before they meet the hosts.
+    """
+    rows = with_host_rules(files.where(_may_match(as_of, playbooks)), hosts, as_of, playbooks)
     first = reduce(lambda a, b: F.coalesce(a, b), _rule_structs(playbooks))
     return (
         rows.withColumn("_hit", first)
@@ -120,6 +123,15 @@ def candidates(
     )
 
 
+def _may_match(as_of: datetime, playbooks: Playbooks) -> Column:
+    """Whether name and age of a file match some rule of any playbook, whatever its host."""
+    rules = [rule for some in playbooks.values() for rule in some]
+    names = "|".join(f"(?:{S.glob_regex(glob)})" for glob in sorted({rule.glob for rule in rules}))
+    least = min(max(1, int(rule.min_age_days)) for rule in rules)
+    age = S.age_days(F.lit(as_of), F.col("mtime"))
+    return S.basename(F.col("path")).rlike(names) & (F.floor(age) >= least)
+
+
 def _passes_guards(settings: Settings) -> Column:
     return S.is_under(F.col("path"), F.col("monitored_path")) & (
         F.col("age_days") * 24 >= settings.min_file_age_hours
@@ -223,14 +235,15 @@ def cleanup_plan(
     chosen = picks.select("host_id", F.explode("picks").alias("_pick")).select(
         "host_id", F.col("_pick.path").alias("path"), F.lit(True).alias("_chosen")
     )
-    ends = picks.select(
+    # Only where the file cap was reached does the end of the walk tell anything.
+    ends = picks.where(F.col("files_deleted") >= settings.max_files_per_run).select(
         "host_id",
         F.col("bytes_freed").alias("_freed"),
         F.col("files_deleted").alias("_taken"),
         F.try_element_at("picks", F.lit(-1)).alias("_last"),
     )
     marked = skew_join(
-        rows.join(chosen, ["host_id", "path"], "left"), ends, ["host_id"], "left", spread=["path"]
+        rows.join(chosen, ["host_id", "path"], "left"), lookup(ends), ["host_id"], "left", spread=["path"]
     )
     cap = int(settings.max_gb_per_run * S.GIB)
     after_last = F.struct(*_ORDER) > F.struct(*[F.col(f"_last.{name}") for name in _ORDER])

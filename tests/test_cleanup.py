@@ -96,3 +96,16 @@ def test_totals_and_rule_pairs(spark):
     pairs = cleanup.rule_matches(df, hosts, NOW)
     first = pairs.groupBy("host_id", "path").agg(F.min("rule_no").alias("rule_no"))
     assert {tuple(r) for r in first.collect()} == {(r.host_id, r.path, r.rule_no) for r in plan.collect()}
+
+
+def test_unmatched_files_are_not_shuffled(spark):
+    """Files that match no rule of any host are dropped below the join, and the walk's end is joined where it matters only."""
+    files = [("web", f"/var/log/live{i}.db", 10, NOW - timedelta(days=99)) for i in range(50)]
+    files += [("web", f"/var/log/a.log.{i}", 10, NOW - timedelta(days=99)) for i in range(3)]
+    df = spark.createDataFrame(files, "host_id string, path string, size_bytes long, mtime timestamp")
+    hosts = spark.createDataFrame([("web", "/var/log", "web")], "host_id string, monitored_path string, role string")
+    plan = cleanup.candidates(df, hosts, NOW)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Filter" in plan[plan.index("Join"):] and "RLIKE" in plan[plan.index("Join"):]
+    settings = Settings(max_files_per_run=2)
+    got = {r.path: r.action for r in cleanup.cleanup_plan(df, hosts, NOW, settings).collect()}
+    assert sorted(got.values()) == ["delete", "delete", "skip_file_cap"]
