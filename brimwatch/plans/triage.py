@@ -14,7 +14,7 @@ from brimwatch.functions.scalar import fixed, short_id
 from brimwatch.operators import cleanup, context, decision, tickets
 from brimwatch.operators.latest import latest_predictions
 from brimwatch.operators.retrieve import cosine_top_k
-from brimwatch.operators.skew import skew_join
+from brimwatch.operators.skew import FULL_ROWS, lookup
 from brimwatch.schemas import RUNS
 from brimwatch.session import cut_lineage
 from brimwatch.sources.sinks import link_tickets
@@ -26,9 +26,20 @@ def triggered_context(hosts: DataFrame, predictions: DataFrame) -> DataFrame:
     return hosts.join(newest, "host_id")
 
 
-def redacted_listing(files: DataFrame, as_of: datetime) -> DataFrame:
-    """SRC8, RED16, CTX1. Listing text per host with redacted paths and their counts."""
-    listed = R.redact(context.largest_files(files, as_of), ["path"])
+def redacted_listing(files: DataFrame, as_of: datetime, asking: DataFrame | None = None) -> DataFrame:
+    """SRC8, RED16, CTX1. Listing text per host, or per host of ``asking``, with redacted paths and their counts.
+
+    Few hosts that ask are broadcast, and files of others dropped before any
+    ranking. Otherwise files are ranked first, since the map tasks then keep only
+    the largest ones of each host, and the shuffle serves the join as well.
+    """
+    few = asking is not None and asking.count() <= FULL_ROWS
+    if few:
+        files = files.join(F.broadcast(asking), "host_id", "left_semi")
+    largest = context.largest_files(files, as_of)
+    if asking is not None and not few:
+        largest = largest.join(asking, "host_id", "left_semi")
+    listed = R.redact(largest, ["path"])
     return context.file_listing(
         listed,
         R.merged_counts(F.col("redactions")).alias("file_redactions"),
@@ -61,9 +72,9 @@ def prompts(
     """CTX3. One prompt per triggered host, ready for batch inference.
 
     ``query_vectors`` holds host_id, query_id and embedding: the vector of the
-    host's query text. Hosts with the same query share one search. Files and
-    queries of other hosts are dropped before any ranking, and only documents
-    that were found are redacted.
+    host's query text. Hosts with the same query share one search. Queries of
+    other hosts are dropped before any ranking, and only documents that were
+    found and files that are listed are redacted.
     """
     rows = triggered_context(hosts, predictions).withColumn("query_text", context.query_text())
     rows = cut_lineage(rows)
@@ -72,8 +83,7 @@ def prompts(
     wanted = asked.select("host_id", "query_id")
     searched = asked.groupBy("query_id").agg(F.any_value("embedding").alias("embedding"))
     docs = redacted_docs(searched, corpus)
-    listed = skew_join(files, asking, ["host_id"], "left_semi", ["path"])
-    listing = redacted_listing(listed, as_of)
+    listing = redacted_listing(files, as_of, asking)
     joined = (
         rows.join(listing, "host_id", "left")
         .join(wanted, "host_id", "left")
@@ -148,9 +158,9 @@ def resolve(
     decided = decided.drop("prompt", "doc_context", "file_listing", "raw")
     decided = cut_lineage(decided.withColumn("run_id", short_id("run-", F.col("host_id"), F.col("prediction_id"))))
     acting = decided.where(decision.runs_cleanup()).select("host_id", "run_id")
-    plan = cleanup.cleanup_plan(
-        files, hosts.join(acting, "host_id", "left_semi"), files_as_of or as_of, settings
-    )
+    # Few hosts with a clean-up are broadcast, and files of others not shuffled.
+    owners = lookup(hosts.join(acting, "host_id", "left_semi"))
+    plan = cleanup.cleanup_plan(files, owners, files_as_of or as_of, settings)
     plan = cut_lineage(plan.join(acting, "host_id"))
     outcome = cleanup.plan_totals(plan).select("host_id", "bytes_freed", "files_deleted")
     moment = F.lit(as_of)

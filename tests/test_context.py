@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from brimwatch.operators import context, retrieve
+from brimwatch.plans import triage
 
 NOW = datetime(2026, 5, 1)
 
@@ -145,3 +146,17 @@ def test_answers_must_be_strict_json(spark):
     got = {r.id: r for r in context.parse_answers(spark.createDataFrame(rows, "id int, raw string")).collect()}
     assert [got[i].parsed for i in (1, 2, 3, 4)] == [False, False, True, True]
     assert [got[i].self_confidence for i in (1, 2, 3, 4)] == [0.0, 0.0, 1.0, 0.9]
+
+
+def test_files_of_many_hosts_are_ranked_before_the_join(spark, monkeypatch):
+    rows = [(f"h{h}", f"/x/{i}", i * 7 % 83, datetime(2026, 1, 1)) for h in range(4) for i in range(70)]
+    files = spark.createDataFrame(rows, "host_id string, path string, size_bytes long, mtime timestamp")
+    asking = spark.createDataFrame([("h1",), ("h3",), ("none",)], "host_id string")
+    now = datetime(2026, 3, 1)
+    few = triage.redacted_listing(files, now, asking)
+    monkeypatch.setattr(triage, "FULL_ROWS", 0)
+    many = triage.redacted_listing(files, now, asking)
+    got = {r.host_id: r.asDict() for r in many.collect()}
+    assert set(got) == {"h1", "h3"} and got == {r.host_id: r.asDict() for r in few.collect()}
+    plan = many._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" in plan[plan.index("LeftSemi"):]
