@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 import json
-import re
-from collections.abc import Iterator
-from itertools import chain
+from collections.abc import Callable, Iterable, Iterator
+from itertools import chain, compress, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +18,7 @@ REMEMBERED = 400_000
 #: Bytes of text that are looked up at a time; more text repeats more words.
 BATCH_BYTES = 4 << 20
 #: Words whose normal form is plain lower-casing: Latin letters, then at most one full stop or comma.
-LATIN_WORD = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]?)").fullmatch
+LATIN_WORD, LATIN_STEM, MARKS = r"^[A-Za-zÀ-ÖØ-öø-ÿ]+[.,]?$", r"^[a-zß-öø-ÿ]+$", [".", ","]
 
 
 def byte_characters() -> list[str]:
@@ -35,6 +34,20 @@ def public_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def _flat(lists: Iterable[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Lists of ids one after the other, and their lengths."""
+    lists = list(lists)
+    lengths = np.fromiter(map(len, lists), dtype=np.int64, count=len(lists))
+    return np.fromiter(chain.from_iterable(lists), dtype=np.uint32, count=int(lengths.sum())), lengths
+
+
+def _gather(ids: np.ndarray, at: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, ends) of the lists ids[at[i]:at[i + 1]] for i in ``row``, laid one after the other."""
+    first, count = at[row], at[row + 1] - at[row]
+    ends = np.concatenate(([0], np.cumsum(count)))
+    return ids[np.arange(ends[-1], dtype=np.int64) + np.repeat(first - ends[:-1], count)], ends
+
+
 class TokenIds:
     """Ids of texts, from a tokenizer that never joins across white space.
 
@@ -55,61 +68,102 @@ class TokenIds:
         # With these parts a Latin word is one piece for the model, in lower case and byte characters.
         self.direct = kinds == [["NFC", "Replace", "Lowercase"], ["Split", "ByteLevel"]]
         self.byte = byte_characters()
+        self.encode_words = (self._by_ranks(parts["model"]) if self.direct else None) or self._by_model
         self._forget()
 
     def _forget(self) -> None:
-        self.known: dict[str, int] = {}
-        self.at = np.zeros(1, dtype=np.int64)
+        # The first entry is the empty word, which has no ids.
+        self.known: dict[str, int] = {"": 0}
+        self.at = np.zeros(2, dtype=np.int64)
         self.ids = np.zeros(0, dtype=np.uint32)
+        self._add(MARKS, *self._whole(MARKS))
+
+    def _by_ranks(self, model: dict) -> Callable[[list[str]], tuple[np.ndarray, np.ndarray]] | None:
+        """A faster encoder of Latin words in lower case, for the same merges; none for other vocabularies.
 
-    def _add(self, new: list[str], encoded: list[list[int]]) -> None:
-        lengths = np.fromiter(map(len, encoded), dtype=np.int64, count=len(encoded))
-        flat = np.fromiter(chain.from_iterable(encoded), dtype=np.uint32, count=int(lengths.sum()))
-        self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
+        The end of a word is written as one more byte, zero, that no such word
+        has. Merging the pair whose token has the smallest id equals merging by
+        the list of merges if ids rise with that list, after all single bytes.
+        """
+        suffix, vocabulary = model.get("end_of_word_suffix"), model.get("vocab", {})
+        if model.get("type") != "BPE" or not suffix or model.get("dropout") or model.get("continuing_subword_prefix"):
+            return None
+        value = {c: b for b, c in enumerate(self.byte)}
+        ranks: dict[bytes, int] = {}
+        for token, i in vocabulary.items():
+            body = token.removesuffix(suffix)
+            if not all(c in value for c in body):
+                return None
+            ranks[bytes(value[c] for c in body) + b"\0" * (body != token)] = i
+        merges = [x if isinstance(x, list) else x.split(" ") for x in model["merges"]]
+        made = [vocabulary.get("".join(x), -1) for x in merges]
+        single = set(self.byte) | {c + suffix for c in self.byte}
+        if (
+            len(ranks) != len(vocabulary)
+            or not single <= vocabulary.keys()
+            or len(single) + len(made) != len(vocabulary)
+            or any(a >= b for a, b in pairwise([max(vocabulary[c] for c in single), *made]))
+        ):
+            return None
+        import tiktoken
+
+        own = tiktoken.Encoding("words", pat_str=r"[^\x00]+\x00", mergeable_ranks=ranks, special_tokens={})
+        last = np.zeros(max(ranks.values()) + 1, dtype=bool)
+        last[[i for token, i in ranks.items() if token.endswith(b"\0")]] = True
+
+        def encode(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+            ids = np.array(own.encode_ordinary("\0".join([*words, ""])), dtype=np.uint32)
+            return ids, np.diff(np.flatnonzero(last[ids]), prepend=-1)
+
+        return encode
+
+    def _by_model(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of Latin words in lower case, one after the other, and how many each has."""
+        ask, byte = self.tokenizer.model.tokenize, self.byte
+        return _flat(
+            [t.id for t in ask(w if w.isascii() else "".join([byte[b] for b in w.encode()]))] for w in words
+        )
+
+    def _add(self, new: list[str], flat: np.ndarray, lengths: np.ndarray) -> None:
+        start = len(self.at) - 1
+        self.known.update(zip(new, range(start, start + len(new)), strict=True))
         self.at = np.concatenate((self.at, self.at[-1] + np.cumsum(lengths)))
         self.ids = np.concatenate((self.ids, flat))
 
-    def _learn(self, new: list[str]) -> None:
-        """Encode distinct words not known so far.
+    def _whole(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        return _flat(e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False))
 
-        A Latin word is asked for once, in lower case and without its mark;
-        its other spellings are put together from that.
+    def _places(self, words: pa.Array) -> np.ndarray:
+        """Where distinct words are remembered; those that are not are encoded."""
+        if len(self.known) > REMEMBERED:
+            self._forget()
+        known, distinct = self.known, words.to_numpy(zero_copy_only=False).tolist()
+        new = [w for w in distinct if w not in known]
+        if self.direct:
+            plain = pc.match_substring_regex(pa.array(new, pa.large_string()), LATIN_STEM)
+            plain = plain.to_numpy(zero_copy_only=False).tolist()
+            if ask := list(compress(new, plain)):
+                self._add(ask, *self.encode_words(ask))
+            new = [w for w, latin in zip(new, plain, strict=True) if not latin]
+        if new:
+            self._add(new, *self._whole(new))
+        return np.fromiter(map(known.__getitem__, distinct), dtype=np.int64, count=len(distinct))
+
+    def _table(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, ends) of distinct words, one after the other.
+
+        A Latin word is looked up in lower case and without its mark, whose ids follow.
         """
-        rest, made = [], []
-        stems: dict[str, None] = {}
-        for word in new:
-            found = LATIN_WORD(word) if self.direct else None
-            if found is None:
-                rest.append(word)
-                continue
-            stem, mark = found[1].lower(), found[2]
-            stems[stem] = None
-            if stem != word:
-                made.append((word, stem, mark))
-                if mark:
-                    stems[mark] = None
-        ask, byte = self.tokenizer.model.tokenize, self.byte
-        stems = [w for w in stems if w not in self.known]
-        self._add(
-            stems,
-            [
-                [t.id for t in ask(w if w.isascii() else "".join([byte[b] for b in w.encode()]))]
-                for w in stems
-            ],
-        )
-        if rest:
-            self._add(rest, [e.ids for e in self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)])
-        if made:
-            at, known, ids = self.at.tolist(), self.known, self.ids
-            out = []
-            for _, stem, mark in made:
-                i = known[stem]
-                piece = ids[at[i] : at[i + 1]].tolist()
-                if mark:
-                    i = known[mark]
-                    piece += ids[at[i] : at[i + 1]].tolist()
-                out.append(piece)
-            self._add([word for word, _, _ in made], out)
+        if not self.direct:
+            return _gather(self.ids, self.at, self._places(words))
+        latin = pc.match_substring_regex(words, LATIN_WORD)
+        coded = pc.if_else(latin, pc.utf8_lower(pc.utf8_rtrim(words, ".,")), words).dictionary_encode()
+        row = np.zeros((len(words), 2), dtype=np.int64)
+        row[:, 0] = self._places(coded.dictionary)[coded.indices.to_numpy(zero_copy_only=False)]
+        for mark in MARKS:
+            row[pc.and_(latin, pc.ends_with(words, mark)).to_numpy(zero_copy_only=False), 1] = self.known[mark]
+        ids, ends = _gather(self.ids, self.at, row.ravel())
+        return ids, ends[::2]
 
     def of(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids, offsets): the ids of text i are ids[offsets[i]:offsets[i + 1]]. A null text has none."""
@@ -117,18 +171,10 @@ class TokenIds:
         starts = lists.offsets.to_numpy()
         coded = lists.values.slice(starts[0], starts[-1] - starts[0]).dictionary_encode()
         starts = starts - starts[0]
-        distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
-        if len(self.known) > REMEMBERED:
-            self._forget()
-        new = [w for w in distinct if w not in self.known]
-        if new:
-            self._learn(new)
-        place = np.fromiter(map(self.known.__getitem__, distinct), dtype=np.int64, count=len(distinct))
-        row = place[coded.indices.to_numpy(zero_copy_only=False)] if distinct else np.zeros(0, np.int64)
-        first, count = self.at[row], self.at[row + 1] - self.at[row]
-        ends = np.concatenate(([0], np.cumsum(count)))
-        flat = np.arange(ends[-1], dtype=np.int64) + np.repeat(first - ends[:-1], count)
-        return self.ids[flat], ends[starts]
+        if not len(coded):
+            return np.zeros(0, dtype=np.uint32), starts
+        ids, ends = _gather(*self._table(coded.dictionary), coded.indices.to_numpy(zero_copy_only=False))
+        return ids, ends[starts]
 
 
 _loaded: dict[str, TokenIds] = {}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 import zlib
 from collections import defaultdict
 
@@ -34,6 +35,27 @@ def test_ids_equal_the_tokenizer(tokenizer, spark, data):
         assert ids[at[i] : at[i + 1]].tolist() == ids_of(tokenizer, text)[:-1].tolist()
 
 
+def test_words_by_ranks_equal_the_model(monkeypatch):
+    """Latin words are encoded all at once, and as the tokenizer's own model does."""
+    from brimwatch.llm import tokens
+
+    known = TokenIds(public_path())
+    assert known.encode_words != known._by_model
+    draw = random.Random(4)
+    signs = "etaoinshrdluabcçéèñöß" + "ÿ"
+    words = sorted({"".join(draw.choice(signs) for _ in range(draw.randint(1, 24))) for _ in range(4000)})
+    for (one, two) in zip(known.encode_words(words), known._by_model(words), strict=True):
+        assert one.tolist() == two.tolist()
+    # Words that are forgotten in between, and other spellings, change nothing.
+    texts = [" ".join([w, w.title() + ".", w.upper() + ",", "", "3" + w, w + ".,"]) for w in words[:300] if "ß" not in w]
+    whole = [known.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    monkeypatch.setattr(tokens, "REMEMBERED", 50)
+    for k in range(0, len(texts), 7):
+        ids, at = known.of(pa.array(texts[k : k + 7]))
+        assert [ids[a:b].tolist() for a, b in zip(at, at[1:])] == whole[k : k + 7]
+
+
+
 @pytest.mark.parametrize("law", ["rows", "bytes"])
 def test_shards(spark, messy, nothing, law):
     same = spark.createDataFrame([(77, "copy")] * 300, "doc_id long, text string")  # one id on most rows
