@@ -41,6 +41,8 @@ REMEMBERED = 240_000
 REMEMBERED_KEY = 512
 #: Bytes of text that are aligned at a time.
 BATCH_BYTES = 2 << 20
+#: Windows that are worked out at a time.
+TOGETHER = 1 << 13
 #: Stands between the ids of the two tokenizers in a window's key; no id.
 _GAP = 0xFFFFFFFF
 _MARK = "▁"
@@ -215,39 +217,57 @@ class Windows:
     def __init__(self, vocabularies: Vocabularies):
         self.width = len(vocabularies.bytes_b)
         fits = len(vocabularies.bytes_a) * self.width <= 1 << 32
-        self.code, self.typecode = np.dtype("<u4" if fits else "<u8"), "I" if fits else "Q"
-        self.length_a, self.length_b = vocabularies.length_a.tolist(), vocabularies.length_b.tolist()
-        self.name = [str(i) for i in range(max(len(self.length_a), len(self.length_b)))]
+        self.code = np.dtype("<u4" if fits else "<u8")
+        self.length_a, self.length_b = vocabularies.length_a, vocabularies.length_b
+        self.ids = max(len(self.length_a), len(self.length_b))
+        #: An id inside a side of a group, as the last of A's side, as the last of the group.
+        self.said = [f"{i}{mark}" for mark in ",|;" for i in range(self.ids)]
         self.known = Memory()
 
-    def align(self, key: bytes) -> tuple[str, int, bytes]:
-        """(groups as text, number of groups, pair codes of the links) of one window."""
-        ids = memoryview(key).cast("I").tolist()
-        cut = ids.index(_GAP)
-        length_a, length_b, name, width = self.length_a, self.length_b, self.name, self.width
-        groups, codes, one, two = [], [], [], []
-        i = reach = end = 0
-        for b in ids[cut + 1 :]:
-            two.append(name[b])
-            end += length_b[b]
-            while reach < end:
-                a = ids[i]
-                i += 1
-                one.append(name[a])
-                reach += length_a[a]
-            if reach == end:
-                # Tokens have bytes, so exactly one of each side ends here: one link per group.
-                groups.append(f"{','.join(one)}|{','.join(two)}")
-                codes.append(a * width + b)
-                one, two = [], []
-        return ";".join(groups), len(groups), array(self.typecode, codes).tobytes()
+    def align(self, keys: list[bytes]) -> Iterator[tuple[str, int, bytes]]:
+        """(groups as text, number of groups, pair codes of the links) of each window."""
+        flat = np.frombuffer(b"".join(keys), "<u4")
+        owner = np.repeat(np.arange(len(keys)), [len(k) // 4 for k in keys])
+        gap = flat == _GAP
+        behind = np.arange(len(flat)) > np.flatnonzero(gap)[owner]
+        a, b = flat[~behind & ~gap], flat[behind]
+        # Both sides of a window have the same bytes, so windows laid end to end share their ends.
+        end_a, end_b = np.cumsum(self.length_a[a]), np.cumsum(self.length_b[b])
+        shared, last_a, last_b = np.intersect1d(end_a, end_b, assume_unique=True, return_indices=True)
+        # Tokens have bytes, so exactly one of each side ends there: one link per group.
+        codes = a[last_a].astype(self.code) * self.code.type(self.width) + b[last_b].astype(self.code)
+        counts = np.bincount(owner[~behind & ~gap][last_a], minlength=len(keys))
+        # Groups in turn, of each the tokens of A and then those of B, with what follows them.
+        size = np.diff(last_a, prepend=-1) + np.diff(last_b, prepend=-1)
+        first = np.cumsum(size) - size
+        written = np.empty(len(a) + len(b), dtype=np.int64)
+        at_a, at_b = np.searchsorted(shared, end_a), np.searchsorted(shared, end_b)
+        before_a, before_b = (np.concatenate(([0], x[:-1] + 1)) for x in (last_a, last_b))
+        place_a = first[at_a] + np.arange(len(a)) - before_a[at_a]
+        written[place_a] = a
+        place_b = first[at_b] + np.diff(last_a, prepend=-1)[at_b] + np.arange(len(b)) - before_b[at_b]
+        written[place_b] = b
+        written[place_a[last_a]] += self.ids
+        written[place_b[last_b]] += 2 * self.ids
+        said = list(map(self.said.__getitem__, written.tolist()))
+        raw = codes.tobytes()
+        groups = np.cumsum(counts)
+        ends = np.cumsum(size)[groups - 1].tolist()
+        stops = (groups * self.code.itemsize).tolist()
+        begin = start = 0
+        for end, stop, n in zip(ends, stops, counts.tolist(), strict=True):
+            yield "".join(said[begin:end])[:-1], n, raw[start:stop]
+            begin, start = end, stop
 
     def of(self, coded: pa.DictionaryArray) -> tuple[list[tuple[str, int, bytes]], list[int]]:
         """Alignments of the distinct windows, and the window at each place."""
         raw = coded.dictionary.buffers()[2].to_pybytes()
         cuts = np.frombuffer(coded.dictionary.buffers()[1], np.int64)[: len(coded.dictionary) + 1].tolist()
         keys = [raw[i:j] for i, j in zip(cuts, cuts[1:], strict=False)]
-        new = {k: self.align(k) for k in self.known.missing(set(keys))}
+        new, missing = {}, list(self.known.missing(set(keys)))
+        for i in range(0, len(missing), TOGETHER):
+            some = missing[i : i + TOGETHER]
+            new.update(zip(some, self.align(some), strict=True))
         self.known.update({k: x for k, x in new.items() if len(k) <= REMEMBERED_KEY})
         known = self.known
         return [known[k] if k in known else new[k] for k in keys], coded.indices.to_numpy().tolist()

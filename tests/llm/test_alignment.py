@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 from functools import cache
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from brimwatch.llm import alignment
@@ -124,3 +125,24 @@ def test_without_spaces_and_bound(whole):
     assert (n_a, n_b) == (len(a), len(b))
     ends = [np.cumsum([len(x) for _, x in side]) for side in (a, b)]
     assert groups == len(np.intersect1d(*ends))
+
+
+def test_windows_are_aligned_together(monkeypatch, whole):
+    """One pass over many windows gives what each of them gives alone."""
+    v = alignment.Vocabularies(public_path("byte_bpe_50k.json"), public_path("piece_bpe_32k.model"))
+    windows = alignment.Windows(v)
+    gap = np.array([alignment._GAP], "<u4").tobytes()
+    keys = []
+    for text in ("a", "unbelievable stories", "Zeitgeist", "x" * 50, "中文", "1234567", "naïve café"):
+        a, b = whole(text)
+        keys.append(np.array([i for i, _ in a], "<u4").tobytes() + gap + np.array([i for i, _ in b], "<u4").tobytes())
+    together = list(windows.align(keys))
+    assert together == [x for k in keys for x in windows.align([k])]
+    for key, (text, n, links) in zip(keys, together, strict=True):
+        assert len(links) == n * windows.code.itemsize and text.count("|") == n
+        flat = [int(i) for group in text.split(";") for i in group.split("|")[0].split(",")]
+        assert np.array(flat, "<u4").tobytes() == key.split(gap)[0]
+    monkeypatch.setattr(alignment, "TOGETHER", 3)
+    coded = pa.array(keys * 2, pa.large_binary()).dictionary_encode()
+    distinct, at = windows.of(coded)
+    assert [distinct[k] for k in at] == together * 2
