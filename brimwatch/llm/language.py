@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from brimwatch.llm.common import mix, seeds, slices, stage, start_afresh, unstage
+from brimwatch.llm.common import WORD_BYTES, mix, seeds, slices, stage, start_afresh, unstage
 from brimwatch.operators.skew import top_per_key
 
 #: Answer for texts without a letter.
@@ -91,7 +91,7 @@ def _counted(shape: Shape):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         start_afresh()
         for batch in batches:
-            for piece in slices(batch, "text"):
+            for piece in slices(batch, "text", WORD_BYTES):
                 langs = np.array(piece.column("lang").to_pylist(), dtype=object)
                 texts = piece.column("text").to_pylist()
                 for lang in set(langs):
@@ -217,7 +217,7 @@ def predict(docs: DataFrame, filters: Filters, shape: Shape = Shape(), keep: tup
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         start_afresh()
         for batch in batches:
-            for piece in slices(batch, "text"):
+            for piece in slices(batch, "text", WORD_BYTES):
                 langs, score = decide(piece.column("text").to_pylist(), shared.value, shape)
                 yield pa.RecordBatch.from_arrays(
                     [*(piece.column(c) for c in keep), pa.array(langs, pa.string()), pa.array(score)], names=names

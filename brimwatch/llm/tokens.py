@@ -11,7 +11,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 from brimwatch.llm.common import REMEMBERED as FORGET
-from brimwatch.llm.common import slices
+from brimwatch.llm.common import give_back, slices
 
 #: Distinct words a worker remembers; beyond that it forgets them all and goes on.
 REMEMBERED = 400_000
@@ -70,6 +70,8 @@ class TokenIds:
         self.byte = byte_characters()
         self.encode_words = (self._by_ranks(parts["model"]) if self.direct else None) or self._by_model
         self._forget()
+        del parts
+        give_back()  # the vocabulary as text, a multiple of what is kept of it
 
     def _forget(self) -> None:
         # The first entry is the empty word, which has no ids.

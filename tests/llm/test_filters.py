@@ -187,3 +187,20 @@ def test_trees_are_added_for_one_tight_topic(spark):
     shape = vectors.Forest(leaf=64, block=64, sample=2048)
     found = sum(r.n_links for r in vectors.near_vectors(df, shape).select("n_links").collect())
     assert 1000 < near.sum() and 0.93 * near.sum() <= found <= near.sum()
+
+
+def test_language_works_on_little_text_at_a_time(monkeypatch):
+    """Texts become arrays half a megabyte at a time, and a gram counts the same documents as before."""
+    import pyarrow as pa
+
+    from brimwatch.llm import common, language
+
+    seen, read = [], language._Text
+    monkeypatch.setattr(language, "_Text", lambda texts: seen.append(sum(map(len, texts))) or read(texts))
+    texts = [f"wort {i} " * 8000 for i in range(20)]
+    batch = pa.RecordBatch.from_pydict({"lang": ["de"] * 20, "text": texts})
+    rows = pa.Table.from_batches(list(language._counted(language.Shape())(iter([batch]))))
+    assert len(seen) > 1 and max(seen) <= common.WORD_BYTES
+    assert rows.column(3).to_numpy().max() <= 20 and rows.group_by(rows.column_names[:3]).aggregate(
+        [(rows.column_names[3], "sum")]
+    ).column(f"{rows.column_names[3]}_sum").to_numpy().max() == 20
