@@ -17,6 +17,8 @@ from brimwatch.llm.common import give_back, slices
 REMEMBERED = 400_000
 #: Bytes of text that are looked up at a time; more text repeats more words.
 BATCH_BYTES = 4 << 20
+#: With smaller batches fewer words are remembered, one for so many bytes.
+BYTES_A_WORD = 10
 #: Words whose normal form is plain lower-casing: Latin letters, then at most one full stop or comma.
 LATIN_WORD, LATIN_STEM, MARKS = r"^[A-Za-zÀ-ÖØ-öø-ÿ]+[.,]?$", r"^[a-zß-öø-ÿ]+$", [".", ","]
 
@@ -59,6 +61,7 @@ class TokenIds:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        self.most = REMEMBERED
         self.tokenizer = Tokenizer.from_file(path)
         parts = json.loads(self.tokenizer.to_str())
         kinds = [
@@ -137,7 +140,7 @@ class TokenIds:
 
     def _places(self, words: pa.Array) -> np.ndarray:
         """Where distinct words are remembered; those that are not are encoded."""
-        if len(self.known) > REMEMBERED:
+        if len(self.known) > min(self.most, REMEMBERED):
             self._forget()
         known, distinct = self.known, words.to_numpy(zero_copy_only=False).tolist()
         new = [w for w in distinct if w not in known]
@@ -195,6 +198,7 @@ def encoded(
 ) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Pieces of batches with their ids and offsets, ``end`` after the last id of each text."""
     known = loaded(path)
+    known.most = batch_bytes // BYTES_A_WORD
     for batch in batches:
         for piece in slices(batch, "text", batch_bytes):
             ids, offsets = known.of(piece.column("text"))

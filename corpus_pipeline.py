@@ -84,8 +84,8 @@ def to_target_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token sequences whose lengths are powers of two."""
-    # Workers still hold what the other stages needed, so less text at a time.
-    return packing.pack(docs, batch_bytes=1 << 20)
+    # Workers still hold what the other stages needed, so less text at a time and fewer words remembered.
+    return packing.pack(docs, batch_bytes=1 << 18)
 
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]

@@ -56,6 +56,23 @@ def test_words_by_ranks_equal_the_model(monkeypatch):
 
 
 
+def test_smaller_batches_remember_fewer_words(monkeypatch):
+    """Worker memory follows the batch size; the ids do not."""
+    from brimwatch.llm import tokens
+
+    texts = [" ".join(f"w{i}x{k}" for k in range(20)) for i in range(400)]
+    batch = pa.RecordBatch.from_pydict({"text": texts})
+
+    def ids_by(size):
+        monkeypatch.setattr(tokens, "_loaded", {})
+        parts = [ids for _, ids, _ in tokens.encoded(iter([batch]), public_path(), 2, size)]
+        return np.concatenate(parts).tolist(), len(tokens.loaded(public_path()).known)
+
+    (small, few), (large, many) = ids_by(1 << 11), ids_by(1 << 20)
+    assert small == large
+    assert many > 8000 and few < 1000
+
+
 @pytest.mark.parametrize("law", ["rows", "bytes"])
 def test_shards(spark, messy, nothing, law):
     same = spark.createDataFrame([(77, "copy")] * 300, "doc_id long, text string")  # one id on most rows
