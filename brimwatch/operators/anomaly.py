@@ -20,6 +20,8 @@ DEPTH = 4
 LEARNING_RATE = 0.1
 HOLDOUT = 0.25
 SEED = 42
+#: Rows a task of training takes: a round is some four short jobs, whose cost is mostly that of their tasks.
+ROWS_A_TASK = 50_000
 POSITIVE = "anomalous"
 
 
@@ -113,7 +115,9 @@ def train(rows: DataFrame, trees: int = TREES, seed: int = SEED, keys=("host_id"
         parts = split(rows, seed=seed, keys=keys).withColumn("is_train", ~F.col("is_test"))
     else:
         parts = rows.withColumn("is_test", F.lit(True)).withColumn("is_train", F.lit(True))
-    parts = cut_lineage(parts)
+    # Dealt by rows and in order: tasks and result of the rounds follow the series, not the settings of shuffles.
+    tasks = -(-max(1, balance["n"]) // ROWS_A_TASK)
+    parts = cut_lineage(parts.repartition(tasks, *keys).sortWithinPartitions(*keys))
     weight = class_weight(parts.where("is_train")).first()["weight"]
     weighted = _vectors(parts).withColumn(
         "weight", F.when(F.col("y") == 1, F.lit(float(weight))).otherwise(1.0)

@@ -70,3 +70,18 @@ def test_class_weight(spark):
     rows = spark.createDataFrame([(1,), (0,), (0,), (0,)], "y int")
     assert anomaly.class_weight(rows).first().weight == 3.0
     assert anomaly.class_weight(rows.where("y = 0")).first().weight == 1.0
+
+
+def test_tasks_of_training_follow_the_rows(spark, monkeypatch):
+    """However the rows come, a round has as many tasks as their number needs."""
+    draw = random.Random(8)
+    names = [f"h{i}" for i in range(300)]
+    made = [(name, "/", *[draw.random() for _ in anomaly.FEATURES], 0) for name in names]
+    schema = "host_id string, device string, " + ", ".join(f"{x} double" for x in anomaly.FEATURES) + ", y int"
+    rows = spark.createDataFrame(made, schema)
+    few = anomaly.train(rows.repartition(16), trees=1).scored
+    assert few.rdd.getNumPartitions() == 1
+    monkeypatch.setattr(anomaly, "ROWS_A_TASK", 100)
+    more = anomaly.train(rows.repartition(16), trees=1).scored
+    assert more.rdd.getNumPartitions() == 3
+    assert sorted(r.host_id for r in more.select("host_id").collect()) == sorted(names)
