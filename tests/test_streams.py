@@ -78,6 +78,24 @@ def test_windows_equal_batch(spark, source, tmp_path):
     assert got == {key(r): (r.n, round(r.max_pct, 6)) for r in batch.collect()}
 
 
+@pytest.mark.parametrize("width, slide", [("24 hours", "1 hour"), ("90 minutes", "1 hour"), ("1 hour", "1 hour")])
+def test_sliding_windows_store_a_sample_once(spark, source, tmp_path, width, slide):
+    folder, rows = source
+    odd = [(T0 - timedelta(days=20000), "old", "/", None, 1, 2), (T0, "none", "/", None, 1, 2), (T0, None, "/", 5.0, 1, 2)]
+    extra = str(tmp_path / "in")
+    rows = rows.unionByName(spark.createDataFrame(odd, SCHEMA))
+    rows.repartition(3).write.parquet(extra)
+    table = str(tmp_path / "t")
+    finish(jobs.windows(stream(spark, extra), table, str(tmp_path / "c"), width, slide))
+    place = lambda x: None if x is None else round(x * 0.7310585786, 6)  # noqa: E731 - off the halves
+    shape = lambda df: sorted([(str(r.host_id), r.window_start, r.n, place(r.mean_pct), place(r.max_pct)) for r in df.collect()], key=str)
+    batch = fleet.telemetry_rollup(rows, width, slide, keys=("host_id",))
+    assert shape(jobs.read_windows(spark, table)) == shape(batch)
+    if width != "90 minutes":
+        hours = rows.select("host_id", F.date_trunc("hour", "ts")).distinct().count()
+        assert jobs._windows_table(spark, table).read().count() == hours
+
+
 def test_redaction(spark, tmp_path):
     folder = str(tmp_path / "in")
     spark.createDataFrame([(1, "mail a@b.io"), (2, "clean")], "k int, text string").write.parquet(folder)
